@@ -1,0 +1,6 @@
+"""All registered queries. Importing a module registers its queries."""
+
+from . import alerts, features, ingest  # noqa: F401
+from .common import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
