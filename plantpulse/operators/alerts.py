@@ -160,34 +160,33 @@ def rolling_stuck(numbered: DataFrame, signals: Sequence[str] = S.STUCK_CANDIDAT
     """Stuck-sensor evidence at every reading, over the last ``p.points`` values among the last ``p.history_rows`` readings.
 
     Blocks of readings carry the history as a halo and are shuffled wide once; signals are melted inside the block.
-    A reading without a value repeats the evidence of the last value, as long as its points are still in reach.
+    The deviation of values never exceeds half their range, so the range alone decides who can be stuck: the costly
+    evidence (deviation, median step) is collected only in series blocks where some reading passes the range test.
+    A reading without a value repeats the verdict of the last value, as long as its points are still in reach.
     """
     reach = p.history_rows - 1
     haloed = with_row_halo(numbered.select(*PLACE, *signals), reach, HISTORY_BLOCK).repartition(*KEYS, "block")
     long = haloed.select(*PLACE, "block", "home", long_rows(list(signals)))
+    long = long.withColumn("_has", F.when(F.col("value").isNotNull(), 1).otherwise(0))
     values = Window.partitionBy(*KEYS, "block", "signal", "_has").orderBy("row_idx")
     last_points = values.rowsBetween(-(p.points - 1), 0)
-    seen = F.col("_has") == 1
-    evidence = F.struct(
-        F.col("value").alias("repeated_value"),
-        F.count(F.lit(1)).over(last_points).alias("window_points"),
-        (F.max("value").over(last_points) - F.min("value").over(last_points)).alias("observed_range"),
-        F.stddev_pop("value").over(last_points).alias("observed_std"),
-        F.min("row_idx").over(last_points).alias("first_row"),
-        F.collect_list("us").over(last_points).alias("times"),
-    )
-    long = long.withColumn("_has", F.when(F.col("value").isNotNull(), 1).otherwise(0))
-    judged = long.withColumn("_evidence", F.when(seen, evidence))
+    oldest = F.lag("row_idx", p.points - 1).over(values)
+    spread = F.max("value").over(last_points) - F.min("value").over(last_points)
+    flat = (F.col("_has") == 1) & (oldest >= F.col("row_idx") - reach) & (spread <= stuck_threshold(F.col("value"), p))
+    long = long.withColumns({"_oldest": oldest, "_spread": spread}).withColumn("_flat", F.coalesce(flat, F.lit(False)))
+    some = F.max("_flat").over(Window.partitionBy(*KEYS, "block", "signal"))
+    long = long.withColumn("_some", some).where("_some")
+    long = long.withColumns({"_std": F.stddev_pop("value").over(last_points), "_times": F.collect_list("us").over(last_points)})
+    evidence = F.when(F.col("_flat"), F.struct(
+        F.col("value").alias("repeated_value"), F.lit(p.points).cast("bigint").alias("window_points"),
+        F.col("_spread").alias("observed_range"), F.col("_std").alias("observed_std"), F.col("_oldest").alias("first_row"),
+        F.col("_times").alias("times")))
     series = Window.partitionBy(*KEYS, "block", "signal").orderBy("row_idx").rowsBetween(Window.unboundedPreceding, 0)
-    held = judged.withColumn("_evidence", F.last("_evidence", ignorenulls=True).over(series)).where(F.col("home")).select(
-        *PLACE, "signal", "_evidence.*"
-    )
-    limit = stuck_threshold(F.col("repeated_value"), p)
-    near = held.where(
-        (F.col("window_points") >= p.points) & (F.col("first_row") >= F.col("row_idx") - reach)
-        & (F.col("observed_range") <= limit) & (F.col("observed_std") <= limit / 2.0)
-    )
-    # the few surviving rows: observed time = last - first + median step between the points
+    verdict = F.when(F.col("_has") == 1, F.struct(evidence.alias("evidence")))
+    held = long.withColumn("_verdict", verdict).withColumn("_verdict", F.last("_verdict", ignorenulls=True).over(series))
+    near = held.where(F.col("home") & F.col("_verdict.evidence").isNotNull()).select(*PLACE, "signal", "_verdict.evidence.*").where(
+        F.col("first_row") >= F.col("row_idx") - reach)
+    # observed time = last - first + median step between the points
     steps = F.array_sort(F.zip_with(F.slice("times", 2, p.points - 1), F.slice("times", 1, p.points - 1), lambda b, a: b - a))
     middle = p.points - 1
     low, high = (middle + 1) // 2, middle // 2 + 1

@@ -10,13 +10,15 @@ from ..catalog import rules as R
 from ..catalog import signals as S
 from ..operators import alerts, episodes, triage
 from ..operators.features import rolling_features
-from ..operators.prescribe import attach_diagnosis, diagnose_alerts, flag_feature_plan
-from ..session import literal_table, shared_folder, stored
+from ..operators.prescribe import attach_diagnosis, diagnose_alerts
+from ..session import broadcast_if_small, literal_table, shared_folder, stored
 from ..sources.alert_table import AlertTable, upsert, as_table_rows
 from ..sources.rules import builtin_rules, read_rules
 from . import dataset as D
 from .common import query, r, sr
 from .ingest import batch_issues
+from .tables import all_episodes, features, hits
+from .tables import numbered as staged_numbered
 
 
 def text(value) -> str:
@@ -140,19 +142,6 @@ episodes AS (
   FROM islands i JOIN newest n ON i.asset_id = n.asset_id GROUP BY i.asset_id, alert_id, island)"""
 
 
-def features(spark, sf):
-    return rolling_features(D.readings(spark, sf), alerts.trend_feature_plan(), D.WIDTHS)
-
-
-def hits(spark, sf):
-    return alerts.all_hits(features(spark, sf), builtin_rules(spark))
-
-
-def all_episodes(spark, sf):
-    featured = features(spark, sf)
-    return episodes.mark_active(episodes.build_episodes(alerts.all_hits(featured, builtin_rules(spark))), featured)
-
-
 _HIT = ["asset_id", "us", "row_idx", "mode_key", "alert_id", "rule_id", "layer", "subsystem", "signal", "severity", "title", "message", "threshold"]
 _HIT_SQL = ", ".join(_HIT)
 
@@ -201,7 +190,8 @@ def rules_from_json(spark, sf):
 WITH {D.features_sql(TREND_WANTED)}, {TREND_HITS}
 SELECT asset_id, us, rule_id, signal, threshold, {sr('current_value', 'current_value')}, {sr('feature_value', 'feature_value')}, reason FROM trend_all""")
 def trend_rule_hits(spark, sf):
-    found = alerts.trend_rule_hits(features(spark, sf), builtin_rules(spark))
+    featured = rolling_features(D.readings(spark, sf), alerts.trend_feature_plan(), D.WIDTHS)
+    found = alerts.trend_rule_hits(featured, builtin_rules(spark))
     return found.select("asset_id", "us", "rule_id", "signal", "threshold", r("current_value"),
                         r(F.col("metadata")["feature_value"].cast("double"), 4, "feature_value"), F.col("metadata")["analysis_reason"].alias("reason"))
 
@@ -356,9 +346,9 @@ def triage_active(spark, sf):
 
 
 @query("e23_triage_recent", f"""
-WITH {EPISODES} SELECT {_LIST} FROM episodes WHERE NOT is_active AND layer = 'fixed_rule' AND severity = 'high' AND subsystem = 'vibracao'""")
+WITH {EPISODES} SELECT {_LIST} FROM episodes WHERE NOT is_active AND layer = 'fixed_rule' AND severity = 'high' AND subsystem = 'lubrificacao'""")
 def triage_recent(spark, sf):
-    return triage.triage_recent(all_episodes(spark, sf), layer="fixed_rule", severity="high", subsystem="vibracao").select(*_LIST.split(", "))
+    return triage.triage_recent(all_episodes(spark, sf), layer="fixed_rule", severity="high", subsystem="lubrificacao").select(*_LIST.split(", "))
 
 
 CANDIDATES = f"""{EPISODES},
@@ -420,7 +410,7 @@ known AS (SELECT DISTINCT asset_id, {_KEY_SQL} AS k FROM candidates WHERE place
 SELECT u.asset_id, count(*) AS alerts, count(*) FILTER (WHERE layer IN ('fixed_rule', 'trend') OR (layer = 'operational_anomaly' AND rule_id NOT LIKE 'sensor_stuck::%')) AS eligible_alerts,
   count(n.k) AS alerts_with_insight FROM uniq u LEFT JOIN known n ON u.asset_id = n.asset_id AND u.k = n.k GROUP BY 1""")
 def explanation_coverage(spark, sf):
-    history = stored(all_episodes(spark, sf))
+    history = all_episodes(spark, sf)
     return triage.explanation_coverage(history, _known_insights(triage.explanation_candidates(history)))
 
 
@@ -452,18 +442,17 @@ p AS (SELECT *, CASE WHEN signal = 'pv_temp_oleo_lubrificacao_c' AND is_active T
 SELECT asset_id, alert_id, signal, last_seen_us FROM p WHERE priority IS NOT NULL
 QUALIFY row_number() OVER (PARTITION BY asset_id ORDER BY priority, CASE WHEN is_active THEN -({WEIGHT}) ELSE 0 END, last_seen_us DESC, alert_id) = 1""")
 def diagnosis_pick(spark, sf):
-    history = stored(all_episodes(spark, sf))
-    featured = rolling_features(D.readings(spark, sf), flag_feature_plan(), D.WIDTHS)
-    diagnosed = attach_diagnosis(history, diagnose_alerts(history, featured))
+    history = all_episodes(spark, sf)
+    diagnosed = attach_diagnosis(history, diagnose_alerts(history, features(spark, sf)))
     return triage.diagnosed_alert(diagnosed, "pv_temp_oleo_lubrificacao_c", "lubrificacao").select("asset_id", "alert_id", "signal", "last_seen_us")
 
 
 def _as_of_day(spark, sf, day):
     """Active alerts as they stood when the given day ended."""
-    upto = D.readings(spark, sf).where(F.col("day") <= day)
-    numbered = D.numbered_readings(upto)
-    rules = builtin_rules(spark)
-    found = alerts.fixed_rule_hits(numbered, rules).unionByName(alerts.anomaly_hits(numbered, rules))
+    numbered = staged_numbered(spark, sf).where(F.col("day") <= day)
+    limited = numbered.groupBy("asset_id").agg(F.max("us").alias("_end"))
+    plain = (F.col("layer") == "fixed_rule") | ((F.col("layer") == "operational_anomaly") & ~F.col("rule_id").startswith("sensor_stuck::"))
+    found = hits(spark, sf).where(plain).join(broadcast_if_small(limited), "asset_id").where(F.col("us") <= F.col("_end")).drop("_end")
     return episodes.mark_active(episodes.build_episodes(found), numbered).where("is_active")
 
 
