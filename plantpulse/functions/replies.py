@@ -108,7 +108,7 @@ def salvage(text: Column) -> Column:
         distinct_texts(lists["insights"]).alias("insights"),
         distinct_texts(F.concat(lists["observations"], F.array(F.lit(PARTIAL_NOTE)))).alias("observations"),
         choice_field(text, "false_positive_risk").alias("false_positive_risk"),
-        F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), number)), F.lit(SALVAGED_CONFIDENCE)).alias("confidence"),
+        F.when(number.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), number))).otherwise(F.lit(SALVAGED_CONFIDENCE)).alias("confidence"),
         F.from_json(F.lit("[]"), "array<struct<causa: string, confianca: double, racional: string>>").alias("hypotheses"),
         distinct_texts(lists["recommended_actions"]).alias("recommended_actions")))
 

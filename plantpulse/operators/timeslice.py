@@ -187,6 +187,6 @@ def newest_rows(df: DataFrame, n: int, keys: Sequence[str] = KEYS, order: Sequen
     if n > threshold:
         sliced = df if SLICE in df.columns else slice_by_time(df, keys)
         local = Window.partitionBy(*keys, SLICE).orderBy(*descending)
-        df = sliced.withColumn("_local", F.row_number().over(local)).where(F.col("_local") <= n).drop("_local")
+        df = sliced.withColumn("_local", F.row_number().over(local)).where(F.col("_local") <= n).select(*df.columns)
     ranked = df.withColumn("rank_desc", F.row_number().over(Window.partitionBy(*keys).orderBy(*descending)))
     return ranked.where(F.col("rank_desc") <= n)

@@ -1,6 +1,6 @@
 """All registered queries. Importing a module registers its queries."""
 
-from . import alerts, features, forecast, ingest, prescribe  # noqa: F401
+from . import alerts, cycle, features, forecast, influence, ingest, prescribe, replies, serving, streams  # noqa: F401
 from .common import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -1,0 +1,108 @@
+"""Stateful stream operators: mode segments with the weighted average, and alert episodes.
+
+State is keyed by (asset, signal) and (asset, alert): a busy machine spreads over its signals and alerts. A key's state
+is a handful of numbers; the rows of a key in one micro-batch are bounded by the source's batch size.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from typing import Any
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+from ..config import EWMA_SPAN
+
+STATE_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def use_state_store(spark: SparkSession) -> None:
+    """Stateful processors need the RocksDB provider; an own setting of the session is kept."""
+    if "RocksDB" not in (spark.conf.get("spark.sql.streaming.stateStore.providerClass", "") or ""):
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_PROVIDER)
+
+
+SMOOTHED = "asset_id bigint, signal string, us bigint, segment_id bigint, ewma double"
+
+
+class SegmentSmoother(StatefulProcessor):
+    """Segment number and weighted average of one series, exact over any history."""
+
+    def __init__(self, span: int = EWMA_SPAN) -> None:
+        self.alpha = 2.0 / (span + 1.0)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("series", "us bigint, mode string, segment bigint, average double, weight double")
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        frame = pd.concat(list(rows)).sort_values("us")
+        us, mode, segment, average, weight = self.state.get() if self.state.exists() else (-1, None, 0, None, 0.0)
+        found = []
+        for at, current, value in zip(frame["us"], frame["mode_key"], frame["value"]):
+            if at <= us:
+                continue  # late or repeated
+            us = int(at)
+            if current != mode:
+                mode, segment, average = current, segment + 1, None
+            if average is not None:
+                weight *= 1.0 - self.alpha
+            if pd.notna(value):
+                average = float(value) if average is None else (weight * average + self.alpha * value) / (weight + self.alpha)
+                weight = 1.0
+            found.append((key[0], key[1], us, segment, average))
+        self.state.update((us, mode, segment, average, weight))
+        yield pd.DataFrame(found, columns=["asset_id", "signal", "us", "segment_id", "ewma"])
+
+    def close(self) -> None:
+        pass
+
+
+EPISODES = "asset_id bigint, rule_id string, triggered_us bigint, last_seen_us bigint, readings bigint"
+
+
+class EpisodeTracker(StatefulProcessor):
+    """Episodes of one alert. It sees every reading, because a reading without the alert is what closes an episode."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("episode", "us bigint, started bigint, seen bigint, readings bigint")
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        frame = pd.concat(list(rows)).sort_values("us")
+        us, started, seen, readings = self.state.get() if self.state.exists() else (-1, -1, -1, 0)
+        closed = []
+        for at, fires in zip(frame["us"], frame["fires"]):
+            if at <= us:
+                continue
+            us = int(at)
+            if fires:
+                started = us if readings == 0 else started
+                seen, readings = us, readings + 1
+            elif readings:
+                closed.append((key[0], key[1], started, seen, readings))
+                started, seen, readings = -1, -1, 0
+        self.state.update((us, started, seen, readings))
+        yield pd.DataFrame(closed, columns=["asset_id", "rule_id", "triggered_us", "last_seen_us", "readings"])
+
+    def close(self) -> None:
+        pass
+
+
+def smoothed_stream(series: DataFrame) -> DataFrame:
+    """``series`` has asset_id, signal, us, mode_key, value: one row per reading and signal, also without a value."""
+    use_state_store(series.sparkSession)
+    return series.groupBy("asset_id", "signal").transformWithStateInPandas(SegmentSmoother(), SMOOTHED, "Append", "None")
+
+
+def episode_stream(checked: DataFrame) -> DataFrame:
+    """``checked`` has asset_id, rule_id, us, fires: one row per reading and rule. Closed episodes are emitted."""
+    use_state_store(checked.sparkSession)
+    return checked.groupBy("asset_id", "rule_id").transformWithStateInPandas(EpisodeTracker(), EPISODES, "Append", "None")
+
+
+def checked_readings(readings: DataFrame, conditions: dict[str, Any]) -> DataFrame:
+    """One row per reading and rule with whether it fires; ``conditions`` maps rule ids to boolean columns."""
+    entries = [F.struct(F.lit(rule).alias("rule_id"), F.coalesce(c, F.lit(False)).alias("fires")) for rule, c in conditions.items()]
+    return readings.select("asset_id", "us", F.inline(F.array(*entries)))
