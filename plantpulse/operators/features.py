@@ -10,10 +10,11 @@ from __future__ import annotations
 import math
 from collections.abc import Iterable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..config import DAY_US, EWMA_SPAN, WindowWidths
+from ..functions import moments
 from .timeslice import KEYS, SLICE, number_rows_and_segments, slice_by_time, with_row_halo, with_time_halo
 
 STATISTICS = [
@@ -34,6 +35,19 @@ def numbered_readings(df: DataFrame, width_us: int = DAY_US) -> DataFrame:
     return number_rows_and_segments(slice_by_time(df, width_us=width_us))
 
 
+def packed(df: DataFrame, work, used: Sequence[str]) -> DataFrame:
+    """Run ``work`` with all columns it does not use packed into one, so that its many window steps copy narrow rows.
+
+    For tables that keep every column; where the caller selects a few, plain columns let the scan skip the rest.
+    """
+    carried = [c for c in df.columns if c not in used]
+    slim = df.select(*[c for c in df.columns if c in used], F.struct(*carried).alias("_kept")) if carried else df
+    done = work(slim)
+    if not carried:
+        return done
+    return done.select(*[c for c in done.columns if c != "_kept"], "_kept.*")
+
+
 def rolling_statistics(
     df: DataFrame,
     wanted: Mapping[str, Iterable[str]],
@@ -44,40 +58,74 @@ def rolling_statistics(
     """Means, deviations, extremes, slopes and z-scores over time frames.
 
     Frames: ``(t - width, t]`` for statistics, ``[t - width, t]`` for slopes. A frame never leaves its segment, which
-    is why only segment borders inside the cell and its halo matter here.
+    is why only segment borders inside the cell and its halo matter here. Event times are unique per asset.
+
+    A sliding frame would be summed anew for every row, and its cost grows with the cadence. Here time is divided into
+    panes as wide as the frame: a frame is the end of one pane plus the start of the next. Both are running windows
+    (backward and forward inside the pane), looked up at the frame's first row and merged, so every row costs the
+    same however many readings a frame holds.
     """
     cell = max(cell_us, widths.long)
-    haloed = with_time_halo(df, widths.long, cell)
+    rows = with_time_halo(df, widths.long, cell)
     in_cell = Window.partitionBy(*KEYS, SLICE).orderBy("us")
-    haloed = haloed.withColumn("_turn", F.when(F.col(mode) != F.lag(mode).over(in_cell), 1).otherwise(0))
-    haloed = haloed.withColumn("_part", F.sum("_turn").over(in_cell.rowsBetween(Window.unboundedPreceding, 0)))
-    haloed = haloed.withColumn("_minute", (F.col("us") - F.col(SLICE)) / 6e7)
-    run = Window.partitionBy(*KEYS, SLICE, "_part").orderBy("us")
-    recent = {name: run.rangeBetween(-(width - 1), 0) for name, width in
-              (("5m", widths.short), ("15m", widths.medium), ("1h", widths.long))}
-    closed = {name: run.rangeBetween(-width, 0) for name, width in (("15m", widths.medium), ("1h", widths.long))}
+    rows = rows.withColumn("_turn", F.when(F.col(mode) != F.lag(mode).over(in_cell), 1).otherwise(0))
+    rows = rows.withColumn("_part", F.sum("_turn").over(in_cell.rowsBetween(Window.unboundedPreceding, 0)))
+    run_keys = [*KEYS, SLICE, "_part"]
+    run = Window.partitionBy(*run_keys).orderBy("us")
+    upto = run.rowsBetween(Window.unboundedPreceding, 0)
+
+    width_of = {"5m": widths.short, "15m": widths.medium, "1h": widths.long}
+    asked = {s: [f for f in features if f in STATISTICS] for s, features in wanted.items()}
+    signals = {
+        frame: {s: any(f == f"slope_{frame}" for f in fs) for s, fs in asked.items() if any(f.endswith(f"_{frame}") for f in fs)}
+        for frame in width_of
+    }
+    frames = [frame for frame in width_of if signals[frame]]
+    minute = (F.col("us") - F.col(SLICE)) / 6e7
+    pane_keys = {frame: [*run_keys, f"_pane_{frame}"] for frame in frames}
+    rows = rows.withColumns({f"_pane_{frame}": F.floor(F.col("us") / width_of[frame]).cast("bigint") for frame in frames})
+
+    def states(frame: str, window: WindowSpec) -> list[Column]:
+        return [moments.state(F.col(s), minute, window, trend).alias(s) for s, trend in signals[frame].items()]
+
+    for frame in frames:
+        backward = Window.partitionBy(*pane_keys[frame]).orderBy(F.col("us").desc()).rowsBetween(Window.unboundedPreceding, 0)
+        rows = rows.withColumn(f"_end_{frame}", F.struct(F.col(f"_pane_{frame}").alias("pane"), *states(frame, backward)))
+    rows = rows.withColumns({f"_next_{frame}": F.lead(f"_end_{frame}").over(run) for frame in frames})
+
+    def first_in_frame(frame: str, reach: int) -> Column:
+        """State from the frame's first row to the end of its pane: the row after the last one out of reach."""
+        outside = run.rangeBetween(Window.unboundedPreceding, -reach)
+        return F.coalesce(F.last(f"_next_{frame}").over(outside), F.first(f"_end_{frame}").over(upto))
+
+    rows = rows.withColumns(
+        {f"_open_{frame}": first_in_frame(frame, width_of[frame]) for frame in frames}
+        | {f"_closed_{frame}": first_in_frame(frame, width_of[frame] + 1) for frame in frames if any(signals[frame].values())}
+    ).drop(*[f"_{part}_{frame}" for frame in frames for part in ("end", "next")])
+    for frame in frames:
+        forward = Window.partitionBy(*pane_keys[frame]).orderBy("us").rowsBetween(Window.unboundedPreceding, 0)
+        rows = rows.withColumn(f"_begin_{frame}", F.struct(*states(frame, forward)))
+
+    def framed(signal: str, frame: str, closed: bool = False) -> moments.Frame:
+        start = F.col(f"_closed_{frame}" if closed else f"_open_{frame}")
+        return moments.Frame(start[signal], F.col(f"_begin_{frame}")[signal], start["pane"] < F.col(f"_pane_{frame}"))
 
     def column(signal: str, feature: str) -> Column:
-        value = F.col(signal)
         kind, _, frame = feature.partition("_")
-        if kind == "ma":
-            return F.avg(value).over(recent[frame])
-        if kind == "std":
-            return F.stddev_samp(value).over(recent[frame])
-        if kind == "min":
-            return F.min(value).over(recent[frame])
-        if kind == "max":
-            return F.max(value).over(recent[frame])
+        if kind == "zscore":
+            whole = framed(signal, "1h")
+            return (F.col(signal) - whole.mean()) / F.nullif(whole.std(), F.lit(0.0))
         if kind == "slope":
-            return F.when(F.count(value).over(closed[frame]) >= 3, F.regr_slope(value, F.col("_minute")).over(closed[frame]))
-        spread = F.stddev_samp(value).over(recent["1h"])
-        return (value - F.avg(value).over(recent["1h"])) / F.nullif(spread, F.lit(0.0))
+            return framed(signal, frame, closed=True).slope()
+        whole = framed(signal, frame)
+        if kind == "ma":
+            broader = [f for f in frames[frames.index(frame) + 1:] if signal in signals[f]]
+            return whole.mean(framed(signal, broader[-1]) if broader else None)
+        return {"std": whole.std, "min": lambda: whole.low, "max": lambda: whole.high}[kind]()
 
-    computed = {
-        f"{signal}__{feature}": column(signal, feature)
-        for signal, features in wanted.items() for feature in features if feature in STATISTICS
-    }
-    return haloed.withColumns(computed).where(F.col("home")).drop("home", "_turn", "_part", "_minute")
+    computed = {f"{s}__{f}": column(s, f) for s, features in asked.items() for f in features}
+    temporary = [f"_{part}_{frame}" for frame in frames for part in ("pane", "begin", "open", "closed")]
+    return rows.where(F.col("home")).withColumns(computed).drop("home", "_turn", "_part", *temporary)
 
 
 def smoothed_values(df: DataFrame, signals: Sequence[str], span: int = EWMA_SPAN, gap: bool = True) -> DataFrame:
@@ -108,11 +156,12 @@ def smoothed_values(df: DataFrame, signals: Sequence[str], span: int = EWMA_SPAN
         f"_log_{s}": F.coalesce(F.sum(F.ln(f"_keep_{s}")).over(upto), F.lit(0.0)) for s in signals
     })
     share = {s: F.coalesce(1.0 - F.col(f"_keep_{s}"), F.lit(1.0)) * F.col(s) * F.exp(-F.col(f"_log_{s}")) for s in signals}
+    # exact from the block's own first value on; readings before it repeat the average the earlier block ended with
+    own = {s: F.max(F.when(F.col("home") & F.col(s).isNotNull(), 1)).over(upto) for s in signals}
     blocks = blocks.withColumns({
-        f"{s}__ewma": F.exp(f"_log_{s}") * F.sum(share[s]).over(upto) for s in signals
+        f"{s}__ewma": F.when(own[s] == 1, F.exp(f"_log_{s}") * F.sum(share[s]).over(upto)) for s in signals
     }).where("home").drop("home", *[f"{part}_{s}" for s in signals for part in ("_at", "_keep", "_log")])
 
-    # a segment may stay without a value for longer than the warm-up: its average then comes from an earlier block
     ends = blocks.groupBy(*KEYS, "block").agg(
         F.max_by("segment_id", "row_idx").alias("segment_id"),
         *[F.max_by(f"{s}__ewma", F.when(F.col(f"{s}__ewma").isNotNull(), F.struct("segment_id", "row_idx"))).alias(f"_end_{s}")
@@ -139,16 +188,26 @@ def rolling_features(
     wanted: Mapping[str, Iterable[str]] | Sequence[str],
     widths: WindowWidths = WindowWidths(),
     numbered: bool = False,
+    whole_rows: bool = False,
 ) -> DataFrame:
-    """All requested features as columns. ``wanted`` maps signals to features; a plain list asks for all fourteen."""
+    """All requested features as columns. ``wanted`` maps signals to features; a plain list asks for all fourteen.
+
+    ``whole_rows`` tells that every column of the readings is kept, see ``packed``.
+    """
     if not isinstance(wanted, Mapping):
         wanted = {signal: FEATURES for signal in wanted}
     wanted = {signal: list(features) for signal, features in wanted.items()}
     readings = df if numbered else numbered_readings(df)
     smooth = [s for s, features in wanted.items() if any(f in SMOOTHED for f in features)]
-    if smooth:
-        readings = smoothed_values(readings, smooth)
-    return rolling_statistics(readings, wanted, widths)
+
+    def compute(rows: DataFrame) -> DataFrame:
+        if smooth:
+            rows = smoothed_values(rows, smooth)
+        return rolling_statistics(rows, wanted, widths)
+
+    if not whole_rows:
+        return compute(readings)
+    return packed(readings, compute, [*KEYS, "us", SLICE, "row_idx", "segment_id", "mode_key", *wanted])
 
 
 def feature_rows(features: DataFrame, signals: Sequence[str], names: Sequence[str] = FEATURES,

@@ -170,14 +170,12 @@ def flag_table(features: DataFrame, keep: tuple[str, ...] = ("asset_id", "us"),
 
 
 def matching_rules(flagged: DataFrame) -> DataFrame:
-    """Alerts with flags joined to the rules that apply to their signal and hold. The rule table is a constant."""
-    spark = flagged.sparkSession
-    rules = literal_table(spark, M.MATRIX_RULE_SCHEMA, M.rule_documents())
-    profiles = literal_table(spark, M.PROFILE_SCHEMA, M.profile_documents()).select("signal")
-    # global rules without a signal list apply to every supported signal: expand, so that the join stays an equi-join
-    per_signal = rules.where(F.size("applies_to") > 0).withColumn("signal", F.explode("applies_to")).drop("applies_to").unionByName(
-        rules.where(F.size("applies_to") == 0).drop("applies_to").join(F.broadcast(profiles)))
-    return flagged.join(F.broadcast(per_signal), "signal").where(
+    """Alerts with flags joined to the rules that apply to their signal and hold.
+
+    The rule table is a constant; rules for every signal are listed once per supported signal, so this is an equi-join.
+    """
+    rules = literal_table(flagged.sparkSession, M.MATRIX_RULE_SCHEMA, M.rules_per_signal())
+    return flagged.join(F.broadcast(rules), "signal").where(
         F.forall("when_all", lambda f: F.array_contains("flags", f))
         & ((F.size("when_any") == 0) | F.arrays_overlap("when_any", "flags"))
     )

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..catalog import signals as S
 from ..config import DAY_US, HOUR_US, MINUTE_US, FlowParameters
 from ..functions.columns import ambient_columns, flow_columns
-from ..session import broadcast_if_small, literal_table
+from ..session import broadcast_if_small
 from .forecast import latest_rows
 from .timeslice import KEYS, newest_rows, number_rows, slice_by_time
 
@@ -181,27 +181,36 @@ def alert_counts(active: DataFrame) -> DataFrame:
     return active.where(F.col("signal").isNotNull()).groupBy("asset_id", "signal").agg(F.count(F.lit(1)).alias("active_alerts"))
 
 
-def catalogue_table(spark: SparkSession) -> DataFrame:
-    defaults = {s: i for i, (_sub, s) in enumerate(S.DEFAULT_SIGNALS)}
-    return literal_table(spark, "ordinal int, subsystem string, signal string, label string, unit string, is_derived boolean, target_signal string, default_rank int", [
-        {"ordinal": i, "subsystem": sub, "signal": s, "label": label, "unit": unit, "is_derived": s in S.DERIVED_SIGNALS,
-         "target_signal": S.SETPOINT_OF.get(s), "default_rank": defaults.get(s)}
-        for i, (sub, s, label, unit) in enumerate(S.SIGNALS)])
+def catalogue_entries(subsystem: str | None = None, text: str | None = None, present: Sequence[str] = ()) -> Column:
+    """The catalogue as an array of literal structs, already filtered; exploding it per asset needs no join."""
+    ranks = {s: i for i, (_sub, s) in enumerate(S.DEFAULT_SIGNALS)}
+    entries = []
+    for ordinal, (sub, signal, label, unit) in enumerate(S.SIGNALS):
+        if signal not in present or (subsystem and subsystem not in ("all", sub)):
+            continue
+        if text and text.lower() not in f"{label} {signal} {sub}".lower():
+            continue
+        values = {"ordinal": F.lit(ordinal), "signal": F.lit(signal), "label": F.lit(label), "subsystem": F.lit(sub), "unit": F.lit(unit).cast("string"),
+                  "is_setpoint": F.lit(signal.startswith("sp_")), "is_derived": F.lit(signal in S.DERIVED_SIGNALS),
+                  "target_signal": F.lit(S.SETPOINT_OF.get(signal)).cast("string"), "default_rank": F.lit(ranks.get(signal)).cast("int")}
+        entries.append(F.struct(*[c.alias(n) for n, c in values.items()]))
+    return F.array(*entries)
 
 
 def signal_catalogue(readings: DataFrame, active: DataFrame, rules: DataFrame, subsystem: str | None = None, text: str | None = None) -> DataFrame:
     """Numeric signals the readings have, per asset, with limits, setpoint link and active alerts."""
     present = [s for s in S.NUMERIC_SIGNALS if s in readings.columns]
-    items = catalogue_table(readings.sparkSession).where(F.col("signal").isin(present))
-    if subsystem and subsystem != "all":
-        items = items.where(F.col("subsystem") == subsystem)
-    if text:
-        items = items.where(F.lower(F.concat_ws(" ", "label", "signal", "subsystem")).contains(text.lower()))
-    described = items.join(F.broadcast(signal_limits(rules)), "signal", "left")
-    assets = readings.select("asset_id").distinct()
-    return assets.join(F.broadcast(described)).join(alert_counts(active), ["asset_id", "signal"], "left").select(
-        "asset_id", "ordinal", "signal", "label", "subsystem", "unit", F.col("signal").startswith("sp_").alias("is_setpoint"), "is_derived",
-        "target_signal", "lower_limit", "upper_limit", F.coalesce("active_alerts", F.lit(0)).alias("active_alerts"), "default_rank")
+    items = readings.select("asset_id").distinct().select("asset_id", F.inline(catalogue_entries(subsystem, text, present)))
+    return (
+        items.join(broadcast_if_small(signal_limits(rules)), "signal", "left")
+        .join(alert_counts(active), ["asset_id", "signal"], "left")
+        .withColumn("active_alerts", F.coalesce("active_alerts", F.lit(0)))
+    )
+
+
+def display_order() -> list[Column]:
+    """Order of the signal list: most alerts first, setpoints last, then by label."""
+    return [F.col("active_alerts").desc(), F.col("is_setpoint"), F.col("label")]
 
 
 def default_signal(catalogue: DataFrame) -> DataFrame:
@@ -213,7 +222,9 @@ def service_coverage(readings: DataFrame, episodes: DataFrame) -> DataFrame:
     """One row, also without data: time span, rows, events, active alerts, status."""
     span = readings.agg(F.min("us").alias("earliest_us"), F.max("us").alias("latest_us"), F.count(F.lit(1)).alias("history_rows"))
     events = episodes.agg(F.count(F.lit(1)).alias("alert_events"), F.count_if("is_active").alias("active_alerts"))
-    return span.join(events).withColumn("status", F.when(F.col("latest_us").isNull(), "waiting_for_data").otherwise("ok"))
+    both = span.unionByName(events, allowMissingColumns=True)
+    return both.agg(*[F.max(c).alias(c) for c in both.columns]).withColumn(
+        "status", F.when(F.col("latest_us").isNull(), "waiting_for_data").otherwise("ok"))
 
 
 def current_flow(readings: DataFrame, p: FlowParameters = FlowParameters()) -> DataFrame:

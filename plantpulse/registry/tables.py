@@ -36,7 +36,7 @@ def features(spark: SparkSession, sf: str) -> DataFrame:
     """Readings with every feature that rules, flags and forecasts read."""
     def build() -> DataFrame:
         rows = numbered(spark, sf)
-        return rolling_features(rows, feature_plan(rule_signals(forecast_rules(spark), rows)), D.WIDTHS, numbered=True)
+        return rolling_features(rows, feature_plan(rule_signals(forecast_rules(spark), rows)), D.WIDTHS, numbered=True, whole_rows=True)
 
     return _stage("features", spark, sf, build)
 
