@@ -13,12 +13,12 @@ from pyspark.sql import functions as F
 BROADCAST_LIMIT_BYTES = 64 * 1024 * 1024
 
 
-def build_session(cores: int | str = "*", app: str = "plantpulse") -> SparkSession:
+def build_session(cores: int | str = "*", app: str = "plantpulse", partitions: int = 8) -> SparkSession:
     """A local session; on a cluster the session is given, and its own settings are kept."""
     return (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
-        .config("spark.sql.shuffle.partitions", "8")
+        .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")

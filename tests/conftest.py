@@ -10,7 +10,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 def spark(tmp_path_factory):
     from plantpulse.session import build_session
 
-    session = build_session(4, "plantpulse-tests")
+    session = build_session(8, "plantpulse-tests", partitions=2)
     session.sparkContext.setLogLevel("ERROR")
     session.sparkContext.setCheckpointDir(str(tmp_path_factory.mktemp("checkpoints")))
     yield session
