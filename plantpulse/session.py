@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -37,26 +36,24 @@ def _fields(schema: str) -> str:
     return ", ".join(f"{name}: {kind}" for name, kind in (part.strip().split(" ", 1) for part in schema.split(",")))
 
 
-def estimated_bytes(df: DataFrame) -> int | None:
-    """The optimizer's size estimate (file sizes for scans), or None where the session does not expose plans."""
-    try:
-        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
-    except AttributeError:
-        return None
+def estimated_bytes(df: DataFrame) -> int:
+    """The optimizer's size estimate: file sizes for scans, the size of its input for most aggregates."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_LIMIT_BYTES) -> DataFrame:
-    """Hint a broadcast only for a side of proven size; a larger side is left to the optimizer and AQE."""
-    size = estimated_bytes(df)
-    return F.broadcast(df) if size is not None and size <= limit else df
+    """Hint a broadcast only for a side of proven size; a larger side is left to the optimizer and AQE.
+
+    The estimate of an aggregate is about that of its input, so hand in a ``stored`` table where an aggregate is known to be small.
+    """
+    return F.broadcast(df) if estimated_bytes(df) <= limit else df
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder below the cluster's checkpoint folder; a local one only where the session names none."""
+    """A new folder below the shared folder that ``spark.checkpoint.dir`` names; without one there is no safe place to write."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
-        root = tempfile.mkdtemp(prefix="plantpulse-")
-        spark.sparkContext.setCheckpointDir(root)
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
 
 
