@@ -24,9 +24,13 @@ from pyspark.sql import functions as F
 from .common import held_out
 
 #: most labelled rows that are learned from
-SAMPLE_ROWS = 6000
-#: hash buckets, as a power of two
-BUCKET_BITS = 20
+SAMPLE_ROWS = 16_000
+#: a bucket is learned if it occurs in at least so many of them
+LEAST_ROWS = 3
+#: hash buckets, as a power of two; so many that a clean document seldom meets the bucket of a toxic word
+BUCKET_BITS = 32
+#: the first bits of a bucket, by which most of a document's buckets are dismissed before the weights are searched
+PREFIX_BITS = 20
 WORD = re.compile(r"[^\W\d_]+")
 #: hashes of words kept in each Python worker
 CACHE_ENTRIES = 400_000
@@ -35,11 +39,11 @@ _word_hashes: dict[str, int] = {}
 
 @dataclass(frozen=True)
 class FtrlParameters:
-    alpha: float = 0.15
+    alpha: float = 4.0
     beta: float = 1.0
-    l1: float = 2.0
-    l2: float = 1.0
-    epochs: int = 4
+    l1: float = 3.0
+    l2: float = 0.1
+    epochs: int = 8
     seed: int = 7
 
 
@@ -82,8 +86,19 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS)
         return pd.Series([features(t).tobytes() for t in texts], dtype=object)
 
     found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("_order", "doc_id", "toxic", buckets("text").alias("x"))
-    taken = found.orderBy("_order", "doc_id", "toxic", "x").limit(rows).collect()
-    return [(np.frombuffer(r["x"], np.uint32), r["toxic"]) for r in taken]
+    taken = found.orderBy("_order", "doc_id", "toxic", "x").limit(rows).toLocalIterator()
+    return [(np.frombuffer(bytes(r["x"]), np.uint32), r["toxic"]) for r in taken]
+
+
+def _frequent(sample: list[tuple[np.ndarray, int]]) -> np.ndarray:
+    """The sorted buckets that occur in LEAST_ROWS rows or more; a first count by 26 bits keeps the sort small."""
+    coarse = np.zeros(1 << 26, dtype=np.uint8)
+    for x, _ in sample:
+        at = x >> np.uint32(BUCKET_BITS - 26)
+        coarse[at] = np.minimum(coarse[at], LEAST_ROWS) + 1
+    likely = [x[coarse[x >> np.uint32(BUCKET_BITS - 26)] >= LEAST_ROWS] for x, _ in sample]
+    buckets, rows = np.unique(np.concatenate(likely), return_counts=True)
+    return buckets[rows >= LEAST_ROWS]
 
 
 def fit(sample: list[tuple[np.ndarray, int]], p: FtrlParameters = FtrlParameters()) -> ToxicityModel:
@@ -93,7 +108,10 @@ def fit(sample: list[tuple[np.ndarray, int]], p: FtrlParameters = FtrlParameters
     start = float(np.log(rate / (1 - rate)))
     if positive in (0, len(sample)):
         return ToxicityModel(start)
-    z, n = np.zeros(1 << BUCKET_BITS), np.zeros(1 << BUCKET_BITS)
+    buckets = _frequent(sample)
+    rows = [(np.flatnonzero(_member(buckets, x, at := np.searchsorted(buckets, x))), at, y) for x, y in sample]
+    rows = [(at[hit].astype(np.int32), y) for hit, at, y in rows]
+    z, n = np.zeros(len(buckets)), np.zeros(len(buckets))
     bias, bias_n = start, 1.0
 
     def weights(at):
@@ -103,8 +121,8 @@ def fit(sample: list[tuple[np.ndarray, int]], p: FtrlParameters = FtrlParameters
 
     order = np.random.default_rng(p.seed)
     for _ in range(p.epochs):
-        for i in order.permutation(len(sample)):
-            x, y = sample[i]
+        for i in order.permutation(len(rows)):
+            x, y = rows[i]
             w = weights(x)
             g = 1 / (1 + np.exp(-np.clip(bias + w.sum(), -35, 35))) - y
             sigma = (np.sqrt(n[x] + g * g) - np.sqrt(n[x])) / p.alpha
@@ -114,18 +132,36 @@ def fit(sample: list[tuple[np.ndarray, int]], p: FtrlParameters = FtrlParameters
             bias -= p.alpha * g / np.sqrt(bias_n)
     w = weights(slice(None))
     kept = np.flatnonzero(w)
-    return ToxicityModel(bias, kept.astype(np.uint32), w[kept].astype(np.float32))
+    return ToxicityModel(bias, buckets[kept], w[kept].astype(np.float32))
+
+
+def _member(buckets: np.ndarray, x: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return buckets[np.minimum(at, len(buckets) - 1)] == x if len(buckets) else np.zeros(len(x), dtype=bool)
+
+
+class Scorer:
+    """Sums the weights of a document's buckets."""
+
+    def __init__(self, model: ToxicityModel):
+        self.model = model
+        self.prefixes = np.zeros(1 << PREFIX_BITS, dtype=bool)
+        self.prefixes[model.buckets >> np.uint32(BUCKET_BITS - PREFIX_BITS)] = True
+
+    def __call__(self, text: str | None) -> float:
+        x = features(text)
+        x = x[self.prefixes[x >> np.uint32(BUCKET_BITS - PREFIX_BITS)]]
+        at = np.searchsorted(self.model.buckets, x)
+        logit = self.model.bias + float(self.model.weights[at[_member(self.model.buckets, x, at)]].sum(dtype=np.float64))
+        return 1 / (1 + np.exp(-np.clip(logit, -35, 35)))
 
 
 def score(text: Column, model: ToxicityModel) -> Column:
     """The probability of label 1, from the whole text alone."""
     @F.pandas_udf("double")
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        dense = np.zeros(1 << BUCKET_BITS)
-        dense[model.buckets] = model.weights
+        scorer = Scorer(model)
         for texts in batches:
-            logits = np.array([model.bias + dense[features(t)].sum() for t in texts], dtype=float)
-            yield pd.Series(1 / (1 + np.exp(-np.clip(logits, -35, 35))))
+            yield pd.Series([scorer(t) for t in texts], dtype=float)
 
     return scored(text)
 
