@@ -12,14 +12,13 @@ from __future__ import annotations
 
 import base64
 import struct
-from collections.abc import Iterator
 from functools import lru_cache
 from itertools import islice
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
+
+from .common import with_computed
 
 #: pre-tokens kept with their ids in each Python worker
 CACHE_ENTRIES = 400_000
@@ -136,32 +135,29 @@ def byte_bpe(ranks_path: str, pattern: str) -> ByteBpe:
     return ByteBpe(ranks_path, pattern)
 
 
-def encoded(text: Column, ranks_path: str, pattern: str) -> Column:
-    """The packed ids of a text column, as a binary column of little-endian unsigned 32-bit integers."""
-    @F.pandas_udf("binary")
-    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        coder = byte_bpe(ranks_path, pattern)
-        for texts in batches:
-            yield pd.Series([coder.encode(t) for t in texts], dtype=object)
-
-    return encode(F.coalesce(text, F.lit("")))
-
+def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, text_column: str = "text", ids_column: str = "ids",
+                     bytes_column: str | None = None, keep: list[str] | None = None) -> DataFrame:
+    """``docs`` with a binary column of ids, packed as little-endian unsigned 32-bit integers.
 
-def decoded(ids: Column, ranks_path: str, pattern: str) -> Column:
-    """The bytes that packed ids stand for; UTF-8 of the text they came from."""
-    @F.pandas_udf("binary")
-    def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    With ``bytes_column`` the packed ids are decoded again in the same pass. ``keep`` names the columns to return besides.
+    """
+    def make():
         coder = byte_bpe(ranks_path, pattern)
-        for packed in batches:
-            yield pd.Series([coder.decode(p) for p in packed], dtype=object)
 
-    return decode(ids)
+        def compute(part):
+            ids = [coder.encode(text or "") for text in part.column(text_column).to_pylist()]
+            return {ids_column: ids} | ({bytes_column: [coder.decode(packed) for packed in ids]} if bytes_column else {})
 
+        return compute
 
-def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, text_column: str = "text", ids_column: str = "ids") -> DataFrame:
-    """``docs`` with one more column of packed ids, which takes the place of a column of the same name."""
-    return docs.withColumn(ids_column, encoded(F.col(text_column), ranks_path, pattern))
+    added = f"`{ids_column}` binary" + (f", `{bytes_column}` binary" if bytes_column else "")
+    return with_computed(docs, added, make, keep=keep)
 
 
 def decode_documents(docs: DataFrame, ranks_path: str, pattern: str, ids_column: str = "ids", bytes_column: str = "decoded") -> DataFrame:
-    return docs.withColumn(bytes_column, decoded(F.col(ids_column), ranks_path, pattern))
+    """``docs`` with the bytes that the packed ids stand for: the UTF-8 of the text they came from. Null ids decode to null."""
+    def make():
+        coder = byte_bpe(ranks_path, pattern)
+        return lambda part: {bytes_column: [None if ids is None else coder.decode(ids) for ids in part.column(ids_column).to_pylist()]}
+
+    return with_computed(docs, f"`{bytes_column}` binary", make)

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 from ..session import stored  # noqa: F401  re-exported for the operators
 
@@ -49,3 +54,27 @@ def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str)
     hot = F.broadcast(groups.filter(F.col(size) >= least))
     cold = groups.filter(F.col(size) < least)
     return rows.join(hot, keys).unionByName(rows.join(hot.select(*keys), keys, "left_anti").join(cold, keys))
+
+
+def with_computed(df: DataFrame, added: str, make: Callable[[], Callable[[pa.RecordBatch], dict]], rows: int = 256,
+                  keep: list[str] | None = None) -> DataFrame:
+    """``df`` with the columns of the DDL string ``added``, computed in Python over slices of at most ``rows`` rows.
+
+    ``make`` runs once per task and returns the function from a slice to the new columns. Slices keep the memory of a worker bounded
+    whatever the size of the batches that Spark sends. Only the columns in ``keep`` are returned besides (default: all others).
+    """
+    fields = StructType.fromDDL(added).fields
+    names = [field.name for field in fields]
+    kept = [c for c in (df.columns if keep is None else keep) if c not in names]
+    schema = StructType([df.schema[c] for c in kept] + fields)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compute = make()
+        kinds = {field.name: to_arrow_type(field.dataType) for field in fields}
+        for batch in batches:
+            for start in range(0, batch.num_rows, rows):
+                part = batch.slice(start, rows)
+                new = compute(part)
+                yield pa.RecordBatch.from_arrays([part.column(c) for c in kept] + [pa.array(new[n], kinds[n]) for n in names], kept + names)
+
+    return df.mapInArrow(run, schema)

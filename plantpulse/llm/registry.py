@@ -46,8 +46,8 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_byte_bpe")
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
-    ids = bpe.encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), *vocabulary).drop("text")
-    both = bpe.decode_documents(ids, *vocabulary)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    both = bpe.encode_documents(docs, *vocabulary, bytes_column="decoded", keep=["doc_id"])
     return both.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
                        F.sha2("decoded", 256).alias("decoded_sha256"))
 
