@@ -90,6 +90,7 @@ def labelled_sample(docs: DataFrame, rows: int = SAMPLE_ROWS, per_language: int
     shares = shares.orderBy("lang").limit(rows)  # one row per language, and no more languages than rows to learn from
     unit = (F.xxhash64("doc_id") / F.lit(2.0**64)) + 0.5
     chosen = known.join(F.broadcast(shares), "lang").withColumn("_order", unit).filter(F.col("_order") < F.col("_share"))
+    chosen = chosen.orderBy("_order", "doc_id", "lang", "text").limit(rows)
 
     @F.pandas_udf("binary")
     def bins(texts: pd.Series) -> pd.Series:
@@ -97,8 +98,8 @@ def labelled_sample(docs: DataFrame, rows: int = SAMPLE_ROWS, per_language: int
         found = [presence.of(t) for t in texts]
         return pd.Series([None if b is None else b.tobytes() for b in found], dtype=object)
 
-    sets = chosen.select("_order", "doc_id", "lang", bins("text").alias("x")).filter("x IS NOT NULL")
-    return [(np.frombuffer(r["x"], np.uint32), r["lang"]) for r in sets.orderBy("_order", "doc_id", "lang", "x").limit(rows).collect()]
+    taken = chosen.select("lang", bins("text").alias("x")).collect()
+    return [(np.frombuffer(r["x"], np.uint32), r["lang"]) for r in taken if r["x"] is not None]
 
 
 def fit(sample: list[tuple[np.ndarray, str]], landmarks: int = LANDMARKS_PER_LANGUAGE, ridge: float = RIDGE) -> LanguageModel:
