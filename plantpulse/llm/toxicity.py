@@ -17,6 +17,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -75,8 +76,8 @@ def features(text: str | None) -> np.ndarray:
     return np.unique((mixed >> np.uint64(64 - BUCKET_BITS)).astype(np.uint32))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> list[tuple[np.ndarray, int]]:
-    """At most ``rows`` labelled documents outside the held-out fold, as buckets and label, in the order of the hash of their id."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
+    """At most ``rows`` labelled documents outside the held-out fold, as packed buckets x and label toxic, in the order of the hash of their id."""
     known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     known = known.filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out())
     chosen = known.withColumn("_order", F.xxhash64("doc_id")).orderBy("_order", "doc_id", "toxic").limit(rows)
@@ -86,8 +87,21 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS)
         return pd.Series([features(t).tobytes() for t in texts], dtype=object)
 
     found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("_order", "doc_id", "toxic", buckets("text").alias("x"))
-    taken = found.orderBy("_order", "doc_id", "toxic", "x").limit(rows).toLocalIterator()
-    return [(np.frombuffer(bytes(r["x"]), np.uint32), r["toxic"]) for r in taken]
+    return found.orderBy("_order", "doc_id", "toxic", "x").limit(rows).select("x", "toxic")
+
+
+def trained(sample: DataFrame) -> ToxicityModel:
+    """The model, fitted in one task over the bounded sample; only the weights come to the driver."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [(np.frombuffer(x.as_buffer(), np.uint32), y) for b in batches for x, y in zip(b.column("x"), b.column("toxic").to_pylist())]
+        model = fit(rows)
+        yield pa.RecordBatch.from_arrays([pa.array([model.bias]), pa.array([model.buckets.tobytes()]), pa.array([model.weights.tobytes()])],
+                                         ["bias", "buckets", "weights"])
+
+    found = sample.mapInArrow(run, "bias double, buckets binary, weights binary").collect()
+    if not found:
+        return fit([])
+    return ToxicityModel(found[0]["bias"], np.frombuffer(found[0]["buckets"], np.uint32), np.frombuffer(found[0]["weights"], np.float32))
 
 
 def _frequent(sample: list[tuple[np.ndarray, int]]) -> np.ndarray:
@@ -168,5 +182,5 @@ def score(text: Column, model: ToxicityModel) -> Column:
 
 def scored_documents(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
     """``docs`` with score and predicted (1 from a score of 0.5 on)."""
-    model = fit(labelled_sample(docs, labels, rows))
+    model = trained(labelled_sample(docs, labels, rows))
     return docs.withColumn("score", score(F.col("text"), model)).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
