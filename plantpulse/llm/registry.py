@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..scratch import ensure_shared_folder
 from ..session import shared_folder
-from . import bpe, exact_dedup, huffman, language, ngram_join, packing, toxicity
+from . import bpe, embedding_dedup, exact_dedup, huffman, language, ngram_join, packing, toxicity
 from .common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,3 +81,8 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_ngram_jaccard_join")
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "class_id")
+
+
+@query("op7_embedding_near_dedup")
+def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
