@@ -29,9 +29,9 @@ from .components import components
 
 COSINE = 0.93
 PARTS = 3
-CODES = 64
-FILTERS = 16
-LEAST_FILTERS = 6
+CODES = 32
+FILTERS = 32
+LEAST_FILTERS = 24
 BLOCK = 512
 
 
