@@ -113,10 +113,15 @@ def _can_link(a: str, b: str) -> Column:
     return sizes & ((100 + PERCENT) * most >= PERCENT * (n_a + n_b))
 
 
-def _whole_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """cid and the packed set of each wanted class, read from the text of the document that names the class."""
-    bits = member_bits(wanted, "cid")
-    likely = with_membership(docs, F.col("doc_id"), bits, "_likely").filter("_likely")
+def _verified(texts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Of pairs of classes those that are linked, by the whole sets.
+
+    A class is named by a document (a, b) and the hash of its set (sig_a, sig_b). Its set is read again from the text; which texts are
+    read is told by bits of fixed size, and what they let through in vain finds no partner in the joins.
+    """
+    pairs = stored(pairs)
+    ends = [pairs.select(F.col(c).alias("doc_id")) for c in ("a", "b")]
+    likely = with_membership(texts, F.col("doc_id"), member_bits(ends[0].unionByName(ends[1]), "doc_id"), "_likely").filter("_likely")
 
     def make():
         def compute(part):
@@ -125,15 +130,7 @@ def _whole_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
         return compute
 
-    found = with_computed(likely.select("doc_id", "text"), "sig1 long, shingles binary", make, keep=["doc_id"])
-    named = wanted.select(F.col("cid").alias("doc_id"), "sig1").distinct()
-    return found.join(named, ["doc_id", "sig1"]).select(F.col("doc_id").alias("cid"), "shingles")
-
-
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Of pairs (a, b) of classes those that are linked, by the whole sets."""
-    both = (pairs.join(sets.select(F.col("cid").alias("a"), F.col("shingles").alias("x")), "a")
-            .join(sets.select(F.col("cid").alias("b"), F.col("shingles").alias("y")), "b"))
+    sets = stored(with_computed(likely.select("doc_id", "text"), "sig1 long, shingles binary", make, keep=["doc_id"]))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -144,7 +141,11 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 linked.append(100 * shared >= PERCENT * (len(x) + len(y) - shared))
             yield batch.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
 
-    return both.select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
+    both = pairs
+    for end, ids, name in (("a", ends[0], "x"), ("b", ends[1], "y")):
+        of_end = with_membership(sets, F.col("doc_id"), member_bits(ids, "doc_id"), "_likely").filter("_likely")
+        both = both.join(of_end.select(F.col("doc_id").alias(end), F.col("sig1").alias(f"sig_{end}"), F.col("shingles").alias(name)), [end, f"sig_{end}"])
+    return both.select("a", "b", "x", "y").mapInArrow(check, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -153,34 +154,39 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     signed = stored(signatures(texts, frequency_table(texts)))
     full = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL")
 
-    groups = stored(full.groupBy("n_shingles", "prefix_sig").agg(F.min("doc_id").alias("gid"), F.first("prefix").alias("prefix")))
+    groups = stored(full.groupBy("n_shingles", "prefix_sig").agg(F.min("doc_id").alias("gid")))
     key = ["n_shingles", "prefix_sig", "sig1", "sig2"]
     classes = stored(full.groupBy(*key).agg(F.min("doc_id").alias("cid"), F.count("*").alias("class_size"))
-                     .join(groups.drop("prefix"), ["n_shingles", "prefix_sig"]))
+                     .join(groups, ["n_shingles", "prefix_sig"]))
 
-    # lists: the groups that share a prefix shingle, and the classes of one group
-    posts = groups.select(F.posexplode("prefix").alias("at", "shingle"), "gid", F.col("n_shingles").alias("n"))
+    # lists: the groups that share a prefix shingle. Bits of fixed size tell which documents stand for a group and which shingles are
+    # shared; the joins behind them are exact
+    standing = with_membership(full, F.col("doc_id"), member_bits(groups, "gid"), "_likely").filter("_likely")
+    posts = standing.select(F.posexplode("prefix").alias("at", "shingle"), F.col("doc_id").alias("gid"), F.col("n_shingles").alias("n"), "prefix_sig")
     shared = stored(posts.groupBy("shingle").agg(F.count("*").alias("groups")).filter("groups > 1"))
     likely = with_membership(posts, F.col("shingle"), member_bits(shared, "shingle"), "_likely").filter("_likely").drop("_likely")
-    lists = stored(likely.join(shared.select("shingle"), "shingle"))
+    lists = stored(likely.join(shared.select("shingle"), "shingle")
+                   .join(groups.select("gid", F.col("n_shingles").alias("n"), "prefix_sig"), ["gid", "n", "prefix_sig"])
+                   .select("shingle", "gid", "n", "at").distinct())
     mixed = stored(classes.groupBy("gid").agg(F.count("*").alias("classes")).filter("classes > 1"))
     listed = lists.select("gid").unionByName(mixed.select("gid")).distinct()
     narrow = stored(classes.select("gid", "cid", "sig1", F.col("n_shingles").alias("n")).join(listed, "gid"))
-    sets = stored(_whole_sets(texts, narrow))
 
     # each group of a list with the list's pivot, each class of a group with the group's first
     pivots = stored(lists.groupBy("shingle").agg(F.min_by(F.struct("gid", "n", "at"), F.xxhash64("gid")).alias("p")).select("shingle", "p.*"))
     stars = (lists.alias("x").join(pivots.alias("y"), "shingle").filter(F.col("x.gid") != F.col("y.gid")).filter(_can_link("x", "y"))
              .select(F.col("x.gid").alias("gid"), F.col("y.gid").alias("b")).distinct())
-    expanded = stars.join(narrow.select("gid", F.col("cid").alias("a")), "gid").select("a", "b")
-    inner = narrow.join(mixed, "gid").filter("cid <> gid").select(F.col("cid").alias("a"), F.col("gid").alias("b"))
-    links = stored(_verified(stored(expanded.unionByName(inner)), sets))
+    member = narrow.select("gid", F.col("cid").alias("a"), F.col("sig1").alias("sig_a"))
+    first = narrow.filter("cid = gid").select(F.col("cid").alias("b"), F.col("sig1").alias("sig_b"))
+    inner = member.join(mixed, "gid").filter("a <> gid").select("gid", F.col("gid").alias("b"), "a", "sig_a")
+    expanded = stars.join(member, "gid").unionByName(inner).join(first, "b").select("a", "sig_a", "b", "sig_b")
+    links = stored(_verified(texts, expanded))
     found = components(links)
 
     # lists that still hold several components: all pairs across components
     own = F.xxhash64(F.lit("group"), F.col("gid"))
-    entries = lists.join(narrow.select("gid", "cid"), "gid").select("shingle", "cid", "n", "at").unionByName(
-        narrow.join(mixed, "gid").select(own.alias("shingle"), "cid", "n", F.lit(0).alias("at")))
+    entries = lists.join(narrow.select("gid", "cid", "sig1"), "gid").select("shingle", "cid", "sig1", "n", "at").unionByName(
+        narrow.join(mixed, "gid").select(own.alias("shingle"), "cid", "sig1", "n", F.lit(0).alias("at")))
     labels = found.select(F.col("node").alias("cid"), "component")
     labelled = stored(entries.join(labels, "cid", "left").withColumn("component", F.coalesce("component", "cid")))
     sizes = labelled.groupBy("shingle", "component").agg(F.count("*").alias("m"))
@@ -190,8 +196,9 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     x, y = open_entries.filter("component <> largest").alias("x"), open_entries.alias("y")
     across = (x.join(y, "shingle").filter(F.col("x.component") != F.col("y.component"))
               .filter((F.col("y.component") == F.col("y.largest")) | (F.col("x.cid") < F.col("y.cid"))).filter(_can_link("x", "y"))
-              .select(F.least("x.cid", "y.cid").alias("a"), F.greatest("x.cid", "y.cid").alias("b")).distinct())
-    more = stored(_verified(stored(across), sets))
+              .select(*(end(F.struct("x.cid", "x.sig1"), F.struct("y.cid", "y.sig1")).alias(c) for c, end in (("p", F.least), ("q", F.greatest)))).distinct())
+    across = across.select(F.col("p.cid").alias("a"), F.col("p.sig1").alias("sig_a"), F.col("q.cid").alias("b"), F.col("q.sig1").alias("sig_b"))
+    more = stored(_verified(texts, across))
     final = components(links.unionByName(more)) if not more.isEmpty() else found
 
     named = classes.select(*key, "cid", "class_size").join(final.withColumnRenamed("node", "cid"), "cid", "left")
