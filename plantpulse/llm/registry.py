@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..scratch import ensure_shared_folder
 from ..session import shared_folder
-from . import bpe, embedding_dedup, exact_dedup, huffman, language, ngram_join, packing, toxicity
+from . import bpe, embedding_dedup, exact_dedup, html_extract, huffman, language, ngram_join, packing, toxicity
 from .common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -86,3 +86,9 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_embedding_near_dedup")
 def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@query("op5_html_extraction")
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return html_extract.extracted(pages, html_extract.fit(pages), keep=["page_id", "url"])
