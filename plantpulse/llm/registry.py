@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..scratch import ensure_shared_folder
 from ..session import shared_folder
-from . import bpe, embedding_dedup, exact_dedup, html_extract, huffman, language, ngram_join, packing, toxicity
+from . import bpe, embedding_dedup, exact_dedup, html_extract, huffman, language, ngram_join, packing, toxicity, warc
 from .common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -92,3 +92,39 @@ def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     return html_extract.extracted(pages, html_extract.fit(pages), keep=["page_id", "url"])
+
+
+def _op9_sql() -> str:
+    uuid = "'<urn:uuid:' || substr({0}, 1, 8) || '-' || substr({0}, 9, 4) || '-' || substr({0}, 13, 4) || '-' || substr({0}, 17, 4) || '-' || substr({0}, 21, 12) || '>'".format
+    text = r"regexp_replace(payload, '<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!doctype[^>]*>', '', 'gis')"
+    text = rf"regexp_replace({text}, '[ \t\r\n\f]+', ' ', 'g')"
+    text = rf"regexp_replace({text}, '{warc._BORDER.removeprefix('(?is)')}', chr(10), 'gis')"
+    text = rf"regexp_replace({text}, '<[^>]*>', '', 'g')"
+    for entity, character in warc.ENTITIES:
+        text = f"replace({text}, '{entity}', '{character.replace(chr(39), chr(39) * 2)}')"
+    text = rf"trim(regexp_replace(regexp_replace({text}, ' *\n[ \n]*', chr(10), 'g'), '^\n|\n$', '', 'g'))"
+    head = "'HTTP/1.1 200 OK' || crlf || 'Content-Type: text/html; charset=UTF-8' || crlf || 'Content-Length: ' || strlen(payload)"
+    facts = ("'source-headers: ' || replace(head, crlf, '; ') || crlf || 'source-bytes: ' || strlen(block) || crlf || 'payload-bytes: ' || strlen(payload)"
+             " || crlf || 'payload-digest: ' || payload_digest || crlf")
+    return f"""
+WITH p AS (SELECT page_id, coalesce(url, '') AS target_uri, coalesce(html, '') AS payload, chr(13) || chr(10) AS crlf FROM pages),
+r AS (SELECT *, {head} AS head, {head} || crlf || crlf || payload AS block, 'sha256:' || sha256(payload) AS payload_digest FROM p),
+s AS (SELECT *, md5('response|' || coalesce(page_id::VARCHAR, 'null') || '|' || target_uri || '|' || payload_digest) AS h FROM r),
+i AS (SELECT *, {uuid('h')} AS response_id, {text} AS plain, {facts} AS facts FROM s),
+d AS (SELECT *, md5('metadata|' || response_id) AS m, md5('conversion|' || response_id) AS c FROM i)
+SELECT page_id, 'response' AS warc_type, response_id AS record_id, NULL AS refers_to, target_uri, NULL AS source_payload_digest, NULL AS concurrent_to,
+       strlen(block) AS content_length, 'sha256:' || sha256(block) AS block_digest, payload_digest FROM d
+UNION ALL
+SELECT page_id, 'metadata', {uuid('m')}, response_id, target_uri, payload_digest, {uuid('c')}, strlen(facts), 'sha256:' || sha256(facts), 'sha256:' || sha256(facts) FROM d
+UNION ALL
+SELECT page_id, 'conversion', {uuid('c')}, response_id, target_uri, payload_digest, {uuid('m')}, strlen(plain), 'sha256:' || sha256(plain), 'sha256:' || sha256(plain) FROM d
+"""
+
+
+@query("op9_warc_derivatives", _op9_sql())
+def op9_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.responses(table(spark, sf_dir, "pages"))
+    records = found.unionByName(warc.derivatives(found))
+    return records.select("page_id", "warc_type", "record_id", "refers_to", "target_uri", F.col("headers")["X-Source-Payload-Digest"].alias("source_payload_digest"),
+                          F.col("headers")["WARC-Concurrent-To"].alias("concurrent_to"), F.octet_length("block").cast("long").alias("content_length"),
+                          "block_digest", "payload_digest")
