@@ -34,7 +34,7 @@ BUCKET_BITS = 32
 PREFIX_BITS = 20
 WORD = re.compile(r"[^\W\d_]+")
 #: hashes of words kept in each Python worker
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 200_000
 _word_hashes: dict[str, int] = {}
 
 
@@ -111,8 +111,11 @@ def _frequent(sample: list[tuple[np.ndarray, int]]) -> np.ndarray:
         at = x >> np.uint32(BUCKET_BITS - 26)
         coarse[at] = np.minimum(coarse[at], LEAST_ROWS) + 1
     likely = [x[coarse[x >> np.uint32(BUCKET_BITS - 26)] >= LEAST_ROWS] for x, _ in sample]
-    buckets, rows = np.unique(np.concatenate(likely), return_counts=True)
-    return buckets[rows >= LEAST_ROWS]
+    del coarse
+    buckets = np.concatenate(likely)
+    buckets.sort()
+    first = np.flatnonzero(np.diff(buckets, prepend=~buckets[:1]))
+    return buckets[first[np.diff(first, append=len(buckets)) >= LEAST_ROWS]]
 
 
 def fit(sample: list[tuple[np.ndarray, int]], p: FtrlParameters = FtrlParameters()) -> ToxicityModel:
