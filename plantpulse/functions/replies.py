@@ -14,6 +14,7 @@ PARTIAL_ENDING = ". Leitura parcial recuperada da IA."
 NOTHING_USABLE = "A IA respondeu, mas nao retornou um texto aproveitavel."
 RISKS = ["low", "medium", "high"]
 DEFAULT_RISK, SALVAGED_CONFIDENCE, PLAIN_CONFIDENCE = "medium", 0.45, 0.35
+#: what a caller of a screen passes as limits; by default texts stay whole
 FIELD_LIMIT, PLAIN_LIMIT, LONG_SUMMARY = 700, 900, 90
 # --- end of fixed values ---
 
@@ -51,25 +52,28 @@ def _strict(text: Column) -> Column:
         listed["recommended_actions"]))
 
 
-def _tidy(text: Column) -> Column:
-    """One line, no surrounding spaces or commas, bounded length; empty becomes NULL."""
+def _shortened(text: Column, limit: int | None) -> Column:
+    return text if limit is None else F.when(F.length(text) > limit, F.concat(F.substring(text, 1, limit), F.lit("..."))).otherwise(text)
+
+
+def _tidy(text: Column, limit: int | None) -> Column:
+    """One line, no surrounding spaces or commas, shortened if a limit is given; empty becomes NULL."""
     line = F.regexp_replace(F.replace(text, F.lit("\\n"), F.lit(" ")), r"(?U)\s+", " ")
     bare = F.regexp_replace(line, r"^[ ,]+|[ ,]+$", "")
-    cut = F.when(F.length(bare) > FIELD_LIMIT, F.concat(F.substring(bare, 1, FIELD_LIMIT), F.lit("..."))).otherwise(bare)
-    return F.when(F.length(bare) > 0, cut)
+    return F.when(F.length(bare) > 0, _shortened(bare, limit))
 
 
-def text_field(text: Column, name: str) -> Column:
+def text_field(text: Column, name: str, limit: int | None = None) -> Column:
     """Value of a quoted field, closed or not; escapes are undone."""
     raw = F.regexp_extract(text, rf'(?s)"{name}"\s*:\s*"((?:\\.|[^"\\])*)', 1)
-    return _tidy(F.regexp_replace(raw, r"(?s)\\(.)", "$1"))
+    return _tidy(F.regexp_replace(raw, r"(?s)\\(.)", "$1"), limit)
 
 
-def list_field(text: Column, name: str) -> Column:
+def list_field(text: Column, name: str, limit: int | None = None) -> Column:
     """Complete quoted items of a list, closed or not."""
     inside = F.regexp_extract(text, rf'(?s)"{name}"\s*:\s*\[([^\]]*)', 1)
     items = F.regexp_extract_all(inside, F.lit(r'(?s)"((?:\\.|[^"\\])*)"'), F.lit(1))
-    return F.filter(F.transform(items, _tidy), lambda t: t.isNotNull())
+    return F.filter(F.transform(items, lambda item: _tidy(item, limit)), lambda t: t.isNotNull())
 
 
 def number_field(text: Column, name: str) -> Column:
@@ -97,10 +101,10 @@ def _ended(summary: Column) -> Column:
     )
 
 
-def salvage(text: Column) -> Column:
+def salvage(text: Column, limit: int | None = None) -> Column:
     """Fields of a broken reply by pattern; NULL when none is found."""
-    summary = text_field(text, "summary")
-    lists = {name: list_field(text, name) for name in _LISTS}
+    summary = text_field(text, "summary", limit)
+    lists = {name: list_field(text, name, limit) for name in _LISTS}
     found = summary.isNotNull() | (F.size(lists["insights"]) > 0) | (F.size(lists["observations"]) > 0) | (F.size(lists["recommended_actions"]) > 0)
     number = number_field(text, "confidence")
     return F.when(found, F.struct(
@@ -113,25 +117,27 @@ def salvage(text: Column) -> Column:
         distinct_texts(lists["recommended_actions"]).alias("recommended_actions")))
 
 
-def plain(text: Column) -> Column:
+def plain(text: Column, limit: int | None = None) -> Column:
     line = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)\s+", " "))
-    cut = F.when(F.length(line) > PLAIN_LIMIT, F.concat(F.substring(line, 1, PLAIN_LIMIT), F.lit("..."))).otherwise(line)
     none = F.array().cast("array<string>")
     return F.struct(
-        F.when(F.length(line) > 0, cut).otherwise(F.lit(NOTHING_USABLE)).alias("summary"), none.alias("insights"),
+        F.when(F.length(line) > 0, _shortened(line, limit)).otherwise(F.lit(NOTHING_USABLE)).alias("summary"), none.alias("insights"),
         F.array(F.lit(PLAIN_NOTE)).alias("observations"), F.lit(DEFAULT_RISK).alias("false_positive_risk"),
         F.lit(PLAIN_CONFIDENCE).alias("confidence"),
         F.from_json(F.lit("[]"), "array<struct<causa: string, confianca: double, racional: string>>").alias("hypotheses"),
         F.array(F.lit(PLAIN_ACTION)).alias("recommended_actions"))
 
 
-def parse_reply(text: Column) -> Column:
-    """Strict reading of the whole reply, of the object inside it, salvage, plain text: the first that works."""
+def classified_reply(text: Column, field_limit: int | None = None, plain_limit: int | None = None) -> Column:
+    """The first reading that works, with its kind: the whole reply, the object inside it, salvaged fields, plain text."""
     bare = strip_fence(text)
-    return F.coalesce(_strict(bare), _strict(cut_object(bare)), salvage(bare), plain(text))
+    readings = {"whole": _strict(bare), "embedded": _strict(cut_object(bare)), "salvaged": salvage(bare, field_limit), "plain": plain(text, plain_limit)}
+    return F.coalesce(*[F.when(found.isNotNull(), F.struct(F.lit(kind).alias("kind"), found.alias("reply"))) for kind, found in readings.items()])
+
+
+def parse_reply(text: Column, field_limit: int | None = None, plain_limit: int | None = None) -> Column:
+    return classified_reply(text, field_limit, plain_limit)["reply"]
 
 
 def reply_kind(text: Column) -> Column:
-    bare = strip_fence(text)
-    return (F.when(_strict(bare).isNotNull(), "whole").when(_strict(cut_object(bare)).isNotNull(), "embedded")
-            .when(salvage(bare).isNotNull(), "salvaged").otherwise("plain"))
+    return classified_reply(text)["kind"]

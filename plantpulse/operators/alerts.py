@@ -273,7 +273,7 @@ def unique_hits(hits: DataFrame, order: Sequence[str] = ("rule_id",)) -> DataFra
 
 
 def all_hits(features: DataFrame, rules: DataFrame, issues: DataFrame | None = None) -> DataFrame:
-    """Every layer over numbered readings with trend features; identities never collide, so no de-duplication is needed."""
+    """Every layer over numbered readings with trend features; user rules may share an identity; episodes count a reading once."""
     hits = (
         fixed_rule_hits(features, rules)
         .unionByName(trend_rule_hits(features, rules))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..catalog import signals as S
 from ..config import LOOKBACK_US, FlowParameters
 from ..functions.columns import epoch_micros, flow_columns, is_normal_operation, mode_key, number_or_null, parse_number, parse_switch
-from ..session import broadcast_if_small
+from ..session import small_side
 
 # --- fixed values: timestamp layouts, tried in this order; day before month, month first only as a last resort ---
 DAY_FIRST_LAYOUTS = ["d/M/yyyy H:mm:ss"]
@@ -78,7 +78,7 @@ def add_derived(df: DataFrame, flow: FlowParameters | DataFrame = FlowParameters
     per_asset = isinstance(flow, DataFrame)
     if per_asset:
         parameters = [c for c in flow.columns if c != "asset_id"]
-        df = df.join(broadcast_if_small(flow), "asset_id", "left")
+        df = df.join(small_side(flow), "asset_id", "left")
     derived = {
         "delta_filtro_oleo_bar": F.col("pv_pres_oleo_antes_filtro_bar") - F.col("pv_pres_oleo_bar"),
         "pv_vib_max_mils": F.greatest(*vibration),
@@ -118,4 +118,4 @@ def merge_history(history: DataFrame, fresh: DataFrame, lookback_us: int | None
         history.select("asset_id", "us").unionByName(fresh.select("asset_id", "us"))
         .groupBy("asset_id").agg((F.max("us") - lookback_us).alias("_from"))
     )
-    return merged.join(broadcast_if_small(bounds), "asset_id").where(F.col("us") >= F.col("_from")).drop("_from")
+    return merged.join(small_side(bounds), "asset_id").where(F.col("us") >= F.col("_from")).drop("_from")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..catalog import rules as R
 from ..catalog.signals import SUBSYSTEMS
+from ..session import small_side
 from .alerts import severity_weight
 
 #: readings per block while islands are found
@@ -22,17 +23,18 @@ def build_episodes(hits: DataFrame, block_rows: int = EPISODE_BLOCK) -> DataFram
 
     Islands are found per block of readings. Only islands that touch a block border can continue elsewhere: at most
     two per block and alert, and just those are stitched per (asset, alert). An alert that never stops and an alert
-    that flickers at every reading both stay spread over blocks.
+    that flickers at every reading both stay spread over blocks. Repeated hits of one reading count once.
     """
     block = F.floor((F.col("row_idx") - 1) / block_rows).cast("bigint")
     in_block = Window.partitionBy("asset_id", "alert_id", "_block").orderBy("row_idx")
     pieces = (
         hits.withColumn("_block", block)
-        .withColumn("_island", F.col("row_idx") - F.row_number().over(in_block))
+        .withColumn("_island", F.col("row_idx") - F.dense_rank().over(in_block))
         .groupBy("asset_id", "alert_id", "_block", "_island")
         .agg(
             F.min("row_idx").alias("first_row"), F.max("row_idx").alias("last_row"),
-            F.min("us").alias("triggered_us"), F.max("us").alias("last_seen_us"), F.count(F.lit(1)).alias("readings"),
+            F.min("us").alias("triggered_us"), F.max("us").alias("last_seen_us"),
+            (F.max("row_idx") - F.min("row_idx") + 1).alias("readings"),
             F.min_by(F.struct(*FROM_FIRST), "row_idx").alias("_first"), F.max_by(F.struct(*FROM_LAST), "row_idx").alias("_last"),
         )
         .withColumn("_open", (F.pmod(F.col("first_row") - 1, F.lit(block_rows)) == 0) | (F.pmod("last_row", F.lit(block_rows)) == 0))
@@ -59,7 +61,7 @@ def build_episodes(hits: DataFrame, block_rows: int = EPISODE_BLOCK) -> DataFram
 def mark_active(episodes: DataFrame, numbered: DataFrame) -> DataFrame:
     """An episode is active when its last reading is the asset's last reading."""
     newest = numbered.groupBy("asset_id").agg(F.max("us").alias("_newest"))
-    return episodes.join(newest, "asset_id").withColumn("is_active", F.col("last_seen_us") == F.col("_newest")).drop("_newest")
+    return episodes.join(small_side(newest), "asset_id").withColumn("is_active", F.col("last_seen_us") == F.col("_newest")).drop("_newest")
 
 
 def active_alerts(episodes: DataFrame) -> DataFrame:

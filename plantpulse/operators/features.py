@@ -24,10 +24,17 @@ STATISTICS = [
 SMOOTHED = ["ewma", "ewma_gap_abs"]
 FEATURES = STATISTICS + SMOOTHED
 
-#: readings that warm up the weighted average of a block; the weight of anything older is below 1e-17
-EWMA_WARM_UP = 1024
-#: readings per block; the running sums below stay inside double range up to about 5000 readings
-EWMA_BLOCK = 2048
+
+
+def ewma_rows(span: int) -> tuple[int, int]:
+    """Readings that warm up a block of the weighted average, and readings of a block.
+
+    After the warm-up the weight of anything older is below exp(-40). Over warm-up and block together the running
+    sums stay below exp(500), well inside double range.
+    """
+    decay = -math.log(1.0 - 2.0 / (span + 1.0)) if span > 1 else 40.0
+    warm_up = math.ceil(40.0 / decay)
+    return warm_up, max(warm_up, int(460.0 / decay))
 
 
 def numbered_readings(df: DataFrame, width_us: int = DAY_US) -> DataFrame:
@@ -138,9 +145,11 @@ def smoothed_values(df: DataFrame, signals: Sequence[str], span: int = EWMA_SPAN
 
     ``df`` needs ``row_idx`` and ``segment_id`` (``numbered_readings``).
     """
+    if span < 1:
+        raise ValueError("the span of a weighted average is 1 or more")
     alpha = 2.0 / (span + 1.0)
-    decay = math.log(1.0 - alpha)
-    blocks = with_row_halo(df, EWMA_WARM_UP, EWMA_BLOCK)
+    decay = math.log(max(1.0 - alpha, math.exp(-40.0)))  # with span 1 nothing is left of an earlier value
+    blocks = with_row_halo(df, *ewma_rows(span))
     run = Window.partitionBy(*KEYS, "block", "segment_id").orderBy("row_idx")
     upto = run.rowsBetween(Window.unboundedPreceding, 0)
     before = run.rowsBetween(Window.unboundedPreceding, -1)

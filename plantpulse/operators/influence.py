@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..catalog import signals as S
 from ..functions import regression as X
 from ..functions.columns import is_normal_operation, is_transition, long_rows
-from ..session import broadcast_if_small, literal_table
+from ..session import literal_table, small_side
 
 from .timeslice import KEYS, number_rows, slice_by_time
 
@@ -123,8 +123,10 @@ def quality_flags(readings: DataFrame, columns: Sequence[str] = (TARGET, *DIRECT
         aggregates |= {f"_cnt_{c}": F.count(c), f"_range_{c}": F.max(c) - F.min(c), f"_std_{c}": F.stddev_pop(c),
                        f"_last_{c}": F.max_by(c, F.when(F.col(c).isNotNull(), F.col("us")))}
     air, vacuum = "pv_temp_ar_estagio_3_c", "pv_pres_vacuo_cx_engran_inh2o"
-    aggregates |= {"_air_n": F.count(air), "_air_zero": F.avg((F.col(air) == 0).cast("double")), "_vac_n": F.count(vacuum),
-                   "_vac_out": F.avg(((F.col(vacuum) < 2.0) | (F.col(vacuum) > 20.0)).cast("double"))}
+    if air in readings.columns:
+        aggregates |= {"_air_n": F.count(air), "_air_zero": F.avg((F.col(air) == 0).cast("double"))}
+    if vacuum in readings.columns:
+        aggregates |= {"_vac_n": F.count(vacuum), "_vac_out": F.avg(((F.col(vacuum) < 2.0) | (F.col(vacuum) > 20.0)).cast("double"))}
     stats = rows.groupBy("asset_id").agg(*[c.alias(n) for n, c in aggregates.items()])
     joined = counts.join(stats, "asset_id", "left")
 
@@ -142,9 +144,11 @@ def quality_flags(readings: DataFrame, columns: Sequence[str] = (TARGET, *DIRECT
         flag("low_valid_points", F.col("valid_rows") < MIN_ANALYSIS_POINTS, None, F.col("valid_rows")),
         *[flag("missing_analysis_signal", F.col("_n") > 0, c) for c in columns if c not in readings.columns],
         *[flag("high_null_ratio", F.col(f"_null_{c}") >= 0.2, c, F.round(f"_null_{c}", 3)) for c in present],
-        flag("persistent_zero_critical_signal", (F.col("_air_n") >= 10) & (F.col("_air_zero") >= 0.75), air, F.round("_air_zero", 3)),
-        flag("engineering_inconsistent_signal", (F.col("_vac_n") >= 5) & (F.col("_vac_out") >= 0.5), vacuum, F.round("_vac_out", 3)),
     ]
+    if air in readings.columns:
+        flags.append(flag("persistent_zero_critical_signal", (F.col("_air_n") >= 10) & (F.col("_air_zero") >= 0.75), air, F.round("_air_zero", 3)))
+    if vacuum in readings.columns:
+        flags.append(flag("engineering_inconsistent_signal", (F.col("_vac_n") >= 5) & (F.col("_vac_out") >= 0.5), vacuum, F.round("_vac_out", 3)))
     for c in measured:
         limit = F.greatest(F.abs(f"_last_{c}") * 0.001, F.lit(0.01))
         still = (F.col(f"_cnt_{c}") >= 45) & (F.col(f"_range_{c}") <= limit) & (F.col(f"_std_{c}") <= limit / 2.0)
@@ -166,7 +170,7 @@ def sufficient_statistics(rows: DataFrame, columns: Sequence[str], keys: Sequenc
 
 MODEL_SCHEMA = (
     "asset_id bigint, model string, n bigint, intercept double, r2 double, features array<string>, coefficients array<double>, "
-    "standardized array<double>, removed array<string>, notes array<string>, sign_issue double"
+    "standardized array<double>, removed array<string>, sign_removed array<string>, notes array<string>, sign_issue double"
 )
 
 
@@ -237,7 +241,7 @@ def fit_models(stats: DataFrame, columns: Sequence[str], direct: Sequence[str] =
         asset = int(frame["asset_id"].iloc[0])
         return pd.DataFrame([
             dict(asset_id=asset, model=name, n=m.n, intercept=m.intercept, r2=m.r2, features=m.features, coefficients=m.coefficients,
-                 standardized=m.standardized, removed=m.removed, notes=m.notes, sign_issue=issue if name == "direct" else 0.0)
+                 standardized=m.standardized, removed=m.removed, sign_removed=dropped if name == "direct" else [], notes=m.notes, sign_issue=issue if name == "direct" else 0.0)
             for name, m in (("direct", first), ("loss", second))
         ])
 
@@ -255,7 +259,7 @@ def score_rows(rows: DataFrame, models: DataFrame, columns: Sequence[str] = DIRE
     direct = models.where(F.col("model") == "direct").select(
         "asset_id", F.col("intercept").alias("_b0"), F.col("features").alias("_f"), F.col("coefficients").alias("_b"))
     values = F.map_from_arrays(F.array(*[F.lit(c) for c in columns]), F.array(*[F.col(c) for c in columns]))
-    scored = rows.join(broadcast_if_small(direct), "asset_id", "left").withColumn(
+    scored = rows.join(small_side(direct), "asset_id", "left").withColumn(
         "expected", expected_value("_f", "_b", "_b0", values)).drop("_b0", "_f", "_b")
     return scored.withColumn("delta", F.col(target) - F.col("expected")).withColumn(
         "delta_pct", F.col("delta") / F.nullif(F.col("expected"), F.lit(0.0)) * 100.0)
@@ -270,15 +274,14 @@ def model_errors(rows: DataFrame, models: DataFrame, direct: Sequence[str] = DIR
     """
     def packed(name: str) -> DataFrame:
         return models.where(F.col("model") == name).select("asset_id", *[
-            F.col(c).alias(f"_{name}_{c}") for c in ("intercept", "features", "coefficients", "removed", "notes")])
+            F.col(c).alias(f"_{name}_{c}") for c in ("intercept", "features", "coefficients", "sign_removed")])
 
     values = F.map_from_arrays(F.array(*[F.lit(c) for c in [*direct, *degradation]]), F.array(*[F.col(c) for c in [*direct, *degradation]]))
-    wide = rows.join(broadcast_if_small(packed("direct")), "asset_id").join(broadcast_if_small(packed("loss")), "asset_id")
+    wide = rows.join(small_side(packed("direct")), "asset_id").join(small_side(packed("loss")), "asset_id")
     wide = wide.withColumn("_values", values)
     wide = wide.withColumn("_delta", F.col(target) - expected_value("_direct_features", "_direct_coefficients", "_direct_intercept", F.col("_values")))
     wide = wide.withColumn("_rest", F.col("_delta") - expected_value("_loss_features", "_loss_coefficients", "_loss_intercept", F.col("_values")))
-    sign_removed = F.filter("_direct_removed", lambda f: F.array_contains("_direct_notes", F.concat(f, F.lit(" removida do modelo direto por sinal fisico incoerente."))))
-    in_play = F.array_except(F.array(*[F.lit(c) for c in direct]), sign_removed)
+    in_play = F.array_except(F.array(*[F.lit(c) for c in direct]), F.col("_direct_sign_removed"))
     baseline = F.size("_direct_features") == 0
     complete = baseline | F.forall(in_play, lambda f: F.element_at(F.col("_values"), f).isNotNull())
     loss_complete = F.forall(F.array(*[F.lit(c) for c in degradation]), lambda f: F.element_at(F.col("_values"), f).isNotNull())
@@ -344,11 +347,11 @@ def exact_median(df: DataFrame, keys: Sequence[str], value: str, accuracy: int =
         F.percentile_approx(value, F.lit(0.5 - around), F.lit(accuracy)).alias("_low"),
         F.percentile_approx(value, F.lit(0.5 + around), F.lit(accuracy)).alias("_high"))
     # neighbours of the bracket: the median may be the mean of two middle values
-    placed = df.where(F.col(value).isNotNull()).join(broadcast_if_small(bounds), list(keys))
+    placed = df.where(F.col(value).isNotNull()).join(small_side(bounds), list(keys))
     outer = placed.groupBy(*keys).agg(
         F.max(F.when(F.col(value) < F.col("_low"), F.col(value))).alias("_below"),
         F.min(F.when(F.col(value) > F.col("_high"), F.col(value))).alias("_above"))
-    near = placed.join(broadcast_if_small(outer), list(keys)).withColumn(
+    near = placed.join(small_side(outer), list(keys)).withColumn(
         "_v", F.when(F.col(value) < F.col("_low"), F.col("_below")).when(F.col(value) > F.col("_high"), F.col("_above")).otherwise(F.col(value)))
     grouped = near.groupBy(*keys, "_v", "_n").agg(F.count(F.lit(1)).alias("_c"))
     upto = F.sum("_c").over(Window.partitionBy(*keys).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))

@@ -10,13 +10,12 @@ from pyspark.sql import functions as F
 from ..catalog import signals as S
 from ..config import DAY_US, HOUR_US, MINUTE_US, FlowParameters
 from ..functions.columns import ambient_columns, flow_columns
-from ..session import broadcast_if_small
+from ..session import broadcast_if_small, small_side
 from .forecast import latest_rows
 from .timeslice import KEYS, newest_rows, number_rows, slice_by_time
 
 UNITS_US = {"minutes": MINUTE_US, "hours": HOUR_US, "days": DAY_US}
 DEFAULT_RANGE_US = 6 * HOUR_US
-MAX_SERIES = 6
 TREND_MEANS = ["ma_15m", "ewma", "std_1h"]
 TREND_LASTS = ["slope_15m", "slope_1h", "zscore_1h"]
 
@@ -45,7 +44,7 @@ def time_range(readings: DataFrame, value: int, unit: str) -> DataFrame:
     literal, so files before it are skipped.
     """
     bounds = readings.groupBy("asset_id").agg((F.max("us") - range_width(value, unit)).alias("_from"))
-    return readings.join(broadcast_if_small(bounds), "asset_id").where(F.col("us") >= F.col("_from")).drop("_from")
+    return readings.join(small_side(bounds), "asset_id").where(F.col("us") >= F.col("_from")).drop("_from")
 
 
 def time_range_of_asset(readings: DataFrame, asset_id: int, value: int, unit: str) -> DataFrame:
@@ -130,9 +129,9 @@ def effective_target(live: Column, static: Column | None = None, fallback: Colum
     return F.coalesce(*[c for c in (live, static, fallback) if c is not None])
 
 
-def trend_rows(features: DataFrame, signals: Sequence[str]) -> DataFrame:
-    """Long rows of the wanted series with the live setpoint of each."""
-    chosen = [s for s in dict.fromkeys(s.strip() for s in signals) if s and s in features.columns][:MAX_SERIES]
+def trend_rows(features: DataFrame, signals: Sequence[str], max_series: int | None = None) -> DataFrame:
+    """Long rows of the wanted series, all of them or the first ``max_series``, with the live setpoint of each."""
+    chosen = [s for s in dict.fromkeys(s.strip() for s in signals) if s and s in features.columns][:max_series]
 
     def feature(s: str, n: str) -> Column:
         return (F.col(f"{s}__{n}") if f"{s}__{n}" in features.columns else F.lit(None).cast("double")).alias(n)
@@ -173,7 +172,7 @@ def normalised(points: DataFrame, keys: Sequence[str] = ("asset_id", "signal"))
     """Values on 0 to 100 per series; a constant series sits at 50. Extremes are an aggregate, joined back."""
     bounds = points.groupBy(*keys).agg(F.min("value").alias("_lo"), F.max("value").alias("_hi"))
     share = (F.col("value") - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0)) * 100.0
-    return points.join(broadcast_if_small(bounds), list(keys)).withColumn(
+    return points.join(small_side(bounds), list(keys)).withColumn(
         "normalized", F.when(F.col("value").isNotNull(), F.coalesce(share, F.lit(50.0)))).drop("_lo", "_hi")
 
 

@@ -18,17 +18,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DAY_US
-from ..session import estimated_bytes
+from ..session import broadcast_if_small, stored
 
 KEYS = ("asset_id",)
 SLICE = "slice_us"
 
 #: rows one task should order at most
 MAX_SLICE_ROWS = 2_000_000
-#: below this input size no cell can be too large, so the counting pass is skipped
-SMALL_INPUT_BYTES = 128 * 1024 * 1024
-#: hot cells that are joined back by broadcast; more of them are joined by shuffle
-MAX_BROADCAST_CELLS = 500_000
 
 
 def cell_start(us: Column, width: Column | int) -> Column:
@@ -41,33 +37,23 @@ def slice_by_time(
     us: str = "us",
     width_us: int = DAY_US,
     max_rows: int = MAX_SLICE_ROWS,
-    small_bytes: int = SMALL_INPUT_BYTES,
 ) -> DataFrame:
     """Add ``slice_us``, the start of the row's time cell.
 
     A cell above ``max_rows`` is cut into equal sub-cells, repeatedly, down to single instants. Finding such cells is
-    a map-side combined count over two columns; the list of hot cells has at most rows / max_rows entries, so it is
-    brought to the driver and joined back by broadcast. Inputs too small to hold a hot cell skip the count.
+    a map-side combined count over two columns. The list of hot cells is a stored table; its size decides how it is joined.
     """
-    cells = df.withColumn(SLICE, cell_start(F.col(us), width_us))
-    size = estimated_bytes(df)
-    if size is not None and size <= small_bytes:
-        return cells
-    cells = cells.withColumn("_width", F.lit(width_us).cast("bigint"))
-    spark = df.sparkSession
+    cells = df.withColumn(SLICE, cell_start(F.col(us), width_us)).withColumn("_width", F.lit(width_us).cast("bigint"))
     while True:
-        crowded = (
+        crowded = stored(
             cells.where(F.col("_width") > 1)
             .groupBy(*keys, SLICE, "_width").count().where(F.col("count") > max_rows)
             .select(*keys, F.col(SLICE).alias("_cell"), F.greatest(
                 F.lit(1), F.floor(F.col("_width") / F.ceil(F.col("count") * 4 / max_rows))).cast("bigint").alias("_finer"))
         )
-        hot = crowded.collect()
-        if not hot:
+        if crowded.isEmpty():
             return cells.drop("_width")
-        finer = spark.createDataFrame(hot, crowded.schema)
-        if len(hot) <= MAX_BROADCAST_CELLS:
-            finer = F.broadcast(finer)
+        finer = broadcast_if_small(crowded)
         cells = (
             cells.join(finer, [cells[k] == finer[k] for k in keys] + [cells[SLICE] == finer["_cell"]], "left")
             .select(*[cells[c] for c in cells.columns if c not in (SLICE, "_width")],

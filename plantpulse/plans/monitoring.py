@@ -56,4 +56,4 @@ def run_cycle(
         history = forecast.merge_alerts(history, forecast.forecast_alerts(decided))
     active = episodes.active_alerts(history)
     scores = episodes.complete_scores(episodes.risk_scores(active), featured)
-    return Cycle(featured, history, active, scores, prescribe.diagnose_alerts(active, featured))
+    return Cycle(featured, history, active, scores, prescribe.diagnose_alerts(history, featured))

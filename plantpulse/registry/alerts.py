@@ -280,12 +280,12 @@ def active_alerts(spark, sf):
 @query("e18_event_history_order", f"""
 WITH {EPISODES}
 SELECT asset_id, alert_id, last_seen_us, severity, row_number() OVER (PARTITION BY asset_id ORDER BY last_seen_us DESC, {WEIGHT} DESC, alert_id, triggered_us DESC) AS place
-FROM episodes QUALIFY place <= 100""")
+FROM episodes""")
 def event_history(spark, sf):
     from pyspark.sql import Window
 
     place = F.row_number().over(Window.partitionBy("asset_id").orderBy(*episodes.event_order())).cast("bigint")
-    ordered = all_episodes(spark, sf).withColumn("place", place).where(F.col("place") <= 100)
+    ordered = all_episodes(spark, sf).withColumn("place", place)
     return ordered.select("asset_id", "alert_id", "last_seen_us", "severity", "place")
 
 

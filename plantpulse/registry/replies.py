@@ -55,9 +55,9 @@ SELECT conv_id, turn, CASE kind WHEN 0 THEN 'plain' WHEN 1 THEN 'whole' WHEN 2 T
   CASE kind WHEN 0 THEN 0.35e0 WHEN 1 THEN 0.62e0 WHEN 2 THEN 0.62e0 WHEN 3 THEN 0.61e0 ELSE 0.45e0 END AS confidence,
   CASE kind WHEN 0 THEN '{P.PLAIN_ACTION}' WHEN 4 THEN 'um|dois' ELSE '' END AS actions FROM cut""")
 def parsed_replies(spark, sf):
-    rows = _replies(spark, sf).withColumn("p", P.parse_reply(F.col("reply")))
+    rows = _replies(spark, sf).withColumn("c", P.classified_reply(F.col("reply"), P.FIELD_LIMIT, P.PLAIN_LIMIT)).withColumn("p", F.col("c.reply"))
     joined = lambda c: F.array_join(f"p.{c}", "|")
-    return rows.select("conv_id", "turn", P.reply_kind(F.col("reply")).alias("reply_kind"), F.col("p.summary").alias("summary"), joined("insights").alias("insights"),
+    return rows.select("conv_id", "turn", F.col("c.kind").alias("reply_kind"), F.col("p.summary").alias("summary"), joined("insights").alias("insights"),
                        joined("observations").alias("observations"), F.col("p.false_positive_risk").alias("risk"), r(F.col("p.confidence"), 4, "confidence"),
                        joined("recommended_actions").alias("actions"))
 
@@ -69,5 +69,5 @@ SELECT conv_id, turn, coalesce(CASE WHEN kind IN (1, 2, 3) THEN nullif(s, '') EN
 def salvaged_fields(spark, sf):
     rows = _replies(spark, sf)
     reply = F.col("reply")
-    return rows.select("conv_id", "turn", F.coalesce(P.text_field(reply, "summary"), F.lit("")).alias("summary"),
+    return rows.select("conv_id", "turn", F.coalesce(P.text_field(reply, "summary", P.FIELD_LIMIT), F.lit("")).alias("summary"),
                        r(F.coalesce(P.number_field(reply, "confidence"), F.lit(-1.0)), 4, "confidence"), P.choice_field(reply, "false_positive_risk").alias("risk"))

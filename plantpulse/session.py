@@ -49,6 +49,14 @@ def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_LIMIT_BYTES) -> Dat
     return F.broadcast(df) if estimated_bytes(df) <= limit else df
 
 
+def small_side(df: DataFrame, limit: int = BROADCAST_LIMIT_BYTES) -> DataFrame:
+    """An aggregate as the small side of a join: written once, so that its true size decides whether it is broadcast.
+
+    Beyond the limit the join shuffles, and as both sides then are tables, Spark may split a key that holds many rows.
+    """
+    return broadcast_if_small(stored(df), limit)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A new folder below the shared folder that ``spark.checkpoint.dir`` names; without one there is no safe place to write."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..catalog import signals as S
 from ..config import FALLBACK_ROWS
 from ..operators.timeslice import newest_rows
-from ..session import broadcast_if_small
+from ..session import small_side
 
 _TAG = re.compile(r"^﻿?(?:[0-9A-Za-z]+_)?((?:PV|SP|ST)_.+)$")
 
@@ -60,7 +60,7 @@ def recent_window(readings: DataFrame, since_us: int, oldest: int | None = None)
 
 def after_mark(readings: DataFrame, marks: DataFrame) -> DataFrame:
     """Rows strictly after each asset's high-water mark (``asset_id, mark_us``); assets without a mark give all rows."""
-    joined = readings.join(broadcast_if_small(marks), "asset_id", "left")
+    joined = readings.join(small_side(marks), "asset_id", "left")
     return joined.where(F.col("mark_us").isNull() | (F.col("us") > F.col("mark_us"))).drop("mark_us")
 
 
@@ -72,5 +72,5 @@ def window_or_newest(readings: DataFrame, since_us: int, fallback: int = FALLBAC
     """The recent window; an asset with nothing in it gives its newest ``fallback`` rows instead."""
     inside = readings.where(F.col("us") >= since_us)
     silent = high_water_marks(readings).where(F.col("mark_us") < since_us).select("asset_id")
-    older = newest_rows(readings.join(broadcast_if_small(silent), "asset_id", "left_semi"), fallback).drop("rank_desc")
+    older = newest_rows(readings.join(small_side(silent), "asset_id", "left_semi"), fallback).drop("rank_desc")
     return inside.unionByName(older.select(*inside.columns))

@@ -17,7 +17,7 @@ from ..config import LOOKBACK_US, WindowWidths
 from ..functions.columns import epoch_micros
 from ..operators.cleaning import keep_last, merge_history
 from ..operators.features import rolling_statistics
-from ..session import broadcast_if_small
+from ..session import small_side
 
 POLL = "60 seconds"
 
@@ -111,11 +111,11 @@ class BoundedHistory:
         before = self.at(batch - 1)
         if before is None:
             newest = fresh.groupBy("asset_id").agg((F.max("us") - self.lookback_us).alias("_from"))
-            kept = fresh.join(broadcast_if_small(newest), "asset_id").where(F.col("us") >= F.col("_from")).drop("_from")
+            kept = fresh.join(small_side(newest), "asset_id").where(F.col("us") >= F.col("_from")).drop("_from")
         else:
             if self.drop_late:
                 marks = before.groupBy("asset_id").agg(F.max("us").alias("_mark"))
-                fresh = fresh.join(broadcast_if_small(marks), "asset_id", "left").where(
+                fresh = fresh.join(small_side(marks), "asset_id", "left").where(
                     F.col("_mark").isNull() | (F.col("us") > F.col("_mark"))).drop("_mark")
             kept = merge_history(before, fresh.select(*before.columns), self.lookback_us)
         kept.select(*fresh.columns).write.mode("overwrite").parquet(f"{self.path}/batch={batch}")
@@ -133,7 +133,7 @@ def feature_batches(history: BoundedHistory, out: str, wanted: dict[str, list[st
         fresh.write.mode("overwrite").parquet(f"{out}-fresh/batch={number}")
         new_rows = fresh.sparkSession.read.schema(fresh.schema).parquet(f"{out}-fresh/batch={number}")
         oldest = new_rows.groupBy("asset_id").agg((F.min("us") - widths.long).alias("_from"))
-        known = history.at(number).join(broadcast_if_small(oldest), "asset_id").where(F.col("us") >= F.col("_from"))
+        known = history.at(number).join(small_side(oldest), "asset_id").where(F.col("us") >= F.col("_from"))
         computed = rolling_statistics(known, wanted, widths)
         columns = [f"{s}__{f}" for s, fs in wanted.items() for f in fs]
         computed.join(new_rows.select("asset_id", "us"), ["asset_id", "us"], "left_semi").select("asset_id", "us", *columns).write.mode(

@@ -150,3 +150,27 @@ def test_stuck_notices_are_not_explained(spark):
     rows = [("fixed_rule", "x", True), ("operational_anomaly", "sensor_stuck::s", False), ("operational_anomaly", "zerada", True), ("predictive_statistics", "p", True)]
     df = spark.createDataFrame(rows, "layer string, rule_id string, expected boolean")
     assert df.where(triage.is_explained() != F.col("expected")).count() == 0
+
+
+def test_doubled_hits_count_once(spark):
+    from plantpulse.operators import alerts, episodes
+
+    rows = [(1, 60_000_000 * k, k, "a") for k in (1, 2, 3, 4, 5, 6, 9, 10)]
+    frame = spark.createDataFrame(rows, "asset_id long, us long, row_idx long, alert_id string")
+    full = frame.select("*", *[F.lit(None).cast("map<string,string>" if c == "metadata" else "string").alias(c) for c in episodes.FROM_FIRST + episodes.FROM_LAST])
+    for block_rows in (4, 1 << 20):
+        found = episodes.build_episodes(full.unionByName(full), block_rows).orderBy("first_row").collect()
+        assert [(r.first_row, r.last_row, r.readings) for r in found] == [(1, 6, 6), (9, 10, 2)]
+
+
+def test_measured_sides_are_broadcast_and_hot_assets_are_not_shuffled(spark):
+    from plantpulse.operators.serving import time_range
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        readings = spark.range(1000).selectExpr("id % 3 AS asset_id", "id * 1000000 AS us", "timestamp_micros(id * 1000000) AS ts")
+        plan = time_range(readings, 1, "hours")._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)

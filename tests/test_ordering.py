@@ -36,7 +36,7 @@ def test_crowded_cells_are_split_and_rows_keep_their_order(spark):
     rng = np.random.default_rng(3)
     burst = pd.DataFrame({"asset_id": 0, "us": 1_700_000_500_000_000 + rng.choice(1_000_000, 150, replace=False), "mode_key": "A|B", "x": 1.0, "y": 2.0})
     frame = pd.concat([calm, burst]).drop_duplicates(["asset_id", "us"])
-    sliced = T.slice_by_time(to_spark(spark, frame), width_us=24 * HOUR, max_rows=20, small_bytes=0)
+    sliced = T.slice_by_time(to_spark(spark, frame), width_us=24 * HOUR, max_rows=20)
     assert sliced.columns[-1] == "slice_us" and sliced.count() == len(frame)
     assert sliced.groupBy("asset_id", "slice_us").count().agg(F.max("count")).first()[0] <= 20
     found = T.number_rows_and_segments(sliced).select("asset_id", "us", "row_idx", "segment_id").toPandas()
