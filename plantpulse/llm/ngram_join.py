@@ -105,12 +105,14 @@ def signatures(docs: DataFrame, frequencies: np.ndarray) -> DataFrame:
     return with_computed(docs, "n_shingles long, sig1 long, sig2 long, prefix_sig long, prefix array<long>", make, keep=["doc_id"])
 
 
-def _can_link(a: str, b: str) -> Column:
-    """By the sizes, and by the places of a shared prefix shingle: 9 * intersection >= 4 * (size + size) is needed at 80 percent."""
-    n_a, n_b, at_a, at_b = F.col(f"{a}.n"), F.col(f"{b}.n"), F.col(f"{a}.at"), F.col(f"{b}.at")
-    sizes = (100 * F.least(n_a, n_b) >= PERCENT * F.greatest(n_a, n_b))
-    most = F.least(at_a, at_b) + 1 + F.least(n_a - at_a - 1, n_b - at_b - 1)
-    return sizes & ((100 + PERCENT) * most >= PERCENT * (n_a + n_b))
+def _sizes_allow(a: str, b: str) -> Column:
+    n_a, n_b = F.col(f"{a}.n"), F.col(f"{b}.n")
+    return 100 * F.least(n_a, n_b) >= PERCENT * F.greatest(n_a, n_b)
+
+
+def _enough(shared: Column | int, rest_a: Column, rest_b: Column, n_a: Column, n_b: Column) -> Column:
+    """Whether ``shared`` shingles and what may follow them in both sets reach the intersection that a link needs."""
+    return (100 + PERCENT) * (shared + F.least(rest_a, rest_b)) >= PERCENT * (n_a + n_b)
 
 
 def _verified(texts: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -174,7 +176,8 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
 
     # each group of a list with the list's pivot, each class of a group with the group's first
     pivots = stored(lists.groupBy("shingle").agg(F.min_by(F.struct("gid", "n", "at"), F.xxhash64("gid")).alias("p")).select("shingle", "p.*"))
-    stars = (lists.alias("x").join(pivots.alias("y"), "shingle").filter(F.col("x.gid") != F.col("y.gid")).filter(_can_link("x", "y"))
+    stars = (lists.alias("x").join(pivots.alias("y"), "shingle").filter(F.col("x.gid") != F.col("y.gid"))
+             .filter(_sizes_allow("x", "y") & _enough(0, F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at"), F.col("x.n"), F.col("y.n")))
              .select(F.col("x.gid").alias("gid"), F.col("y.gid").alias("b")).distinct())
     member = narrow.select("gid", F.col("cid").alias("a"), F.col("sig1").alias("sig_a"))
     first = narrow.filter("cid = gid").select(F.col("cid").alias("b"), F.col("sig1").alias("sig_b"))
@@ -183,10 +186,11 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     links = stored(_verified(texts, expanded))
     found = components(links)
 
-    # lists that still hold several components: all pairs across components
+    # lists that still hold several components: all pairs across components. A pair meets in each list it shares, so that up to its last
+    # shared prefix shingle the intersection is known; pairs that cannot reach a link behind it are dropped before verification
     own = F.xxhash64(F.lit("group"), F.col("gid"))
-    entries = lists.join(narrow.select("gid", "cid", "sig1"), "gid").select("shingle", "cid", "sig1", "n", "at").unionByName(
-        narrow.join(mixed, "gid").select(own.alias("shingle"), "cid", "sig1", "n", F.lit(0).alias("at")))
+    entries = lists.join(narrow.select("gid", "cid", "sig1"), "gid").select("shingle", "gid", "cid", "sig1", "n", "at").unionByName(
+        narrow.join(mixed, "gid").select(own.alias("shingle"), "gid", "cid", "sig1", "n", F.lit(0).alias("at")))
     labels = found.select(F.col("node").alias("cid"), "component")
     labelled = stored(entries.join(labels, "cid", "left").withColumn("component", F.coalesce("component", "cid")))
     sizes = labelled.groupBy("shingle", "component").agg(F.count("*").alias("m"))
@@ -195,9 +199,14 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     open_entries = stored(labelled.join(open_lists, "shingle"))
     x, y = open_entries.filter("component <> largest").alias("x"), open_entries.alias("y")
     across = (x.join(y, "shingle").filter(F.col("x.component") != F.col("y.component"))
-              .filter((F.col("y.component") == F.col("y.largest")) | (F.col("x.cid") < F.col("y.cid"))).filter(_can_link("x", "y"))
-              .select(*(end(F.struct("x.cid", "x.sig1"), F.struct("y.cid", "y.sig1")).alias(c) for c, end in (("p", F.least), ("q", F.greatest)))).distinct())
-    across = across.select(F.col("p.cid").alias("a"), F.col("p.sig1").alias("sig_a"), F.col("q.cid").alias("b"), F.col("q.sig1").alias("sig_b"))
+              .filter((F.col("y.component") == F.col("y.largest")) | (F.col("x.cid") < F.col("y.cid"))).filter(_sizes_allow("x", "y")))
+    ends = [end(*(F.struct(*(F.col(f"{side}.{c}") for c in ("cid", "sig1", "gid", "n", "at"))) for side in ("x", "y"))) for end in (F.least, F.greatest)]
+    met = across.select(*(e.alias(c) for c, e in zip("pq", ends)))
+    named_ends = [F.col(f"{e}.{c}").alias(f"{c}_{e}") for e in "pq" for c in ("cid", "sig1", "gid", "n")]
+    pairs = met.groupBy(*named_ends).agg(F.count("*").alias("shared"), F.max("p.at").alias("at_p"), F.max("q.at").alias("at_q"))
+    reach = _enough(F.col("shared"), F.col("n_p") - F.col("at_p") - 1, F.col("n_q") - F.col("at_q") - 1, F.col("n_p"), F.col("n_q"))
+    across = pairs.filter(reach | (F.col("gid_p") == F.col("gid_q"))).select(  # of one group not all shared shingles are listed
+        F.col("cid_p").alias("a"), F.col("sig1_p").alias("sig_a"), F.col("cid_q").alias("b"), F.col("sig1_q").alias("sig_b"))
     more = stored(_verified(texts, across))
     final = components(links.unionByName(more)) if not more.isEmpty() else found
 
