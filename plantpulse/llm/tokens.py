@@ -1,8 +1,8 @@
 """Token ids of whole texts by a ``tokenizers`` file, with the ids of frequent chunks kept in each Python worker.
 
 A text is cut where the pre-tokenizer of the file certainly cuts as well, so that the ids of a text are those of its chunks in a row:
-at a single space between two characters that are not white space (the space leads the next chunk), or, for a vocabulary that drops
-white space, at every space and line feed. A chunk of letters with punctuation behind it is looked up in two parts. New words of
+at a single space or line feed between two characters that are not white space (the space leads the next chunk), or, for a vocabulary
+that drops white space, at every space and line feed. A chunk of letters with punctuation behind it is looked up in two parts. New words of
 Latin-1 letters, which no normaliser or pre-tokenizer takes apart, go straight to the library's BPE model, many in one call; the model's
 own marks (word end, or the mapped leading space) tell their ids apart. Everything else, of any length, takes the library's whole way.
 """
@@ -32,7 +32,10 @@ _WORD_AND_TAIL = re.compile(rf"({_WORD.pattern})([!-&(-/:-@\[-^_`{{-~]+)")
 
 
 class WordModel:
-    """Ids of plain words from the BPE model alone: ``lead`` is put before each word; a token in ``borders`` ends or begins a word."""
+    """Ids of plain words from the BPE model alone: ``lead`` is put before each word.
+
+    Where tokens show that they end or begin a word, these marks tell words apart, else the library's numbers of words.
+    """
 
     def __init__(self, tokenizer, lead: str, lower: bool):
         from tokenizers import Tokenizer
@@ -43,16 +46,22 @@ class WordModel:
         self.characters = dict(enumerate(byte_characters()))
         self.lead, self.lower = lead.encode().decode("latin-1").translate(self.characters), lower
         vocabulary = tokenizer.get_vocab()
-        self.border = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         marked = (lambda t: t.startswith(self.lead)) if lead else (lambda t: t.endswith("</w>"))
+        self.border = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.border[[i for t, i in vocabulary.items() if marked(t)]] = True
+        self.is_marked = bool(self.border.any())
 
     def packed(self, words: list[str]) -> list[bytes]:
         text = "\n".join(words)
         mapped = (text.lower() if self.lower else text).encode().decode("latin-1").translate(self.characters | {10: f"\n{self.lead}"})
-        ids = np.array(self.model.encode_batch_fast([self.lead + mapped], add_special_tokens=False)[0].ids, dtype="<u4")
-        at = np.flatnonzero(self.border[ids])
-        edges = [*(4 * at).tolist(), 4 * len(ids)] if self.lead else [0, *(4 * at + 4).tolist()]
+        encode = self.model.encode_batch_fast if self.is_marked else self.model.encode_batch
+        found = encode([self.lead + mapped], add_special_tokens=False)[0]
+        ids = np.array(found.ids, dtype="<u4")
+        if not self.is_marked:
+            edges = (4 * np.searchsorted(np.array(found.word_ids), np.arange(len(words) + 1))).tolist()
+        else:
+            at = np.flatnonzero(self.border[ids])
+            edges = [*(4 * at).tolist(), 4 * len(ids)] if self.lead else [0, *(4 * at + 4).tolist()]
         data = ids.tobytes()
         return [data[a:b] for a, b in zip(edges, edges[1:])]
 
@@ -65,12 +74,16 @@ class Chunks:
         self.known: dict[str, bytes] = {"": b""}
 
     def packed(self, chunks: list[str]) -> bytes:
+        return b"".join(map(self.ready(chunks).__getitem__, chunks))
+
+    def ready(self, chunks: list[str]) -> dict[str, bytes]:
+        """A table that holds the packed ids of the given chunks."""
         known = self.known
         if new := {c for c in chunks if c not in known}:
             if len(known) + len(new) > CACHE_ENTRIES:
                 known = {c: known[c] for c in set(chunks) - new}
             self._learn(list(new), known)
-        return b"".join(map(known.__getitem__, chunks))
+        return known
 
     def _learn(self, new: list[str], known: dict[str, bytes]) -> None:
         halves = {c: m.groups() for c in new if (m := _WORD_AND_TAIL.fullmatch(c))}
@@ -98,8 +111,9 @@ class ChunkedTokenizer:
         tokenizer = Tokenizer.from_file(path)
         tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.drops_white_space = drops_white_space
-        self.bare = Chunks(tokenizer, "", WordModel(tokenizer, "", True) if drops_white_space else None, None)
+        self.bare = Chunks(tokenizer, "", WordModel(tokenizer, "", drops_white_space), None)
         self.led = self.bare if drops_white_space else Chunks(tokenizer, " ", WordModel(tokenizer, " ", False), self.bare)
+        self.line_feed = self.bare.packed(["\n"])
 
     def encode(self, text: str | None) -> np.ndarray:
         text, out, start = text or "", [], 0
@@ -113,10 +127,20 @@ class ChunkedTokenizer:
         """``led``: a space stood before the slice."""
         if self.drops_white_space:
             return self.bare.packed(text.replace("\n", " ").split(" "))
-        parts = text.split(" ")
-        if "" in parts or "\n " in text or " \n" in text or _OTHER_WHITE.search(text):
+        lines = [line.split(" ") for line in text.split("\n")]
+        if any("" in line for line in lines) or _OTHER_WHITE.search(text):
             parts = _CUT.split(text)
-        return self.led.packed(parts) if led else self.bare.packed(parts[:1]) + self.led.packed(parts[1:])
+            return self.led.packed(parts) if led else self.bare.packed(parts[:1]) + self.led.packed(parts[1:])
+        first = self.bare.ready([line[0] for line in lines])
+        later = self.led.ready([chunk for line in lines for chunk in line[1:]])
+        out = []
+        for line in lines:
+            out.append(first[line[0]])
+            out.extend(map(later.__getitem__, line[1:]))
+            out.append(self.line_feed)
+        if led:
+            out[0] = self.led.packed(lines[0][:1])
+        return b"".join(out[:-1])
 
 
 @lru_cache(maxsize=2)
