@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..catalog import signals as S
 from ..config import DAY_US, HOUR_US, MINUTE_US, FlowParameters
 from ..functions.columns import ambient_columns, flow_columns
-from ..session import broadcast_if_small, small_side
+from ..session import broadcast_if_small, small_side, stored
 from .forecast import latest_rows
 from .timeslice import KEYS, newest_rows, number_rows, slice_by_time
 
@@ -40,11 +40,14 @@ def range_width(value: int, unit: str) -> int:
 def time_range(readings: DataFrame, value: int, unit: str) -> DataFrame:
     """Readings within the range that ends at each asset's newest reading.
 
-    The newest time per asset is a two-column aggregate; the oldest bound over all assets also goes to the scan as a
-    literal, so files before it are skipped.
+    The newest time per asset is a two-column aggregate, stored once. Its least bound over all assets also goes to the scan as a
+    literal on the event time, so files before it are skipped.
     """
-    bounds = readings.groupBy("asset_id").agg((F.max("us") - range_width(value, unit)).alias("_from"))
-    return readings.join(small_side(bounds), "asset_id").where(F.col("us") >= F.col("_from")).drop("_from")
+    bounds = stored(readings.groupBy("asset_id").agg((F.max("us") - range_width(value, unit)).alias("_from")))
+    least = bounds.agg(F.min("_from")).first()[0]
+    if least is not None and "ts" in readings.columns:
+        readings = readings.where(F.col("ts") >= F.timestamp_micros(F.lit(least)).cast(readings.schema["ts"].dataType))
+    return readings.join(broadcast_if_small(bounds), "asset_id").where(F.col("us") >= F.col("_from")).drop("_from")
 
 
 def time_range_of_asset(readings: DataFrame, asset_id: int, value: int, unit: str) -> DataFrame:

@@ -99,8 +99,6 @@ _COLUMNS = [f"{s}__{f}" for s, fs in _WANTED.items() for f in fs]
 def features_per_batch(spark, sf):
     folder = shared_folder(spark)
     history = flows.BoundedHistory(spark, f"{folder}/history", DAY_US)
-    # a batch may hold more than the look-back: keep at least the batch itself
-    history.lookback_us = (_SPLIT + 1) * DAY_US
     flows.drain(flows.per_batch(_stream(spark, sf), flows.feature_batches(history, f"{folder}/features", _WANTED, D.WIDTHS), f"{folder}/state"))
     rows = spark.read.parquet(f"{folder}/features")
     return rows.select("asset_id", "us", *[r(c) for c in _COLUMNS])

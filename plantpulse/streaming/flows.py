@@ -123,17 +123,20 @@ class BoundedHistory:
 
 
 def feature_batches(history: BoundedHistory, out: str, wanted: dict[str, list[str]], widths: WindowWidths) -> Callable[[DataFrame, int], None]:
-    """Exact rolling statistics for the rows of each micro-batch, computed over the batch and its halo of history.
+    """Exact rolling statistics for all rows of each micro-batch, whatever its length, over the batch and its halo of history.
 
-    Only history within the widest window of the batch's oldest row is read, so the work follows the batch, not the
-    length of the history.
+    Only history within the widest window of the batch's oldest row is read, and that from the version before the batch: the version
+    after it may have dropped rows of a long batch that lie behind the look-back.
     """
     def work(batch: DataFrame, number: int) -> None:
         fresh = history.add(batch, number)
         fresh.write.mode("overwrite").parquet(f"{out}-fresh/batch={number}")
-        new_rows = fresh.sparkSession.read.schema(fresh.schema).parquet(f"{out}-fresh/batch={number}")
-        oldest = new_rows.groupBy("asset_id").agg((F.min("us") - widths.long).alias("_from"))
-        known = history.at(number).join(small_side(oldest), "asset_id").where(F.col("us") >= F.col("_from"))
+        new_rows = known = fresh.sparkSession.read.schema(fresh.schema).parquet(f"{out}-fresh/batch={number}")
+        before = history.at(number - 1)
+        if before is not None:
+            oldest = new_rows.groupBy("asset_id").agg((F.min("us") - widths.long).alias("_from"))
+            halo = before.join(small_side(oldest), "asset_id").where(F.col("us") >= F.col("_from")).select(*new_rows.columns)
+            known = new_rows.unionByName(halo.join(new_rows.select("asset_id", "us"), ["asset_id", "us"], "left_anti"))
         computed = rolling_statistics(known, wanted, widths)
         columns = [f"{s}__{f}" for s, fs in wanted.items() for f in fs]
         computed.join(new_rows.select("asset_id", "us"), ["asset_id", "us"], "left_semi").select("asset_id", "us", *columns).write.mode(
