@@ -149,6 +149,7 @@ def _raw_blocks(docs: DataFrame, tokenizer_path: str, drops_white_space: bool, e
                         yield row(is_open)
                         block, done, docs_before = block + 1, done + size, docs_before + len(names) - is_open
                         held, names, places, size, continued = [], [], [], 0, is_open
+        coder.forget()
         if size:
             yield row(False)
 

@@ -12,15 +12,14 @@ results. A column of the input that has the name of a result column is replaced.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out
+from .common import held_out, with_computed
 
 UNDETERMINED = "und"
 ORDERS = (1, 2, 3)
@@ -128,29 +127,29 @@ def fit(sample: list[tuple[np.ndarray, str]], landmarks: int = LANDMARKS_PER_LAN
     return LanguageModel(languages, columns, (marks.T @ (whiten @ ridge_rows)).astype(np.float32))
 
 
-def predicted(text: Column, model: LanguageModel, sharpness: float = 4.0) -> Column:
-    """A struct of lang_pred and score; the score is the softmax of the one-versus-rest values."""
-    @F.pandas_udf("lang_pred string, score double")
-    def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+def with_predictions(docs: DataFrame, model: LanguageModel, prediction: str = "lang_pred", score: str = "score", keep: list[str] | None = None,
+                     sharpness: float = 4.0) -> DataFrame:
+    """``docs`` with the predicted language and its score, the softmax of the one-versus-rest values."""
+    def make():
         presence = Presence()
-        for texts in batches:
-            names, scores = np.full(len(texts), UNDETERMINED, dtype=object), np.zeros(len(texts))
-            for start in range(0, len(texts) if model.languages else 0, BATCH):
-                sets = [presence.of(t) for t in texts[start:start + BATCH]]
-                rows = [i for i, bins in enumerate(sets) if bins is not None]
-                if rows:
-                    values = _kernel_rows([sets[i] for i in rows], model.bins) @ model.coefficients
-                    shares = np.exp(sharpness * (values - values.max(axis=1, keepdims=True)))
-                    at = np.array(rows) + start
-                    names[at] = np.array(model.languages, dtype=object)[values.argmax(axis=1)]
-                    scores[at] = (shares.max(axis=1) / shares.sum(axis=1)).astype(float)
-            yield pd.DataFrame({"lang_pred": names, "score": scores})
-
-    return predict(text)
-
-
-def identified_documents(docs: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """``docs`` with lang_pred and score."""
-    model = fit(labelled_sample(docs, rows))
-    both = docs.withColumn("_language", predicted(F.col("text"), model))
-    return both.withColumns({"lang_pred": F.col("_language.lang_pred"), "score": F.col("_language.score")}).drop("_language")
+
+        def compute(part):
+            names, scores = [UNDETERMINED] * part.num_rows, np.zeros(part.num_rows)
+            sets = [presence.of(text) for text in part.column("text").to_pylist()] if model.languages else []
+            rows = [i for i, bins in enumerate(sets) if bins is not None]
+            if rows:
+                values = _kernel_rows([sets[i] for i in rows], model.bins) @ model.coefficients
+                shares = np.exp(sharpness * (values - values.max(axis=1, keepdims=True)))
+                scores[rows] = shares.max(axis=1) / shares.sum(axis=1)
+                for i, best in zip(rows, values.argmax(axis=1)):
+                    names[i] = model.languages[best]
+            return {prediction: names, score: scores}
+
+        return compute
+
+    return with_computed(docs, f"`{prediction}` string, `{score}` double", make, rows=BATCH, keep=keep)
+
+
+def identified_documents(docs: DataFrame, rows: int = SAMPLE_ROWS, keep: list[str] | None = None) -> DataFrame:
+    """``docs``, or its columns in ``keep``, with lang_pred and score."""
+    return with_predictions(docs, fit(labelled_sample(docs, rows)), keep=keep)

@@ -61,6 +61,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, drops_white_
                         seen[b - a] += 1
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(owner, pa.int32()))]
                                                  + [pa.array(v, kinds[n]) for n, v in out.items()], ["doc_id", *kinds])
+        coder.forget()
 
     ids = ", ids binary" if with_ids else ""
     kind = rows.schema["doc_id"].dataType.simpleString()

@@ -56,13 +56,13 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_language_id")
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    return language.identified_documents(docs).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+    return language.identified_documents(docs, keep=["doc_id"]).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
 @query("op10_toxicity")
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    scored = toxicity.scored_documents(docs, table(spark, sf_dir, "labels"))
+    scored = toxicity.scored_documents(docs, table(spark, sf_dir, "labels"), keep=["doc_id"])
     return scored.select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
 

@@ -115,6 +115,11 @@ class ChunkedTokenizer:
         self.led = self.bare if drops_white_space else Chunks(tokenizer, " ", WordModel(tokenizer, " ", False), self.bare)
         self.line_feed = self.bare.packed(["\n"])
 
+    def forget(self) -> None:
+        """Give the memory of known chunks back, at the end of a task: the worker may go on with something else."""
+        for chunks in (self.bare, self.led):
+            chunks.known = {"": b""}
+
     def encode(self, text: str | None) -> np.ndarray:
         text, out, start = text or "", [], 0
         while len(text) - start > SLICE_CHARS and (cut := _CUT.search(text, start + SLICE_CHARS)):

@@ -19,10 +19,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out
+from .common import held_out, with_computed
 
 #: most labelled rows that are learned from
 SAMPLE_ROWS = 16_000
@@ -34,7 +34,7 @@ BUCKET_BITS = 32
 PREFIX_BITS = 20
 WORD = re.compile(r"[^\W\d_]+")
 #: hashes of words kept in each Python worker
-CACHE_ENTRIES = 200_000
+CACHE_ENTRIES = 100_000
 _word_hashes: dict[str, int] = {}
 
 
@@ -172,18 +172,16 @@ class Scorer:
         return 1 / (1 + np.exp(-np.clip(logit, -35, 35)))
 
 
-def score(text: Column, model: ToxicityModel) -> Column:
-    """The probability of label 1, from the whole text alone."""
-    @F.pandas_udf("double")
-    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def with_scores(docs: DataFrame, model: ToxicityModel, score: str = "score", keep: list[str] | None = None) -> DataFrame:
+    """``docs``, or its columns in ``keep``, with the probability of label 1, from the whole text alone."""
+    def make():
         scorer = Scorer(model)
-        for texts in batches:
-            yield pd.Series([scorer(t) for t in texts], dtype=float)
+        return lambda part: {score: [float(scorer(text)) for text in part.column("text").to_pylist()]}
 
-    return scored(text)
+    return with_computed(docs, f"`{score}` double", make, keep=keep)
 
 
-def scored_documents(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """``docs`` with score and predicted (1 from a score of 0.5 on)."""
+def scored_documents(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, keep: list[str] | None = None) -> DataFrame:
+    """``docs``, or its columns in ``keep``, with score and predicted (1 from a score of 0.5 on)."""
     model = trained(labelled_sample(docs, labels, rows))
-    return docs.withColumn("score", score(F.col("text"), model)).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    return with_scores(docs, model, keep=keep).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
