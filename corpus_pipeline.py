@@ -24,16 +24,25 @@ from plantpulse.session import stored
 ORACLE_SQL = None
 
 
+def _unused(docs: DataFrame, name: str) -> str:
+    """A column name that ``docs`` does not have."""
+    while name in docs.columns:
+        name = f"_{name}"
+    return name
+
+
 def with_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents whose language cannot be determined."""
     model = language.fit(language.labelled_sample(docs))
-    return docs.filter(language.predicted(F.col("text"), model)["lang_pred"] != language.UNDETERMINED)
+    found, score = _unused(docs, "lang_pred"), _unused(docs, "score")
+    return language.with_predictions(docs, model, found, score).filter(F.col(found) != language.UNDETERMINED).select(*docs.columns)
 
 
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects toxic documents."""
     model = toxicity.trained(toxicity.labelled_sample(docs, table(spark, sf_dir, "labels")))
-    return docs.filter(toxicity.score(F.col("text"), model) < 0.5)
+    score = _unused(docs, "score")
+    return toxicity.with_scores(docs, model, score).filter(F.col(score) < 0.5).select(*docs.columns)
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
