@@ -56,6 +56,12 @@ def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str)
     return rows.join(hot, keys).unionByName(rows.join(hot.select(*keys), keys, "left_anti").join(cold, keys))
 
 
+def send_few_rows(spark: SparkSession) -> None:
+    """Whole documents are large rows: let Spark send Python a tenth of its default number at a time. Another setting is kept."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+
 def with_computed(df: DataFrame, added: str, make: Callable[[], Callable[[pa.RecordBatch], dict]], rows: int = 256,
                   keep: list[str] | None = None) -> DataFrame:
     """``df`` with the columns of the DDL string ``added``, computed in Python over slices of at most ``rows`` rows.
@@ -63,6 +69,7 @@ def with_computed(df: DataFrame, added: str, make: Callable[[], Callable[[pa.Rec
     ``make`` runs once per task and returns the function from a slice to the new columns. Slices keep the memory of a worker bounded
     whatever the size of the batches that Spark sends. Only the columns in ``keep`` are returned besides (default: all others).
     """
+    send_few_rows(df.sparkSession)
     fields = StructType.fromDDL(added).fields
     names = [field.name for field in fields]
     kept = [c for c in (df.columns if keep is None else keep) if c not in names]

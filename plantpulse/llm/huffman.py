@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import shared_folder
+from .common import send_few_rows
 from .tokens import chunked_tokenizer
 
 BLOCK_IDS = 1 << 16
@@ -160,6 +161,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int,
                  id_column: str = "doc_id", text_column: str = "text", block_ids: int = BLOCK_IDS, max_bits: int = MAX_BITS) -> None:
     """Write the ids of all whole texts, each followed by ``end_id``, to a token folder."""
     spark = docs.sparkSession
+    send_few_rows(spark)
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
     raw_folder = shared_folder(spark)
     _raw_blocks(rows, tokenizer_path, drops_white_space, end_id, block_ids).write.option("compression", "zstd").parquet(raw_folder)

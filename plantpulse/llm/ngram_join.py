@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_groups, member_bits, stored, with_computed, with_membership
+from .common import join_groups, member_bits, send_few_rows, stored, with_computed, with_membership
 from .components import components
 
 WORDS = 5
@@ -73,6 +73,7 @@ def frequency_table(docs: DataFrame) -> np.ndarray:
                 sums[i] = sums.get(i, 0) + np.frombuffer(counts.as_buffer(), np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([s.tobytes() for s in sums.values()], pa.binary())], ["slice", "counts"])
 
+    send_few_rows(docs.sparkSession)
     kind = "slice int, counts binary"
     found = docs.select("text").mapInArrow(count, kind).repartition("slice").mapInArrow(add, kind).collect()
     table = np.zeros((_SLICES, FREQUENCY_BUCKETS // _SLICES), dtype=np.int64)

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import send_few_rows, stored
 from .tokens import chunked_tokenizer
 
 CAPACITY = 2048
@@ -38,6 +38,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, drops_white_
 
     ``with_ids`` adds the packed ids, for ``sequences``.
     """
+    send_few_rows(docs.sparkSession)
     rows = docs.select(F.col(id_column).alias("doc_id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
     kinds = {"piece": pa.int32(), "start": pa.int64(), "length": pa.int64(), "ids_crc32": pa.int64(), "part": pa.int32(), "rank": pa.int64()}
     kinds |= {"ids": pa.binary()} if with_ids else {}
@@ -61,7 +62,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, drops_white_
                         seen[b - a] += 1
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(owner, pa.int32()))]
                                                  + [pa.array(v, kinds[n]) for n, v in out.items()], ["doc_id", *kinds])
-        coder.forget()
+        chunked_tokenizer.cache_clear()  # the worker may go on with something else
 
     ids = ", ids binary" if with_ids else ""
     kind = rows.schema["doc_id"].dataType.simpleString()
