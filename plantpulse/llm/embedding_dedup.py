@@ -1,9 +1,11 @@
 """Embedding near-dedup by spherical-cap filters.
 
-A filter is a direction made of one random unit code per third of the dimensions; a product code of ``CODES`` to the power of
-``PARTS`` directions. A vector is list-decoded to all directions whose inner product with it exceeds a threshold, which is set so that
-a random vector passes ``FILTERS`` of them; where fewer pass, its best ``LEAST_FILTERS`` are taken. Vectors of the same label that share
-a filter are compared exactly, in double precision.
+Vectors are first turned by one fixed random rotation, so that neither an order nor a padding of the coordinates matters. A filter is a
+direction made of one random unit code per third of the turned dimensions; a product code of ``CODES`` to the power of ``PARTS``
+directions. A vector is list-decoded to all directions whose inner product with it exceeds a threshold, which is set so that a random
+vector passes ``FILTERS`` of them; where fewer pass, its best ``LEAST_FILTERS`` are taken. Below ``FEW_DIMENSIONS`` dimensions the filters
+are grid cells instead, which no pair above the threshold escapes. Vectors of the same label that share a filter are compared exactly,
+in double precision.
 
 Equal vectors are collapsed to one class first. A filter's vectors are compared in pairs of blocks of about ``BLOCK`` rows; a block
 pair returns one row per vector, its number of links and one link to the smallest vector of its part, never the pairs. A pair that
@@ -33,6 +35,8 @@ CODES = 32
 FILTERS = 32
 LEAST_FILTERS = 24
 BLOCK = 512
+FEW_DIMENSIONS = 8
+CELL_COORDINATES = 5
 
 
 class CapFilters:
@@ -40,11 +44,11 @@ class CapFilters:
 
     def __init__(self, dim: int, seed: int = 11):
         rng = np.random.default_rng([seed, dim])
-        self.edges = [(int(p[0]), int(p[-1]) + 1) for p in np.array_split(np.arange(dim), min(PARTS, dim))]
+        rotation = np.linalg.qr(np.random.default_rng([seed, dim, 1]).standard_normal((dim, dim)))[0]
         self.codes = []
-        for a, b in self.edges:
-            code = rng.standard_normal((CODES, b - a))
-            self.codes.append(code / np.linalg.norm(code, axis=1, keepdims=True))
+        for turned in np.array_split(rotation, min(PARTS, dim)):
+            code = rng.standard_normal((CODES, len(turned)))
+            self.codes.append(code / np.linalg.norm(code, axis=1, keepdims=True) @ turned)
         trial = rng.standard_normal((64, dim))
         trial /= np.linalg.norm(trial, axis=1, keepdims=True)
         every = np.stack([self._all(self._parts(v[None, :]))[0] for v in trial])
@@ -52,7 +56,7 @@ class CapFilters:
         self.threshold = float(-np.partition(-every.ravel(), passing)[passing])
 
     def _parts(self, unit: np.ndarray) -> list[np.ndarray]:
-        return [unit[:, a:b] @ code.T for (a, b), code in zip(self.edges, self.codes)]
+        return [unit @ code.T for code in self.codes]
 
     @staticmethod
     def _all(parts: list[np.ndarray]) -> np.ndarray:
@@ -76,10 +80,36 @@ class CapFilters:
         return found
 
 
+class CellFilters:
+    """Grid cells over the first coordinates of vectors of few dimensions.
+
+    A vector takes the cells within half the distance of a link of it, coordinate by coordinate; two linked vectors share the cell of
+    their midpoint.
+    """
+
+    def __init__(self, dim: int, cosine: float):
+        self.coordinates = min(CELL_COORDINATES, dim)
+        self.reach = np.sqrt(max(2 - 2 * cosine, 0)) / 2 + 1e-9
+        self.width = max(2 * self.reach, 0.05)
+        self.base = int((2 + 2 * self.reach) / self.width) + 2
+
+    def decode(self, unit: np.ndarray) -> list[np.ndarray]:
+        """The ids of the filters of each row, ascending."""
+        x = unit[:, :self.coordinates] + 1 + self.reach
+        low, high = (np.floor((x + side) / self.width).astype(np.int64) for side in (-self.reach, self.reach))
+        found = []
+        for first, last in zip(low, high):
+            ids = np.zeros(1, dtype=np.int64)
+            for a, b in zip(first, last):
+                ids = (ids[:, None] * self.base + np.arange(a, b + 1)).ravel()
+            found.append(ids)
+        return found
+
+
 @lru_cache(maxsize=4)
-def cap_filters(dim: int) -> CapFilters:
-    """One per Python worker and dimension."""
-    return CapFilters(dim)
+def filters_of(dim: int, cosine: float) -> CapFilters | CellFilters:
+    """One per Python worker, dimension and threshold."""
+    return CellFilters(dim, cosine) if dim < FEW_DIMENSIONS else CapFilters(dim)
 
 
 def _sound(values: list | None) -> np.ndarray | None:
@@ -103,7 +133,7 @@ def _classes(vectors: DataFrame) -> DataFrame:
     return with_computed(vectors, "dim int, digest binary, vector binary", make, rows=2048, keep=["vec_id", "label"])
 
 
-def _with_filters(classes: DataFrame) -> DataFrame:
+def _with_filters(classes: DataFrame, cosine: float) -> DataFrame:
     def make():
         def compute(part):
             out: list = [None] * part.num_rows
@@ -111,7 +141,7 @@ def _with_filters(classes: DataFrame) -> DataFrame:
             for dim in np.unique(dims):
                 at = np.flatnonzero(dims == dim)
                 x = np.stack([np.frombuffer(data[i], np.float64) for i in at])
-                for i, ids in zip(at, cap_filters(int(dim)).decode(x / np.linalg.norm(x, axis=1, keepdims=True))):
+                for i, ids in zip(at, filters_of(int(dim), cosine).decode(x / np.linalg.norm(x, axis=1, keepdims=True))):
                     out[i] = ids.astype(np.int32)
             return {"filters": out}
 
@@ -160,7 +190,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, id_column: str =
     valid = "digest IS NOT NULL AND label IS NOT NULL AND vec_id IS NOT NULL"
     key = ["label", "dim", "digest"]
     classes = read.filter(valid).groupBy(*key).agg(F.min("vec_id").alias("cid"), F.count("*").alias("class_size"), F.first("vector").alias("vector"))
-    filtered = stored(_with_filters(classes))
+    filtered = stored(_with_filters(classes, cosine))
 
     postings = filtered.select("label", "dim", "cid", F.explode("filters").alias("filter"))
     bucket = ["label", "dim", "filter"]

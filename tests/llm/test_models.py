@@ -219,6 +219,29 @@ def test_cap_filters_recall_at_the_threshold():
         assert set(passing) <= set(ids) and len(ids) >= embedding_dedup.LEAST_FILTERS
 
 
+@pytest.mark.parametrize("shape", [1 / np.arange(1, 65), np.arange(64) < 32, np.arange(64) < 22], ids=["decaying", "half padded", "two thirds padded"])
+def test_cap_filters_recall_where_coordinates_differ(shape):
+    rng = np.random.default_rng(4)
+    caps = embedding_dedup.CapFilters(64)
+    x, side = rng.standard_normal((400, 64)) * shape, rng.standard_normal((400, 64)) * shape
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    side -= (side * x).sum(axis=1, keepdims=True) * x
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    y = 0.931 * x + np.sqrt(1 - 0.931**2) * side
+    assert np.mean([len(np.intersect1d(a, b)) > 0 for a, b in zip(caps.decode(x), caps.decode(y))]) >= 0.97
+
+
+@pytest.mark.parametrize("dim", [1, 2, 5, 7])
+def test_no_link_escapes_in_few_dimensions(dim):
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((300, dim))
+    y = x + 0.2 * rng.standard_normal(x.shape)
+    x, y = (v / np.linalg.norm(v, axis=1, keepdims=True) for v in (x, y))
+    filters = embedding_dedup.filters_of(dim, 0.93)
+    shared = np.array([len(np.intersect1d(a, b)) > 0 for a, b in zip(filters.decode(x), filters.decode(y))])
+    assert shared[(x * y).sum(axis=1) >= 0.93].all()
+
+
 # -- WARC -------------------------------------------------------------------------------------------------------------
 
 def test_warc_records_link_and_round_trip(spark):
