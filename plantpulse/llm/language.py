@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, with_computed
+from .common import held_out, stored, with_computed
 
 UNDETERMINED = "und"
 ORDERS = (1, 2, 3)
@@ -83,13 +83,18 @@ def _kernel_rows(sets: list[np.ndarray], columns: np.ndarray) -> np.ndarray:
 
 
 def labelled_sample(docs: DataFrame, rows: int = SAMPLE_ROWS, per_language: int = ROWS_PER_LANGUAGE) -> list[tuple[np.ndarray, str]]:
-    """About ``per_language`` rows of each language outside the held-out fold, chosen by the hash of their id; ``rows`` at most."""
+    """About ``per_language`` rows of each language outside the held-out fold, chosen by the hash of their id; ``rows`` at most.
+
+    Where the languages are so many that this exceeds ``rows``, each has an equal part of ``rows``. What chance draws above the bound is
+    cut from all languages alike, and the row with the smallest hash of each language always stays.
+    """
     known = docs.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
-    shares = known.groupBy("lang").agg((F.lit(1.0) * per_language / F.count("*")).alias("_share"))
-    shares = shares.orderBy("lang").limit(rows)  # one row per language, and no more languages than rows to learn from
     unit = (F.xxhash64("doc_id") / F.lit(2.0**64)) + 0.5
-    chosen = known.join(F.broadcast(shares), "lang").withColumn("_order", unit).filter(F.col("_order") < F.col("_share"))
-    chosen = chosen.orderBy("_order", "doc_id", "lang", "text").limit(rows)
+    counts = known.groupBy("lang").agg(F.count("*").alias("_rows"), F.min(unit).alias("_least"))
+    counts = stored(counts.orderBy("lang").limit(rows))  # one row per language, and no more languages than rows to learn from
+    bound = min(per_language, rows / max(counts.count(), 1))
+    chosen = known.join(F.broadcast(counts), "lang").withColumn("_order", F.when(unit == F.col("_least"), 0.0).otherwise(unit * F.col("_rows")))
+    chosen = chosen.filter(F.col("_order") < bound).orderBy("_order", "doc_id", "lang", "text").limit(rows)
 
     @F.pandas_udf("binary")
     def bins(texts: pd.Series) -> pd.Series:

@@ -3,6 +3,7 @@
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -49,6 +50,18 @@ def test_language_sample_leaves_out_the_held_out_fold(spark):
     assert {lang for _, lang in language.labelled_sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"))} == {"en"}
 
 
+def test_language_sample_keeps_small_languages(spark):
+    sizes = {"aa": 20_000, **{f"b{k}": 3_000 for k in range(10)}, "small": 40, "tiny": 1}
+    names = [lang for lang, n in sizes.items() for _ in range(n)]
+    rows = [(i, "a few words", lang) for i, lang in enumerate(names, 1) if not fold(i)]
+    left = Counter(lang for _, _, lang in rows)
+    found = language.labelled_sample(spark.createDataFrame(rows + [(None, "x", "no id")], "doc_id long, text string, lang string"), rows=390, per_language=50)
+    taken = Counter(lang for _, lang in found)
+    assert len(found) <= 390 and taken.keys() == left.keys() and taken["small"] >= 0.7 * min(left["small"], 30)
+    assert all(15 <= taken[lang] <= 50 for lang, n in sizes.items() if n >= 3_000)
+    assert {lang for _, lang in language.labelled_sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"), rows=13)} == left.keys()
+
+
 def test_folded_coefficients_equal_the_kernel():
     presence = language.Presence()
     texts = ["the cat sat on the mat", "el gato come pescado", "the dog and the cat", "una casa y un gato", "le chat est noir", "la maison"]
