@@ -32,10 +32,11 @@ def _unused(docs: DataFrame, name: str) -> str:
 
 
 def with_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents whose language cannot be determined."""
+    """Rejects documents without a letter, whatever languages were learned, if any."""
     model = language.fit(language.labelled_sample(docs))
     found, score = _unused(docs, "lang_pred"), _unused(docs, "score")
-    return language.with_predictions(docs, model, found, score).filter(F.col(found) != language.UNDETERMINED).select(*docs.columns)
+    scored = language.with_predictions(docs, model, found, score, unlearned=None)
+    return scored.filter(F.col(found).isNull() | (F.col(score) > 0)).select(*docs.columns)  # a language may itself be called ``und``
 
 
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -133,16 +133,22 @@ def fit(sample: list[tuple[np.ndarray, str]], landmarks: int = LANDMARKS_PER_LAN
 
 
 def with_predictions(docs: DataFrame, model: LanguageModel, prediction: str = "lang_pred", score: str = "score", keep: list[str] | None = None,
-                     sharpness: float = 4.0) -> DataFrame:
-    """``docs`` with the predicted language and its score, the softmax of the one-versus-rest values."""
+                     sharpness: float = 4.0, unlearned: str | None = UNDETERMINED) -> DataFrame:
+    """``docs`` with the predicted language and its score, the softmax of the one-versus-rest values.
+
+    ``unlearned`` is the prediction for texts with letters when the model has no language.
+    """
     def make():
         presence = Presence()
 
         def compute(part):
             names, scores = [UNDETERMINED] * part.num_rows, np.zeros(part.num_rows)
-            sets = [presence.of(text) for text in part.column("text").to_pylist()] if model.languages else []
+            sets = [presence.of(text) for text in part.column("text").to_pylist()]
             rows = [i for i, bins in enumerate(sets) if bins is not None]
-            if rows:
+            if not model.languages:
+                for i in rows:
+                    names[i] = unlearned
+            elif rows:
                 values = _kernel_rows([sets[i] for i in rows], model.bins) @ model.coefficients
                 shares = np.exp(sharpness * (values - values.max(axis=1, keepdims=True)))
                 scores[rows] = shares.max(axis=1) / shares.sum(axis=1)

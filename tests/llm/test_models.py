@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from plantpulse.llm import embedding_dedup, html_extract, language, toxicity, warc
 from plantpulse.llm.registry import QUERIES
@@ -312,3 +313,14 @@ def test_pipeline_on_odd_and_empty_rows(spark, odd, none):
             at = stored(stage(spark, at, SMALL))
             assert at.columns == frame.columns
         assert (corpus_pipeline.STAGES[-1][1](spark, at, SMALL).count() == 0) == (frame is none)
+
+
+@pytest.mark.parametrize("lang", [None, "und"])
+def test_language_stage_keeps_texts_with_letters(spark, odd, odd_rows, none, lang):
+    import corpus_pipeline
+
+    docs = stored(odd.withColumn("lang", F.lit(lang).cast("string")))
+    kept = corpus_pipeline.with_language(spark, docs, SMALL)
+    assert kept.columns == docs.columns
+    assert {r["_row"] for r in kept.collect()} == {r[-1] for r in odd_rows if any(map(str.isalpha, r[1] or ""))}
+    assert corpus_pipeline.with_language(spark, none, SMALL).count() == 0
