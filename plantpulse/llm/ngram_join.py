@@ -8,6 +8,8 @@
    verified on the whole sets. To spare the pairs within large families, the groups of a list are first paired with one pivot each;
    then, in lists that still hold several components, all pairs across components are verified. No link that could join two components
    is left out, and none within one component is needed to know the components.
+4. Links are counted afterwards: a component's classes are compared with each other in pairs of blocks, on the whole sets. A pair of
+   blocks returns one row per class, the documents that its links lead to, never the pairs; each pair of classes meets once.
 
 Shingles are 64-bit hashes of five words. Defined results: a null text or one without words has no shingles, and is a component of its
 own; a text of fewer words than a shingle has one shingle, all its words. Rows with a null id link to nothing and have a null component.
@@ -30,6 +32,10 @@ from .components import components
 WORDS = 5
 #: a link: 100 * intersection >= PERCENT * union
 PERCENT = 80
+#: most classes and about the most shingles of a block of a component's classes; columns of a product of two blocks
+BLOCK = 512
+BLOCK_SHINGLES = 1 << 20
+_COLUMNS = 4096
 FREQUENCY_BUCKETS = 1 << 20
 _SLICES = 64
 _WEIGHTS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93], dtype=np.uint64)
@@ -151,8 +157,69 @@ def _verified(texts: DataFrame, pairs: DataFrame) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(check, "a long, b long").distinct()
 
 
+def _shared_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """How many shingles each two of the sets share."""
+    counts = np.zeros((len(sets), len(sets)), dtype=np.int64)
+    shingles, column, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    kept = often[column] > 1
+    row, column = row[kept], np.cumsum(often > 1)[column[kept]] - 1
+    for start in range(0, int((often > 1).sum()), _COLUMNS):
+        a, b = np.searchsorted(column, (start, start + _COLUMNS))
+        member = np.zeros((len(sets), _COLUMNS), dtype=np.float32)
+        member[row[a:b], column[a:b] - start] = 1
+        counts += (member @ member.T).astype(np.int64)
+    return counts
+
+
+def _counted(key: tuple, rows: pa.Table) -> pa.Table:
+    """One pair of blocks of a component: per class the number of documents that its links lead to."""
+    names = np.stack([rows.column(c).to_numpy() for c in ("cid", "sig1", "sig2")], axis=1)
+    rows = rows.take(pa.array(np.unique(names, axis=0, return_index=True)[1]))  # a repeated row brings its set again
+    sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in rows.column("shingles")]
+    n, block = np.array([len(x) for x in sets]), rows.column("block").to_numpy()
+    shared = _shared_counts(sets)
+    linked = 100 * shared >= PERCENT * (n[:, None] + n[None, :] - shared)
+    np.fill_diagonal(linked, False)
+    if key[1].as_py() != key[2].as_py():
+        linked &= block[:, None] != block[None, :]
+    weight = linked @ rows.column("class_size").to_numpy()
+    return pa.table([rows.column("cid"), rows.column("sig1"), rows.column("sig2"), pa.array(weight, pa.int64())], ["cid", "sig1", "sig2", "weight"])
+
+
+def _link_weights(texts: DataFrame, named: DataFrame) -> DataFrame:
+    """Per class (cid, sig1, sig2) that shares its component with others: the number of documents of other classes that it is linked to."""
+    several = stored(named.groupBy("component_id").agg(F.count("*").alias("m"), F.sum("n_shingles").alias("all_shingles")).filter("m > 1"))
+    rows = join_groups(named.select("component_id", "cid", "sig1", "sig2", "class_size"), several, ["component_id"], "m")
+    blocks = F.ceil(F.greatest(F.col("m") / BLOCK, F.col("all_shingles") / BLOCK_SHINGLES)).cast("int")
+    placed = (rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("cid", "sig1"), F.col("blocks")).cast("int"))
+              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+              .select("component_id", "cid", "sig1", "sig2", "class_size", "block", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second")))
+    placed = stored(placed)
+    likely = with_membership(texts, F.col("doc_id"), member_bits(placed, "cid"), "_likely").filter("_likely")
+
+    def make():
+        def compute(part):
+            sets = [shingle_set(t) for t in part.column("text").to_pylist()]
+            return {"sig1": [int(_mixed(x).sum(dtype=np.uint64).astype(np.int64)) for x in sets],
+                    "sig2": [int(_mixed(x ^ _WEIGHTS[0]).sum(dtype=np.uint64).astype(np.int64)) for x in sets],
+                    "shingles": [x.tobytes() for x in sets]}
+
+        return compute
+
+    sets = stored(with_computed(likely.select(F.col("doc_id").alias("cid"), "text"), "sig1 long, sig2 long, shingles binary", make, keep=["cid"]))
+    full = placed.join(sets, ["cid", "sig1", "sig2"])
+    counted = full.groupBy("component_id", "first", "second").applyInArrow(_counted, "cid long, sig1 long, sig2 long, weight long")
+    return counted.groupBy("cid", "sig1", "sig2").agg(F.sum("weight").alias("weight"))
+
+
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_shingles, class_id (smallest id with the same set) and component_id (smallest id by links)."""
+    """One row per document: doc_id, n_shingles, class_id (smallest id with the same set), component_id (smallest id by links), n_links.
+
+    ``n_links`` is the number of other documents that the document is linked to, those of its class among them.
+    """
     texts = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
     signed = stored(signatures(texts, frequency_table(texts)))
     full = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL")
@@ -212,8 +279,12 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     final = components(links.unionByName(more)) if not more.isEmpty() else found
 
     named = classes.select(*key, "cid", "class_size").join(final.withColumnRenamed("node", "cid"), "cid", "left")
-    named = stored(named.select(*key, "class_size", F.col("cid").alias("class_id"), F.coalesce("component", "cid").alias("component_id")))
-    out = ["doc_id", "n_shingles", "class_id", "component_id"]
+    named = stored(named.withColumn("component_id", F.coalesce("component", "cid")).drop("component"))
+    n_links = F.col("class_size") - 1 + F.coalesce("weight", F.lit(0))
+    named = named.join(_link_weights(texts, named), ["cid", "sig1", "sig2"], "left")
+    named = stored(named.select(*key, "class_size", F.col("cid").alias("class_id"), "component_id", n_links.alias("n_links")))
+    out = ["doc_id", "n_shingles", "class_id", "component_id", "n_links"]
     members = join_groups(full.select("doc_id", *key), named, key, "class_size").select(*out)
-    alone = signed.filter("n_shingles = 0 OR doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("component_id"))
+    none = F.lit(0).cast("long").alias("n_links")
+    alone = signed.filter("n_shingles = 0 OR doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("component_id"), none)
     return members.unionByName(alone)

@@ -104,6 +104,26 @@ def test_near_duplicates_in_chains_and_families(spark):
     assert {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in found.collect()} == brute_components(rows)
 
 
+@pytest.mark.parametrize("block", [512, 3])
+def test_near_duplicates_count_all_links(spark, monkeypatch, block):
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    monkeypatch.setattr(ngram_join, "_COLUMNS", 64)
+    rng = random.Random(5)
+    vocabulary = [f"w{k}" for k in range(3000)]
+    rows = []
+    for _ in range(8):  # families of three and more different near copies, each with exact copies
+        text = rng.choices(vocabulary, k=rng.randrange(40, 120))
+        for _ in range(rng.randrange(3, 12)):
+            text = list(text)
+            text[rng.randrange(len(text))] = rng.choice(vocabulary)
+            rows += [(len(rows) + k, " ".join(text)) for k in range(rng.choice([1, 1, 3]))]
+    rows += [(len(rows), None), (len(rows) + 1, "alone here"), (None, rows[0][1])]
+    known = [(i, set(ngram_join.shingle_set(t).tolist())) for i, t in rows if i is not None]
+    expected = {i: sum(bool(x) and j != i and 100 * len(x & y) >= 80 * len(x | y) for j, y in known) for i, x in known} | {None: 0}
+    found = ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r["doc_id"]: r["n_links"] for r in found.collect()} == expected and max(expected.values()) > 5
+
+
 # -- byte-level BPE ---------------------------------------------------------------------------------------------------
 
 @pytest.fixture(scope="module")
