@@ -11,6 +11,9 @@ repeated rows have equal ids, as equal pages would. An empty table gives no reco
 
 from __future__ import annotations
 
+import json
+from html.entities import html5
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,11 +21,49 @@ CRLF = "\r\n"
 #: the date of records that state none; a parameter of the builders
 DATE = "2026-01-01T00:00:00Z"
 
-# The named character references that conversion decodes, `amp` last.
+# The character references of the SQL that conversion is checked against, `amp` last. Conversion decodes all references.
 ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"))
 #: what ends a line of text
 _BORDER = r"(?is)</?(?:p|div|h[1-6]|li|ul|ol|tr|table|article|section|main|nav|header|footer|aside|title|body|head|html|br|form|blockquote|pre)\b[^>]*>"
 
+#: comments, scripts, styles and doctypes, where never closed up to the end; titles and text areas ($2), which hold no markup, and tags
+#: ($4, $5 without attributes) are passed over, so that nothing begins in them
+_HIDDEN = (r"(?is)<!--(?:-?>|.*?(?:--!?>|\z))|<(script|style)(?=[\s/>]).*?(?:</\1(?=[\s/>])[^>]*+(?:>|\z)|\z)|<!doctype[^>]*>"
+           r"|(<(title|textarea)(?=[\s/>]).*?</\3(?=[\s/>]))|(</?[a-z][^\s/>]*+)(?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+(>)")
+_REFERENCE = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[A-Za-z][A-Za-z0-9]{1,31};?)"
+#: code points that numeric references do not stand for themselves: those of windows-1252, and what is no character
+_REPLACED = {0: "\ufffd", 0x0D: "\r", 0xA0: " "} | {k: bytes([k]).decode("cp1252", "ignore") or chr(k) for k in range(0x80, 0xA0)}
+_DROPPED = [*range(0x1, 0x9), 0xB, *range(0xE, 0x20), 0x7F, *range(0xFDD0, 0xFDF0), *(p * 0x10000 + k for p in range(17) for k in (0xFFFE, 0xFFFF))]
+#: a no-break space becomes a space, as in the SQL
+_NAMED = {name: value.replace("\u00a0", " ") for name, value in html5.items()}
+_SHORT = {name: value for name, value in _NAMED.items() if not name.endswith(";")}
+
+
+def _fixed(values: dict) -> Column:
+    return F.from_json(F.lit(json.dumps(values)), "map<string,string>")
+
+
+def _decoded(reference: Column) -> Column:
+    """The characters of one reference, by the rules of HTML as ``html.unescape`` has them, with a space for a no-break space."""
+    name = F.substring(reference, 2, 33)
+    digits = F.regexp_replace(reference, r"^&#[xX]?0*|;$", "")
+    is_hex = reference.rlike("^&#[xX]")
+    # longer ones are beyond the last code point
+    code = F.when(F.length(digits) > 7, F.lit(0x110000)).when(digits == "", F.lit(0)).when(is_hex, F.conv(digits, 16, 10).cast("int")).otherwise(F.conv(digits, 10, 10).cast("int"))
+    character = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+    numeric = (F.when((code > 0x10FFFF) | code.between(0xD800, 0xDFFF), "\ufffd").when(code.isin(_DROPPED), "")
+               .otherwise(F.coalesce(F.element_at(_fixed({str(k): v for k, v in _REPLACED.items()}), code.cast("string")), character)))
+    begins = [F.concat(F.element_at(_fixed(_SHORT), F.substring(name, 1, k)), F.substr(name, F.lit(k + 1)))
+              for k in range(max(map(len, _SHORT)), 1, -1)]
+    return F.when(reference.startswith("&#"), numeric).otherwise(F.coalesce(F.element_at(_fixed(_NAMED), name), *begins, reference))
+
+
+def unescaped(text: Column) -> Column:
+    """The text with all numeric and named character references decoded once."""
+    between, found = F.split(text, _REFERENCE, -1), F.regexp_extract_all(text, F.lit(_REFERENCE), F.lit(0))
+    joined = F.zip_with(between, found, lambda plain, reference: F.concat(plain, F.when(reference.isNull(), "").otherwise(_decoded(reference))))
+    return F.when(F.contains(text, F.lit("&")), F.array_join(joined, "")).otherwise(text)
+
 
 def record_id(kind: str, *parts: Column) -> Column:
     """A name-based urn:uuid of the kind of record and the values that make it."""
@@ -37,12 +78,11 @@ def digest(value: Column) -> Column:
 
 def plain_text(html: Column) -> Column:
     """The text of html: no comments, scripts, styles or tags; block borders end lines; white space is collapsed, empty lines go."""
-    text = F.regexp_replace(html, r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!doctype[^>]*>", "")
+    text = F.regexp_replace(html, _HIDDEN, "$2$4$5")
     text = F.regexp_replace(text, r"[ \t\r\n\f]+", " ")
     text = F.regexp_replace(text, _BORDER, "\n")
     text = F.regexp_replace(text, r"<[^>]*>", "")
-    for entity, character in ENTITIES:
-        text = F.replace(text, F.lit(entity), F.lit(character))
+    text = unescaped(text)
     return F.trim(F.regexp_replace(F.regexp_replace(text, r" *\n[ \n]*", "\n"), r"^\n|\n$", ""))
 
 

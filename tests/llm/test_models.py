@@ -1,5 +1,7 @@
 """Language, toxicity, HTML, embeddings, WARC and the pipeline: held-out accuracy, brute force, odd rows and empty tables."""
 
+import html
+import html.entities
 import random
 import re
 import zlib
@@ -282,6 +284,22 @@ def test_warc_records_link_and_round_trip(spark):
     assert warc.derivatives(warc.responses(frame.limit(0))).count() == 0
 
 
+def test_warc_text_decodes_all_references(spark):
+    texts = ["a &mdash; b&rsquo;s caf&eacute; &#8217;&#x27;&#X1F600;&#128;&#0;&#xD800;&#x110000;&#99999999999;&#1;&#xFFFE;z", "&copy2 &notit; &notin; &ampamp; &amp;lt; &bogus; &; && &#; &#x; &NotEqualTilde; &AMP &acE;",
+             "no reference", "x&", "a&nbsp;b&nbsp&NonBreakingSpace;&#160;&#xA0;", *(f"&{name} &{name}x" for name in list(html.entities.html5)[::40]), *(f"a&#{k};b&#x{k:x}b" for k in [*range(33, 300), 0xFDD0, 0x1FFFF])]
+    frame = spark.createDataFrame(list(enumerate(texts)), "k int, text string")
+    found = {r["k"]: r["text"] for r in frame.select("k", warc.unescaped(F.col("text")).alias("text")).collect()}
+    assert [found[k] for k in range(len(texts))] == [html.unescape(t).replace("\u00a0", " ") for t in texts]
+
+
+@pytest.mark.parametrize("page, text", [
+    ("<p>a</p><script>var x = 1;", "a"), ("<p>a<style>b {}", "a"), ("a<!-- b <p>c", "a"), ("a<!-->b", "a" + "b"), ("a<script>x</script foo>b", "ab"),
+    ("<title>the <script> tag</title><p>b", "the tag\nb"), ("<a title='<script>'>b</a>", "b"), ("<script-x>b</script-x>c", "bc"), ("<p>&mdash;&#8217;", "\u2014\u2019")])
+def test_warc_text_of_unclosed_markup(spark, page, text):
+    frame = spark.createDataFrame([(page,)], "html string")
+    assert re.sub(" +", " ", frame.select(warc.plain_text(F.col("html")).alias("t")).first()["t"]) == text
+
+
 # -- pipeline ---------------------------------------------------------------------------------------------------------
 
 def test_pipeline_stages_take_effect(spark):
