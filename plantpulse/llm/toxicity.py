@@ -3,8 +3,8 @@
 A document is the set of its hashed single words, word pairs and pairs with one word between. Learning rates are kept per coordinate,
 and the L1 term leaves most weights at exactly zero, so the model is a short list of buckets and weights that goes to every task.
 
-The model is fitted on a bounded sample of labelled rows (``SAMPLE_ROWS``, those with the smallest hash of the id); everything else
-covers all rows. Defined results: a null, empty or wordless text gets the base rate; without any labelled row the score is 0.25 for
+The model is fitted on a bounded sample of labelled rows (``SAMPLE_ROWS``, those with the smallest hash of the id among the
+labelled documents); everything else covers all rows. Defined results: a null, empty or wordless text gets the base rate; without any labelled row the score is 0.25 for
 all; rows with a null label or id are not learned from; repeated rows get equal scores. Texts are read whole. A column of the input
 that has the name of a result column is replaced.
 """
@@ -80,6 +80,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS)
     """At most ``rows`` labelled documents outside the held-out fold, as packed buckets x and label toxic, in the order of the hash of their id."""
     known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     known = known.filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out())
+    known = known.join(docs.select("doc_id"), "doc_id", "left_semi")  # ids without a document must not use up the rows
     chosen = known.withColumn("_order", F.xxhash64("doc_id")).orderBy("_order", "doc_id", "toxic").limit(rows)
 
     @F.pandas_udf("binary")

@@ -103,6 +103,14 @@ def test_toxicity_on_odd_rows(spark, odd, odd_rows, none):
     assert toxicity.scored_documents(none, labels).count() == 0
 
 
+def test_toxicity_sample_counts_only_labels_of_documents(spark):
+    ids = [i for i in range(2000) if not fold(i)]
+    docs = spark.createDataFrame([(i, f"text {i}") for i in ids[::10]], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in ids], "doc_id long, toxic int")
+    assert toxicity.labelled_sample(docs, labels, 100).count() == 100
+    assert toxicity.labelled_sample(docs, labels, 1000).count() == len(ids[::10])
+
+
 def test_ftrl_learns_rare_words_and_stays_sparse():
     rng = random.Random(1)
     vocabulary = [f"word{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(400)]
