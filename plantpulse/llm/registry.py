@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..scratch import ensure_shared_folder
 from ..session import shared_folder
-from . import bpe, embedding_dedup, exact_dedup, html_extract, huffman, language, ngram_join, packing, toxicity, warc
+from . import bpe, codes_sql, embedding_dedup, exact_dedup, html_extract, huffman, language, linear_bpe, ngram_join, packing, prefix_trie, toxicity, vector_codes, warc
 from .common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -128,3 +128,22 @@ def op9_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("page_id", "warc_type", "record_id", "refers_to", "target_uri", F.col("headers")["X-Source-Payload-Digest"].alias("source_payload_digest"),
                           F.col("headers")["WARC-Concurrent-To"].alias("concurrent_to"), F.octet_length("block").cast("long").alias("content_length"),
                           "block_digest", "payload_digest")
+
+
+@query("op11_vector_codes", codes_sql.vector_codes_sql())
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.coded_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@query("op12_prefix_trie", prefix_trie.SQL)
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = prefix_trie.rebuilt_prefix_trie(table(spark, sf_dir, "conversations"))
+    return nodes.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
+@query("op13_linear_bpe")
+def op13_linear_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    both = linear_bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), decoded_column="decoded", keep=["doc_id"])
+    return both.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
+                       F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
