@@ -278,6 +278,7 @@ def coded_vectors(vectors: DataFrame, parts: int = PARTS, entries: int = ENTRIES
     of_nothing = F.coalesce("label", F.lit(0).cast(kept.schema["label"].dataType))  # null labels meet under no_label
     codes = stored(with_codes(kept, codebooks).withColumn("label", of_nothing))
     key = ["label", "no_label"]
-    total = F.least(F.sum(F.col("error").cast(DecimalType(38, 0))), F.lit(LONG_MAX).cast(DecimalType(38, 0))).cast("long")
+    total = F.sum(F.col("error").cast(DecimalType(38, 0)))
+    total = F.when(total > LONG_MAX, LONG_MAX).otherwise(total.cast("long"))
     labels = stored(codes.groupBy(*key).agg(total.alias("label_error"), F.count("*").alias("n")))
     return join_groups(codes, labels, key, "n").select("vec_id", "code", "error", "label_error", F.lit(codebooks_digest(codebooks)).alias("codebooks_sha256"))
