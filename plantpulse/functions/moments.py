@@ -13,23 +13,67 @@ LEVEL = ["n", "mean", "m2", "low", "high"]
 TREND = ["t", "tt", "tv"]
 
 
-def state(value: Column, minute: Column, window: WindowSpec, trend: bool) -> Column:
-    """State over a window that grows one row at a time."""
-    n = F.count(value).over(window)
+def state(value: Column, minute: Column, window: WindowSpec | None, trend: bool) -> Column:
+    """State over a window that grows one row at a time, or of a group."""
+    over = (lambda c: c) if window is None else (lambda c: c.over(window))
+    n = over(F.count(value))
     zero = F.lit(0.0)
     parts = {
-        "n": n.cast("double"), "mean": F.coalesce(F.avg(value).over(window), zero),
-        "m2": F.coalesce(F.var_pop(value).over(window), zero) * n, "low": F.min(value).over(window), "high": F.max(value).over(window),
+        "n": n.cast("double"), "mean": F.coalesce(over(F.avg(value)), zero),
+        "m2": F.coalesce(over(F.var_pop(value)), zero) * n, "low": over(F.min(value)), "high": over(F.max(value)),
     }
     if trend:
         at = F.when(value.isNotNull(), minute)
         parts |= {
-            "t": F.coalesce(F.avg(at).over(window), zero), "tt": F.coalesce(F.var_pop(at).over(window), zero) * n,
-            "tv": F.coalesce(F.covar_pop(value, at).over(window), zero) * n,
+            "t": F.coalesce(over(F.avg(at)), zero), "tt": F.coalesce(over(F.var_pop(at)), zero) * n,
+            "tv": F.coalesce(over(F.covar_pop(value, at)), zero) * n,
         }
     return F.struct(*[c.alias(k) for k, c in parts.items()])
 
 
+def summed(state: Column, rows: WindowSpec, every: WindowSpec, trend: bool) -> Column:
+    """The states of ``rows`` as one, as sums around the mean of ``every`` row of the partition, which keeps them small."""
+    zero = F.lit(0.0)
+    n = F.sum(state["n"]).over(rows)
+    some = F.nullif(n, zero)
+
+    def centre(part: str) -> Column:
+        return F.coalesce(F.sum(state["n"] * state[part]).over(every) / F.nullif(F.sum(state["n"]).over(every), zero), zero)
+
+    def moved(part: str) -> Column:
+        return F.sum(state["n"] * (state[part] - centre(part))).over(rows)
+
+    def pooled(centred: str, left: str, right: str) -> Column:
+        whole = F.sum(state[centred] + state["n"] * (state[left] - centre(left)) * (state[right] - centre(right))).over(rows)
+        return F.coalesce(whole - moved(left) * moved(right) / some, zero)
+
+    parts = {
+        "n": F.coalesce(n, zero), "mean": F.coalesce(centre("mean") + moved("mean") / some, zero),
+        "m2": F.greatest(pooled("m2", "mean", "mean"), zero), "low": F.min(state["low"]).over(rows), "high": F.max(state["high"]).over(rows),
+    }
+    if trend:
+        parts |= {"t": F.coalesce(centre("t") + moved("t") / some, zero), "tt": F.greatest(pooled("tt", "t", "t"), zero), "tv": pooled("tv", "mean", "t")}
+    return F.struct(*[c.alias(k) for k, c in parts.items()])
+
+
+def merged(a: Column, b: Column, trend: bool) -> Column:
+    """Two states as one; a null state is none."""
+    n = a["n"] + b["n"]
+    both = a["n"] * b["n"] / F.nullif(n, F.lit(0.0))
+
+    def mean(part: str) -> Column:
+        return F.coalesce((a[part] * a["n"] + b[part] * b["n"]) / F.nullif(n, F.lit(0.0)), F.lit(0.0))
+
+    def pooled(centred: str, left: str, right: str) -> Column:
+        return a[centred] + b[centred] + F.coalesce((b[left] - a[left]) * (b[right] - a[right]) * both, F.lit(0.0))
+
+    parts = {"n": n, "mean": mean("mean"), "m2": pooled("m2", "mean", "mean"), "low": F.least(a["low"], b["low"]), "high": F.greatest(a["high"], b["high"])}
+    if trend:
+        parts |= {"t": mean("t"), "tt": pooled("tt", "t", "t"), "tv": pooled("tv", "t", "mean")}
+    whole = F.struct(*[c.alias(k) for k, c in parts.items()])
+    return F.when(a.isNull(), b).when(b.isNull(), a).otherwise(whole)
+
+
 class Frame:
     """A frame made of an earlier stretch (used only where ``joined``) and a later one."""
 

@@ -8,14 +8,17 @@ without another shuffle.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Callable, Iterable, Mapping, Sequence
+from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..config import DAY_US, EWMA_SPAN, WindowWidths
 from ..functions import moments
-from .timeslice import KEYS, SLICE, number_rows_and_segments, slice_by_time, with_row_halo, with_time_halo
+from .split_frames import split_features
+from .timeslice import KEYS, MAX_SLICE_ROWS, SLICE, cell_start, crowded_cells, number_rows_and_segments, slice_by_time, with_row_halo, with_time_halo
 
 STATISTICS = [
     "ma_5m", "ma_15m", "ma_1h", "std_15m", "std_1h", "min_15m", "max_15m", "min_1h", "max_1h",
@@ -37,9 +40,9 @@ def ewma_rows(span: int) -> tuple[int, int]:
     return warm_up, max(warm_up, int(460.0 / decay))
 
 
-def numbered_readings(df: DataFrame, width_us: int = DAY_US) -> DataFrame:
+def numbered_readings(df: DataFrame, width_us: int = DAY_US, max_rows: int = MAX_SLICE_ROWS) -> DataFrame:
     """Readings with ``slice_us``, ``row_idx`` and ``segment_id``."""
-    return number_rows_and_segments(slice_by_time(df, width_us=width_us))
+    return number_rows_and_segments(slice_by_time(df, width_us=width_us, max_rows=max_rows))
 
 
 def packed(df: DataFrame, work, used: Sequence[str]) -> DataFrame:
@@ -55,12 +58,61 @@ def packed(df: DataFrame, work, used: Sequence[str]) -> DataFrame:
     return done.select(*[c for c in done.columns if c != "_kept"], "_kept.*")
 
 
+@dataclass(frozen=True)
+class FramePlan:
+    """Which features of which signals are asked for, and the frames they need."""
+
+    asked: Mapping[str, list[str]]
+    width_of: Mapping[str, int]
+
+    @staticmethod
+    def of(wanted: Mapping[str, Iterable[str]], widths: WindowWidths) -> FramePlan:
+        return FramePlan({s: [f for f in features if f in STATISTICS] for s, features in wanted.items()},
+                         {"5m": widths.short, "15m": widths.medium, "1h": widths.long})
+
+    @cached_property
+    def signals(self) -> dict[str, dict[str, bool]]:
+        """Per frame its signals, and whether their slope is asked for."""
+        found = {frame: {s: any(f == f"slope_{frame}" for f in fs) for s, fs in self.asked.items() if any(f.endswith(f"_{frame}") for f in fs)}
+                 for frame in self.width_of}
+        return {frame: signals for frame, signals in found.items() if signals}
+
+    @property
+    def frames(self) -> list[str]:
+        return list(self.signals)
+
+    def has_slopes(self, frame: str) -> bool:
+        return any(self.signals[frame].values())
+
+    def states(self, frame: str, minute: Column, window: WindowSpec | None) -> list[Column]:
+        """One state per signal of the frame, over a window or, without one, of a group."""
+        return [moments.state(F.col(s), minute, window, trend).alias(s) for s, trend in self.signals[frame].items()]
+
+    def columns(self, framed: Callable[[str, str, bool], moments.Frame]) -> dict[str, Column]:
+        """The features, from a function that gives the frame of a signal, open or closed at its start."""
+        return {f"{s}__{f}": self._column(s, f, framed) for s, features in self.asked.items() for f in features}
+
+    def _column(self, signal: str, feature: str, framed) -> Column:
+        kind, _, frame = feature.partition("_")
+        if kind == "zscore":
+            whole = framed(signal, "1h", False)
+            return (F.col(signal) - whole.mean()) / F.nullif(whole.std(), F.lit(0.0))
+        if kind == "slope":
+            return framed(signal, frame, True).slope()
+        whole = framed(signal, frame, False)
+        if kind == "ma":
+            broader = [f for f in self.frames[self.frames.index(frame) + 1:] if signal in self.signals[f]]
+            return whole.mean(framed(signal, broader[-1], False) if broader else None)
+        return {"std": whole.std, "min": lambda: whole.low, "max": lambda: whole.high}[kind]()
+
+
 def rolling_statistics(
     df: DataFrame,
     wanted: Mapping[str, Iterable[str]],
     widths: WindowWidths = WindowWidths(),
     cell_us: int = DAY_US,
     mode: str = "mode_key",
+    max_rows: int = MAX_SLICE_ROWS,
 ) -> DataFrame:
     """Means, deviations, extremes, slopes and z-scores over time frames.
 
@@ -71,9 +123,24 @@ def rolling_statistics(
     panes as wide as the frame: a frame is the end of one pane plus the start of the next. Both are running windows
     (backward and forward inside the pane), looked up at the frame's first row and merged, so every row costs the
     same however many readings a frame holds.
+
+    A cell that holds more than ``max_rows`` with its halo is not ordered as a whole: its rows take the same panes in
+    sub-cells of at most ``max_rows``, see ``split_frames``. Only such cells pay for that.
     """
+    plan = FramePlan.of(wanted, widths)
     cell = max(cell_us, widths.long)
+    crowded = crowded_cells(df, widths.long, cell, max_rows)
     rows = with_time_halo(df, widths.long, cell)
+    if crowded is None:
+        return _in_whole_cells(rows, plan, mode)
+    whole = _in_whole_cells(rows.join(crowded, [*KEYS, SLICE], "left_anti").select(*rows.columns), plan, mode)
+    computed = split_features(rows.join(crowded, [*KEYS, SLICE], "left_semi"), plan, mode, max_rows)
+    own = df.drop(SLICE).withColumn(SLICE, cell_start(F.col("us"), cell)).join(crowded, [*KEYS, SLICE], "left_semi")
+    return whole.unionByName(own.join(computed, [*KEYS, "us"]).select(*whole.columns))
+
+
+def _in_whole_cells(rows: DataFrame, plan: FramePlan, mode: str) -> DataFrame:
+    """The features of the rows at home in each cell; a cell with its halo is ordered as a whole."""
     in_cell = Window.partitionBy(*KEYS, SLICE).orderBy("us")
     rows = rows.withColumn("_turn", F.when(F.col(mode) != F.lag(mode).over(in_cell), 1).otherwise(0))
     rows = rows.withColumn("_part", F.sum("_turn").over(in_cell.rowsBetween(Window.unboundedPreceding, 0)))
@@ -81,23 +148,14 @@ def rolling_statistics(
     run = Window.partitionBy(*run_keys).orderBy("us")
     upto = run.rowsBetween(Window.unboundedPreceding, 0)
 
-    width_of = {"5m": widths.short, "15m": widths.medium, "1h": widths.long}
-    asked = {s: [f for f in features if f in STATISTICS] for s, features in wanted.items()}
-    signals = {
-        frame: {s: any(f == f"slope_{frame}" for f in fs) for s, fs in asked.items() if any(f.endswith(f"_{frame}") for f in fs)}
-        for frame in width_of
-    }
-    frames = [frame for frame in width_of if signals[frame]]
+    frames, width_of = plan.frames, plan.width_of
     minute = (F.col("us") - F.col(SLICE)) / 6e7
     pane_keys = {frame: [*run_keys, f"_pane_{frame}"] for frame in frames}
     rows = rows.withColumns({f"_pane_{frame}": F.floor(F.col("us") / width_of[frame]).cast("bigint") for frame in frames})
 
-    def states(frame: str, window: WindowSpec) -> list[Column]:
-        return [moments.state(F.col(s), minute, window, trend).alias(s) for s, trend in signals[frame].items()]
-
     for frame in frames:
         backward = Window.partitionBy(*pane_keys[frame]).orderBy(F.col("us").desc()).rowsBetween(Window.unboundedPreceding, 0)
-        rows = rows.withColumn(f"_end_{frame}", F.struct(F.col(f"_pane_{frame}").alias("pane"), *states(frame, backward)))
+        rows = rows.withColumn(f"_end_{frame}", F.struct(F.col(f"_pane_{frame}").alias("pane"), *plan.states(frame, minute, backward)))
     rows = rows.withColumns({f"_next_{frame}": F.lead(f"_end_{frame}").over(run) for frame in frames})
 
     def first_in_frame(frame: str, reach: int) -> Column:
@@ -107,32 +165,18 @@ def rolling_statistics(
 
     rows = rows.withColumns(
         {f"_open_{frame}": first_in_frame(frame, width_of[frame]) for frame in frames}
-        | {f"_closed_{frame}": first_in_frame(frame, width_of[frame] + 1) for frame in frames if any(signals[frame].values())}
+        | {f"_closed_{frame}": first_in_frame(frame, width_of[frame] + 1) for frame in frames if plan.has_slopes(frame)}
     ).drop(*[f"_{part}_{frame}" for frame in frames for part in ("end", "next")])
     for frame in frames:
         forward = Window.partitionBy(*pane_keys[frame]).orderBy("us").rowsBetween(Window.unboundedPreceding, 0)
-        rows = rows.withColumn(f"_begin_{frame}", F.struct(*states(frame, forward)))
+        rows = rows.withColumn(f"_begin_{frame}", F.struct(*plan.states(frame, minute, forward)))
 
-    def framed(signal: str, frame: str, closed: bool = False) -> moments.Frame:
+    def framed(signal: str, frame: str, closed: bool) -> moments.Frame:
         start = F.col(f"_closed_{frame}" if closed else f"_open_{frame}")
         return moments.Frame(start[signal], F.col(f"_begin_{frame}")[signal], start["pane"] < F.col(f"_pane_{frame}"))
 
-    def column(signal: str, feature: str) -> Column:
-        kind, _, frame = feature.partition("_")
-        if kind == "zscore":
-            whole = framed(signal, "1h")
-            return (F.col(signal) - whole.mean()) / F.nullif(whole.std(), F.lit(0.0))
-        if kind == "slope":
-            return framed(signal, frame, closed=True).slope()
-        whole = framed(signal, frame)
-        if kind == "ma":
-            broader = [f for f in frames[frames.index(frame) + 1:] if signal in signals[f]]
-            return whole.mean(framed(signal, broader[-1]) if broader else None)
-        return {"std": whole.std, "min": lambda: whole.low, "max": lambda: whole.high}[kind]()
-
-    computed = {f"{s}__{f}": column(s, f) for s, features in asked.items() for f in features}
     temporary = [f"_{part}_{frame}" for frame in frames for part in ("pane", "begin", "open", "closed")]
-    return rows.where(F.col("home")).withColumns(computed).drop("home", "_turn", "_part", *temporary)
+    return rows.where(F.col("home")).withColumns(plan.columns(framed)).drop("home", "_turn", "_part", *temporary)
 
 
 def smoothed_values(df: DataFrame, signals: Sequence[str], span: int = EWMA_SPAN, gap: bool = True) -> DataFrame:
@@ -198,6 +242,7 @@ def rolling_features(
     widths: WindowWidths = WindowWidths(),
     numbered: bool = False,
     whole_rows: bool = False,
+    max_rows: int = MAX_SLICE_ROWS,
 ) -> DataFrame:
     """All requested features as columns. ``wanted`` maps signals to features; a plain list asks for all fourteen.
 
@@ -206,13 +251,13 @@ def rolling_features(
     if not isinstance(wanted, Mapping):
         wanted = {signal: FEATURES for signal in wanted}
     wanted = {signal: list(features) for signal, features in wanted.items()}
-    readings = df if numbered else numbered_readings(df)
+    readings = df if numbered else numbered_readings(df, max_rows=max_rows)
     smooth = [s for s, features in wanted.items() if any(f in SMOOTHED for f in features)]
 
     def compute(rows: DataFrame) -> DataFrame:
         if smooth:
             rows = smoothed_values(rows, smooth)
-        return rolling_statistics(rows, wanted, widths)
+        return rolling_statistics(rows, wanted, widths, max_rows=max_rows)
 
     if not whole_rows:
         return compute(readings)

@@ -25,12 +25,25 @@ SLICE = "slice_us"
 
 #: rows one task should order at most
 MAX_SLICE_ROWS = 2_000_000
+#: hot cells that are handed on as a constant; a longer list becomes a table
+LISTED_ROWS = 10_000
 
 
 def cell_start(us: Column, width: Column | int) -> Column:
     return us - F.pmod(us, F.lit(width) if isinstance(width, int) else width)
 
 
+def listed(found: DataFrame) -> DataFrame | None:
+    """A list that is mostly empty or short: None, a constant, or beyond ``LISTED_ROWS`` rows a stored table.
+
+    Only that many rows come to the driver, so the common case costs one pass and no table.
+    """
+    head = found.limit(LISTED_ROWS + 1).collect()
+    if len(head) > LISTED_ROWS:
+        return broadcast_if_small(stored(found))
+    return F.broadcast(found.sparkSession.createDataFrame(head, found.schema)) if head else None
+
+
 def slice_by_time(
     df: DataFrame,
     keys: Sequence[str] = KEYS,
@@ -41,19 +54,18 @@ def slice_by_time(
     """Add ``slice_us``, the start of the row's time cell.
 
     A cell above ``max_rows`` is cut into equal sub-cells, repeatedly, down to single instants. Finding such cells is
-    a map-side combined count over two columns. The list of hot cells is a stored table; its size decides how it is joined.
+    a map-side combined count over two columns; the list of hot cells is a constant or, if long, a stored table.
     """
     cells = df.withColumn(SLICE, cell_start(F.col(us), width_us)).withColumn("_width", F.lit(width_us).cast("bigint"))
     while True:
-        crowded = stored(
+        finer = listed(
             cells.where(F.col("_width") > 1)
             .groupBy(*keys, SLICE, "_width").count().where(F.col("count") > max_rows)
             .select(*keys, F.col(SLICE).alias("_cell"), F.greatest(
                 F.lit(1), F.floor(F.col("_width") / F.ceil(F.col("count") * 4 / max_rows))).cast("bigint").alias("_finer"))
         )
-        if crowded.isEmpty():
+        if finer is None:
             return cells.drop("_width")
-        finer = broadcast_if_small(crowded)
         cells = (
             cells.join(finer, [cells[k] == finer[k] for k in keys] + [cells[SLICE] == finer["_cell"]], "left")
             .select(*[cells[c] for c in cells.columns if c not in (SLICE, "_width")],
@@ -63,6 +75,12 @@ def slice_by_time(
         )
 
 
+def crowded_cells(df: DataFrame, halo_us: int, width_us: int, max_rows: int, keys: Sequence[str] = KEYS) -> DataFrame | None:
+    """keys and ``slice_us`` of the uniform cells that hold more than ``max_rows`` rows with their halo; None if there are none."""
+    haloed = with_time_halo(df.select(*keys, "us"), halo_us, width_us)
+    return listed(haloed.groupBy(*keys, SLICE).count().where(F.col("count") > max_rows).drop("count"))
+
+
 def before_slice(keys: Sequence[str] = KEYS):
     """Window over slice summaries: everything before the current slice of the same series."""
     return Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)

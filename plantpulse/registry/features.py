@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..catalog import signals as S
+from ..config import DAY_US
 from ..operators.features import FEATURES, STATISTICS, feature_rows, features_wide, rolling_features, rolling_statistics, smoothed_values
 from ..operators.timeslice import slice_by_time
 from . import dataset as D
@@ -40,6 +41,18 @@ _compare("d5_rolling_slope", ["slope_15m", "slope_1h"], 6)
 _compare("d7_zscore", ["zscore_1h"])
 
 
+_SPLIT = ["ma_5m", "ma_1h", "std_15m", "min_15m", "max_1h", "slope_1h", "zscore_1h"]
+
+
+@query("d2_d7_frames_of_crowded_cells", f"""
+WITH {D.features_sql({s: _SPLIT for s in PAIR})}
+SELECT asset_id, us, {', '.join(sr(f'{s}__{f}', f'{s}__{f}') for s in PAIR for f in _SPLIT)} FROM features""")
+def frames_of_crowded_cells(spark, sf):
+    """Cells of ten days with a low limit, so that every frame crosses sub-cells."""
+    rows = rolling_statistics(D.readings(spark, sf), {s: _SPLIT for s in PAIR}, D.WIDTHS, cell_us=10 * DAY_US, max_rows=600)
+    return rows.select("asset_id", "us", *[r(f"{s}__{f}") for s in PAIR for f in _SPLIT])
+
+
 @query("d6_d8_weighted_average", f"""
 WITH {D.features_sql({s: ['ewma', 'ewma_gap_abs'] for s in PAIR})}
 SELECT asset_id, us, {', '.join(sr(f'{s}__{f}', f'{s}__{f}') for s in PAIR for f in ('ewma', 'ewma_gap_abs'))} FROM features""")

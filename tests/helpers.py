@@ -30,18 +30,19 @@ def to_spark(spark, frame: pd.DataFrame):
         if c in kinds:
             return kinds[c]
         return "string" if any(isinstance(v, str) for v in clean[c]) else "double"
-    schema = ", ".join(f"`{c}` {kind(c)}" for c in clean.columns)
+    kind_of = {c: kind(c) for c in clean.columns}
+    schema = ", ".join(f"`{c}` {kind_of[c]}" for c in clean.columns)
     rows = []
     for row in clean.itertuples(index=False):
         out = []
         for c, v in zip(clean.columns, row):
             if v is None:
                 out.append(None)
-            elif kind(c) == "bigint":
+            elif kind_of[c] == "bigint":
                 out.append(int(v))
-            elif kind(c) == "double":
+            elif kind_of[c] == "double":
                 out.append(float(v))
-            elif kind(c) == "timestamp_ntz":
+            elif kind_of[c] == "timestamp_ntz":
                 out.append(pd.Timestamp(v).to_pydatetime())
             else:
                 out.append(v)
