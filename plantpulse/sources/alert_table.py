@@ -1,7 +1,7 @@
 """The alert table: an upsert that keeps the first trigger time, and the read side.
 
-Every upsert writes a complete new version next to the old ones (``batch=<n>``), so a failed or repeated write of the
-same batch never mixes with a finished one. The table holds one row per asset and alert, not per reading.
+The table holds one row per asset and alert, in buckets by part of the assets and by active or not. An upsert rewrites
+the parts that have or had active alerts, see ``bucket_table``; the others stay as they are.
 """
 
 from __future__ import annotations
@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.episodes import event_order
+from ..session import stored
+from .bucket_table import BUCKET, BucketTable, part_of
 
 SCHEMA = (
     "asset_id bigint, alert_id string, rule_id string, layer string, subsystem string, signal string, severity string, "
@@ -45,30 +47,24 @@ def upsert(current: DataFrame, fresh: DataFrame) -> DataFrame:
 
 
 class AlertTable:
-    def __init__(self, spark: SparkSession, path: str) -> None:
-        self.spark, self.path = spark, path.rstrip("/")
-
-    def _batches(self) -> list[int]:
-        """Finished versions, found through the session's own file system."""
-        hadoop = self.spark._jvm.org.apache.hadoop.fs
-        root = hadoop.Path(self.path)
-        files = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not files.exists(root):
-            return []
-        names = [(status.getPath().getName(), status.getPath()) for status in files.listStatus(root)]
-        return sorted(int(name.split("=")[1]) for name, path in names
-                      if name.startswith("batch=") and files.exists(hadoop.Path(path, "_SUCCESS")))
+    def __init__(self, spark: SparkSession, path: str, parts: int = 64) -> None:
+        self.parts, self.table = parts, BucketTable(spark, path, SCHEMA)
 
     def read(self, before: int | None = None) -> DataFrame:
-        known = [b for b in self._batches() if before is None or b < before]
-        if not known:
-            return self.spark.createDataFrame([], SCHEMA)
-        return self.spark.read.schema(SCHEMA).parquet(f"{self.path}/batch={known[-1]}")
+        return self.table.read(self.table.newest(before))
 
     def replace_active(self, alerts: DataFrame, batch: int) -> None:
-        """Idempotent per batch number: a repeated batch starts again from the version before it."""
-        merged = upsert(self.read(before=batch), as_table_rows(alerts))
-        merged.write.mode("overwrite").parquet(f"{self.path}/batch={batch}")
+        """Idempotent per batch number: a batch that is there already changes nothing."""
+        if batch in self.table.versions():
+            return
+        part = part_of(F.col("asset_id"), self.parts)
+        fresh = stored(as_table_rows(alerts).withColumn("_part", part))
+        version = self.table.newest(batch)
+        active = {b[1:] for b in self.table.manifest(version) if b[0] == "a"}
+        parts = active | {r[0] for r in fresh.select("_part").distinct().collect()}
+        merged = upsert(self.table.read(version, lambda b: b[1:] in parts), fresh.drop("_part"))
+        rows = merged.withColumn(BUCKET, F.concat(F.when(F.col("is_active"), "a").otherwise("i"), part))
+        self.table.commit(rows, [kind + p for p in parts for kind in "ai"], batch)
 
     def list_alerts(self, active_only: bool = True) -> DataFrame:
         rows = self.read()

@@ -6,18 +6,21 @@ query with its own checkpoint. ``available_now`` drains what is there, a process
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import StructType
+from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
-from ..config import LOOKBACK_US, WindowWidths
+from ..config import DAY_US, LOOKBACK_US, WindowWidths
 from ..functions.columns import epoch_micros
-from ..operators.cleaning import keep_last, merge_history
+from ..operators.cleaning import keep_last
 from ..operators.features import rolling_statistics
-from ..session import small_side
+from ..session import broadcast_if_small, stored
+from ..sources.bucket_table import BUCKET, BucketTable, buckets_of, part_of, write_text
 
 POLL = "60 seconds"
 
@@ -40,6 +43,17 @@ def first_per_timestamp(stream: DataFrame, delay: str = "1 hour", keys: Sequence
     return with_watermark(stream, delay).dropDuplicatesWithinWatermark(list(keys))
 
 
+def newest_per_timestamp(stream: DataFrame, order: str, delay: str = "1 hour", keys: Sequence[str] = ("asset_id",), ts: str = "ts") -> DataFrame:
+    """One row per (keys, time), the last in ``order``, emitted when the watermark passes its time: later sources can replace it until then.
+
+    State holds one row per key and time within the delay.
+    """
+    others = [c for c in stream.columns if c not in (*keys, ts)]
+    last = with_watermark(stream, delay, ts).groupBy(*keys, ts).agg(F.max_by(F.struct(*others), order).alias("_last"))
+    kind = stream.schema[ts].dataType
+    return last.select(*keys, F.col(ts).cast(kind).alias(ts), "_last.*").select(*stream.columns)
+
+
 def observed_rows(stream: DataFrame, name: str = "arrivals") -> DataFrame:
     """Row counts per micro-batch as metrics of the running query."""
     return stream.observe(name, F.count(F.lit(1)).alias("rows"), F.count_if(F.col("ts").isNull()).alias("without_time"),
@@ -88,38 +102,93 @@ def per_batch(stream: DataFrame, work: Callable[[DataFrame, int], None], checkpo
     return writer.start()
 
 
+def _day_end(bucket: str) -> int:
+    return (int(bucket.split("_")[0]) + 1) * DAY_US
+
+
+COUNTS = "batch bigint, rows bigint, new_rows bigint, late_rows bigint, newest_us bigint"
+_MARKS = "asset_id bigint, us bigint"
+
+
 class BoundedHistory:
     """History table kept by a stream: newest source wins per time, nothing older than the look-back behind the newest row.
 
-    Versions are written per micro-batch number, so a repeated batch overwrites its own version and reads the one before.
-    Rows at or before an asset's mark count as late: they never enter.
+    The rows lie in buckets by day and part of the assets; a micro-batch rewrites the buckets it has rows for, and days that all
+    assets of a part have left behind go. A small table holds the newest time per asset, its mark. Rows at or before the mark
+    count as late: they never enter, but they are kept in a side table, with the counts of each micro-batch. A repeated
+    micro-batch finds its version and changes nothing.
     """
 
-    def __init__(self, spark: SparkSession, path: str, lookback_us: int = LOOKBACK_US, drop_late: bool = True) -> None:
-        self.spark, self.path, self.lookback_us, self.drop_late = spark, path.rstrip("/"), lookback_us, drop_late
+    def __init__(self, spark: SparkSession, path: str, lookback_us: int = LOOKBACK_US, drop_late: bool = True, parts: int = 16) -> None:
+        self.spark, self.path, self.lookback_us, self.drop_late, self.parts = spark, path.rstrip("/"), lookback_us, drop_late, parts
         self.schema: StructType | None = None
+        self.marks = BucketTable(spark, f"{self.path}/marks", _MARKS)
+
+    @property
+    def rows(self) -> BucketTable:
+        return BucketTable(self.spark, f"{self.path}/rows", self.schema)
 
-    def at(self, batch: int) -> DataFrame | None:
-        if batch < 0 or self.schema is None:
+    def at(self, batch: int, since_us: int | None = None) -> DataFrame | None:
+        """The history after a micro-batch; with ``since_us``, buckets of earlier days are not opened."""
+        version = None if self.schema is None or batch < 0 else self.rows.newest(batch + 1)
+        if version is None:
             return None
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/batch={batch}")
+        first = -1 if since_us is None else since_us // DAY_US
+        held = self.rows.read(version, lambda b: int(b.split("_")[0]) >= first)
+        bounds = self.marks.read(version).select("asset_id", (F.col("us") - self.lookback_us).alias("_from"))
+        kept = held.join(broadcast_if_small(bounds), "asset_id").where(F.col("us") >= F.col("_from")).drop("_from")
+        return kept if since_us is None else kept.where(F.col("us") >= since_us)
 
     def add(self, fresh: DataFrame, batch: int, order: Sequence[str] = ("us",)) -> DataFrame:
         """Merge one micro-batch and return the rows that were new."""
         self.schema = fresh.schema
-        fresh = keep_last(fresh, order=order)
-        before = self.at(batch - 1)
-        if before is None:
-            newest = fresh.groupBy("asset_id").agg((F.max("us") - self.lookback_us).alias("_from"))
-            kept = fresh.join(small_side(newest), "asset_id").where(F.col("us") >= F.col("_from")).drop("_from")
-        else:
-            if self.drop_late:
-                marks = before.groupBy("asset_id").agg(F.max("us").alias("_mark"))
-                fresh = fresh.join(small_side(marks), "asset_id", "left").where(
-                    F.col("_mark").isNull() | (F.col("us") > F.col("_mark"))).drop("_mark")
-            kept = merge_history(before, fresh.select(*before.columns), self.lookback_us)
-        kept.select(*fresh.columns).write.mode("overwrite").parquet(f"{self.path}/batch={batch}")
-        return fresh
+        arrivals = f"{self.path}/arrivals/batch={batch}"
+        if batch not in self.rows.versions():
+            self._merge(fresh, batch, order, arrivals)
+        return self.spark.read.schema(self.schema).parquet(f"{arrivals}/is_late=false")
+
+    def _merge(self, fresh: DataFrame, batch: int, order: Sequence[str], arrivals: str) -> None:
+        before = self.marks.read(self.marks.newest(batch)).withColumnRenamed("us", "_mark")
+        late = F.col("_mark").isNotNull() & (F.col("us") <= F.col("_mark")) if self.drop_late else F.lit(False)
+        flagged = keep_last(fresh, order=order).join(broadcast_if_small(before), "asset_id", "left").withColumn("is_late", late).drop("_mark")
+        seen = Observation(f"arrivals-{batch}-{uuid.uuid4().hex}")
+        counted = flagged.observe(seen, F.count(F.lit(1)).alias("rows"), F.count_if(F.col("is_late")).alias("late"), F.max("us").alias("newest"))
+        counted.write.mode("overwrite").partitionBy("is_late").parquet(arrivals)
+        counts = seen.get
+        entry = dict(zip(StructType.fromDDL(COUNTS).names, (batch, counts["rows"], counts["rows"] - counts["late"], counts["late"], counts["newest"])))
+        hadoop = self.spark._jvm.org.apache.hadoop.fs
+        path = hadoop.Path(f"{self.path}/counts/{batch}.json")
+        write_text(path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path, json.dumps(entry))
+        if not counts["rows"] - counts["late"]:  # a folder without rows, so that the batch can be read
+            self.spark.createDataFrame([], self.schema).write.mode("overwrite").parquet(f"{arrivals}/is_late=false")
+        new = self.spark.read.schema(self.schema).parquet(f"{arrivals}/is_late=false")
+        self._advance(new, batch, counts["newest"])
+
+    def _advance(self, new: DataFrame, batch: int, newest: int | None) -> None:
+        part = part_of(F.col("asset_id"), self.parts)
+        bucket = F.concat_ws("_", F.floor(F.col("us") / DAY_US).cast("string"), part)
+        touched = set(buckets_of(new.withColumn(BUCKET, bucket)))
+        parts = {b.split("_")[1] for b in touched}
+        known = self.marks.read(self.marks.newest(batch), parts.__contains__).unionByName(new.select("asset_id", "us"))
+        self.marks.commit(known.groupBy("asset_id").agg(F.max("us").alias("us")).withColumn(BUCKET, part), parts, batch)
+        version = self.rows.newest(batch)
+        old = {b for b in self.rows.manifest(version) if newest is not None and _day_end(b) <= newest - self.lookback_us}
+        if old:
+            marks = self.marks.read(self.marks.newest(batch + 1), {b.split("_")[1] for b in old}.__contains__)
+            oldest = {r["p"]: r["us"] - self.lookback_us for r in marks.groupBy(part.alias("p")).agg(F.min("us").alias("us")).collect()}
+            old = {b for b in old if _day_end(b) <= oldest[b.split("_")[1]]}
+        fresh, held = (rows.withColumn(BUCKET, bucket) for rows in (new, self.rows.read(version, touched.__contains__)))
+        both = held.withColumn("_source", F.lit(0)).unionByName(fresh.withColumn("_source", F.lit(1)))
+        self.rows.commit(both if self.drop_late else keep_last(both, order=("_source",)), touched, batch, old.__contains__)
+
+    def counts(self) -> DataFrame:
+        """Arrived, new and late rows of each micro-batch."""
+        return self.spark.read.schema(COUNTS).json(f"{self.path}/counts")
+
+    def late_rows(self) -> DataFrame:
+        """What arrived too late, with its micro-batch."""
+        named = StructType([*self.schema.fields, StructField("batch", LongType()), StructField("is_late", BooleanType())])
+        return self.spark.read.schema(named).option("basePath", f"{self.path}/arrivals").parquet(f"{self.path}/arrivals").where("is_late").drop("is_late")
 
 
 def feature_batches(history: BoundedHistory, out: str, wanted: dict[str, list[str]], widths: WindowWidths) -> Callable[[DataFrame, int], None]:
@@ -129,14 +198,13 @@ def feature_batches(history: BoundedHistory, out: str, wanted: dict[str, list[st
     after it may have dropped rows of a long batch that lie behind the look-back.
     """
     def work(batch: DataFrame, number: int) -> None:
-        fresh = history.add(batch, number)
-        fresh.write.mode("overwrite").parquet(f"{out}-fresh/batch={number}")
-        new_rows = known = fresh.sparkSession.read.schema(fresh.schema).parquet(f"{out}-fresh/batch={number}")
-        before = history.at(number - 1)
+        new_rows = known = history.add(batch, number)
+        oldest = stored(new_rows.groupBy("asset_id").agg((F.min("us") - widths.long).alias("_from")))
+        first = oldest.agg(F.min("_from")).first()[0]
+        before = None if first is None else history.at(number - 1, first)
         if before is not None:
-            oldest = new_rows.groupBy("asset_id").agg((F.min("us") - widths.long).alias("_from"))
-            halo = before.join(small_side(oldest), "asset_id").where(F.col("us") >= F.col("_from")).select(*new_rows.columns)
-            known = new_rows.unionByName(halo.join(new_rows.select("asset_id", "us"), ["asset_id", "us"], "left_anti"))
+            halo = before.join(broadcast_if_small(oldest), "asset_id").where(F.col("us") >= F.col("_from")).select(*new_rows.columns)
+            known = new_rows.unionByName(halo if history.drop_late else halo.join(new_rows.select("asset_id", "us"), ["asset_id", "us"], "left_anti"))
         computed = rolling_statistics(known, wanted, widths)
         columns = [f"{s}__{f}" for s, fs in wanted.items() for f in fs]
         computed.join(new_rows.select("asset_id", "us"), ["asset_id", "us"], "left_semi").select("asset_id", "us", *columns).write.mode(
