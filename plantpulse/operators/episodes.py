@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from ..catalog import rules as R
 from ..catalog.signals import SUBSYSTEMS
-from ..session import small_side
+from ..session import small_side, stored
 from .alerts import severity_weight
+from .timeslice import KEYS, MAX_SLICE_ROWS, SLICE, slice_by_time
 
 #: readings per block while islands are found
 EPISODE_BLOCK = 1 << 20
@@ -76,6 +77,20 @@ def event_order(weight: bool = True) -> list[Column]:
     return [*ordered, F.col("asset_id"), F.col("alert_id"), F.col("triggered_us").desc()]
 
 
+def placed_events(episodes: DataFrame, max_rows: int = MAX_SLICE_ROWS) -> DataFrame:
+    """The place of each episode in its asset's history, newest first (``event_order``), however long the history is.
+
+    Episodes are ranked inside time cells of at most ``max_rows`` (one instant holds no more than the rules); a cell's carry
+    is the number of episodes in the asset's later cells.
+    """
+    cells = stored(slice_by_time(episodes, us="last_seen_us", max_rows=max_rows))
+    later = Window.partitionBy(*KEYS).orderBy(F.col(SLICE).desc()).rowsBetween(Window.unboundedPreceding, -1)
+    carry = cells.groupBy(*KEYS, SLICE).agg(F.count(F.lit(1)).alias("_n")).select(*KEYS, SLICE, F.coalesce(F.sum("_n").over(later), F.lit(0)).alias("_later"))
+    local = F.row_number().over(Window.partitionBy(*KEYS, SLICE).orderBy(*event_order()))
+    placed = cells.withColumn("_local", local).join(small_side(carry), [*KEYS, SLICE])
+    return placed.withColumn("place", (F.col("_later") + F.col("_local")).cast("bigint")).drop("_local", "_later", SLICE)
+
+
 def risk_scores(active: DataFrame) -> DataFrame:
     """Score per asset and subsystem. One row per alert is active at most, so a group is bounded by the rule set."""
     late = F.when(F.col("layer") == "predictive_statistics", 1).otherwise(0)

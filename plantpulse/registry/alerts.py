@@ -254,6 +254,20 @@ def quality_issue_alerts(spark, sf):
     return found.select("asset_id", "us", "alert_id", "rule_id", "signal", "severity")
 
 
+@query("e13_issues_not_raised_by_the_reading", f"""
+WITH {HITS}, latest AS (SELECT asset_id, max(us) AS us FROM readings GROUP BY 1)
+SELECT h.asset_id, h.us, h.alert_id, h.rule_id, h.signal, h.severity FROM hits h JOIN latest l ON h.asset_id = l.asset_id AND h.us = l.us
+WHERE h.layer = 'operational_anomaly' AND h.threshold <> 'engineering_hint' AND (h.rule_id LIKE 'sensor_stuck::%') <> (h.asset_id % 2 = 0)""")
+def issues_not_raised(spark, sf):
+    """Stuck hits of the even assets' readings and zero hits of the others' have raised their issues; these are not raised again."""
+    numbered = D.numbered(spark, sf)
+    even = F.pmod("asset_id", F.lit(2)) == 0
+    raised = alerts.stuck_hits(numbered).where(even).unionByName(alerts.anomaly_hits(numbered, builtin_rules(spark)).where(~even))
+    issues = batch_issues(spark, sf).where(F.col("issue_type").isin("sensor_stuck", "zero_abnormal"))
+    found = alerts.issue_hits(numbered, issues, builtin_rules(spark), raised)
+    return found.select("asset_id", "us", "alert_id", "rule_id", "signal", "severity")
+
+
 @query("e14_e15_alert_identity", f"""
 WITH {HITS}
 SELECT alert_id, rule_id, layer, subsystem, signal, count(DISTINCT asset_id || ':' || row_idx) AS readings FROM hits GROUP BY 1, 2, 3, 4, 5""")
@@ -282,11 +296,7 @@ WITH {EPISODES}
 SELECT asset_id, alert_id, last_seen_us, severity, row_number() OVER (PARTITION BY asset_id ORDER BY last_seen_us DESC, {WEIGHT} DESC, alert_id, triggered_us DESC) AS place
 FROM episodes""")
 def event_history(spark, sf):
-    from pyspark.sql import Window
-
-    place = F.row_number().over(Window.partitionBy("asset_id").orderBy(*episodes.event_order())).cast("bigint")
-    ordered = all_episodes(spark, sf).withColumn("place", place)
-    return ordered.select("asset_id", "alert_id", "last_seen_us", "severity", "place")
+    return episodes.placed_events(all_episodes(spark, sf)).select("asset_id", "alert_id", "last_seen_us", "severity", "place")
 
 
 SCORES = f"""{EPISODES},

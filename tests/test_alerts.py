@@ -174,3 +174,18 @@ def test_measured_sides_are_broadcast_and_hot_assets_are_not_shuffled(spark):
         assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+@pytest.mark.parametrize("max_rows", [10, 1000])
+def test_places_in_a_long_history(spark, max_rows):
+    """Ties of time go by severity and id; cells are split down to instants and the places run on across them."""
+    rng = np.random.default_rng(6)
+    rows = [(1 if k % 5 else 2, f"a{k % 4}", int(1_700_000_000_000_000 + rng.integers(0, 60) * 10**9), ["low", "high", "critical"][k % 3], k) for k in range(300)]
+    frame = spark.createDataFrame(rows, "asset_id bigint, alert_id string, last_seen_us bigint, severity string, triggered_us bigint")
+    found = [(r.asset_id, r.place, r.triggered_us) for r in episodes.placed_events(frame, max_rows).collect()]
+    weight = {"low": 0, "high": 1, "critical": 2}
+    expected = []
+    for asset in (1, 2):
+        own = sorted((r for r in rows if r[0] == asset), key=lambda r: (-r[2], -weight[r[3]], r[1], -r[4]))
+        expected += [(asset, place, r[4]) for place, r in enumerate(own, 1)]
+    assert sorted(found) == expected
