@@ -160,9 +160,9 @@ def influence_history(spark, sf):
 
 
 # --- two direct features with expected signs: every subset in closed form ---
-_W = "pv_pres_sistema_bar"
+_V, _W = "pv_pres_descarga_bar", "pv_pos_valv_bypass_pct"
 _TWO_SQL = f"""{_ROWS_SQL},
-t AS (SELECT asset_id, qn_m3h AS y, {_X} AS a, {_W} AS b, {_Z} AS z FROM arows),
+t AS (SELECT asset_id, qn_m3h AS y, {_V} AS a, {_W} AS b, {_Z} AS z FROM arows),
 both_rows AS (SELECT asset_id, count(*) AS n, avg(y) AS my, avg(a) AS ma, avg(b) AS mb, var_pop(y) AS yy, var_pop(a) AS aa, var_pop(b) AS bb,
   covar_pop(a, b) AS ab, covar_pop(a, y) AS ay, covar_pop(b, y) AS cy FROM t WHERE a IS NOT NULL AND b IS NOT NULL GROUP BY 1),
 ab_fit AS (SELECT *, (ay * bb - cy * ab) / (aa * bb - ab * ab) AS ka, (cy * aa - ay * ab) / (aa * bb - ab * ab) AS kb FROM both_rows),
@@ -171,11 +171,11 @@ fits AS (
   UNION ALL SELECT asset_id, 'a', count(*), regr_slope(y, a), NULL, regr_intercept(y, a), regr_r2(y, a), corr(y, a), NULL FROM t WHERE a IS NOT NULL GROUP BY 1
   UNION ALL SELECT asset_id, 'b', count(*), NULL, regr_slope(y, b), regr_intercept(y, b), regr_r2(y, b), NULL, corr(y, b) FROM t WHERE b IS NOT NULL GROUP BY 1
   UNION ALL SELECT asset_id, '', count(*), NULL, NULL, avg(y), 0e0, NULL, NULL FROM t GROUP BY 1),
-judged AS (SELECT *, concat(CASE WHEN sa > -{H.LEAST_SHARE} THEN 'a' ELSE '' END, CASE WHEN sb < {H.LEAST_SHARE} THEN 'b' ELSE '' END) AS sound FROM fits),
+judged AS (SELECT *, concat(CASE WHEN sa < {H.LEAST_SHARE} THEN 'a' ELSE '' END, CASE WHEN sb < {H.LEAST_SHARE} THEN 'b' ELSE '' END) AS sound FROM fits),
 first_round AS (SELECT asset_id, sound AS used FROM judged WHERE used = 'ab'),
 second_round AS (SELECT j.asset_id, j.sound AS used FROM judged j JOIN first_round f USING (asset_id, used)),
-direct AS (SELECT j.*, concat_ws('|', CASE WHEN used NOT LIKE 'a%' THEN '{_X}' END, CASE WHEN used NOT LIKE '%b' THEN '{_W}' END) AS dropped,
-  coalesce(round((CASE WHEN sa < 0 THEN -sa ELSE 0 END + CASE WHEN sb >= 0 THEN sb ELSE 0 END) / nullif(coalesce(abs(sa), 0) + coalesce(abs(sb), 0), 0), 4), 0) + 0e0 AS issue
+direct AS (SELECT j.*, concat_ws('|', CASE WHEN used NOT LIKE '%b' THEN '{_W}' END, CASE WHEN used NOT LIKE 'a%' THEN '{_V}' END) AS dropped,
+  coalesce(round((CASE WHEN sa >= 0 THEN sa ELSE 0 END + CASE WHEN sb >= 0 THEN sb ELSE 0 END) / nullif(coalesce(abs(sa), 0) + coalesce(abs(sb), 0), 0), 4), 0) + 0e0 AS issue
   FROM judged j JOIN second_round USING (asset_id, used)),
 rest AS (SELECT t.asset_id, z, y - b0 - coalesce(ka * a, 0) - coalesce(kb * b, 0) AS d FROM t JOIN direct USING (asset_id)
   WHERE z IS NOT NULL AND (ka IS NULL OR a IS NOT NULL) AND (kb IS NULL OR b IS NOT NULL)),
@@ -183,32 +183,32 @@ loss AS (SELECT asset_id, count(*) AS n, regr_slope(d, z) AS kz, regr_intercept(
 
 
 def _two_features(spark, sf):
-    columns = [H.TARGET, _X, _W, _Z]
-    return H.fit_models(H.sufficient_statistics(H.analysis_rows(D.readings(spark, sf)), columns), columns, direct=[_X, _W], degradation=[_Z])
+    columns = [H.TARGET, _V, _W, _Z]
+    return H.fit_models(H.sufficient_statistics(H.analysis_rows(D.readings(spark, sf)), columns), columns, direct=[_V, _W], degradation=[_Z])
 
 
 @query("h4_h5_sign_constrained_two_features", f"""
 WITH {_TWO_SQL}
-SELECT asset_id, 'direct' AS model, n, {sr('b0', 'intercept', 2)}, {sr('r2', 'r2', 6)}, {sr('ka', 'admission', 3)}, {sr('kb', 'pressure', 3)}, NULL AS oil, dropped FROM direct
+SELECT asset_id, 'direct' AS model, n, {sr('b0', 'intercept', 2)}, {sr('r2', 'r2', 6)}, {sr('ka', 'pressure', 3)}, {sr('kb', 'bypass', 3)}, NULL AS oil, dropped FROM direct
 UNION ALL SELECT asset_id, 'loss', n, round(c0, 2) + 0e0, round(rl, 6) + 0e0, NULL, NULL, round(kz, 3) + 0e0, '' FROM loss""")
 def sign_constrained_two_features(spark, sf):
     """Features whose sign contradicts the physics go, the rest is fitted anew on the rows then complete."""
     slope = F.map_from_arrays("features", "coefficients")
     found = _two_features(spark, sf).withColumn("_k", slope)
-    return found.select("asset_id", "model", "n", r("intercept", 2), r("r2", 6), *[r(F.col("_k")[c], 3, name) for c, name in ((_X, "admission"), (_W, "pressure"), (_Z, "oil"))],
+    return found.select("asset_id", "model", "n", r("intercept", 2), r("r2", 6), *[r(F.col("_k")[c], 3, name) for c, name in ((_V, "pressure"), (_W, "bypass"), (_Z, "oil"))],
                         F.array_join(F.array_sort("sign_removed"), "|").alias("dropped"))
 
 
 @query("h12_sign_issue_two_features", f"""
-WITH {_TWO_SQL}, loose AS (SELECT asset_id, (CASE WHEN sa < 0 THEN -sa ELSE 0 END + CASE WHEN sb >= 0 THEN sb ELSE 0 END) / (abs(sa) + abs(sb)) AS share FROM fits WHERE used = 'ab')
+WITH {_TWO_SQL}, loose AS (SELECT asset_id, (CASE WHEN sa >= 0 THEN sa ELSE 0 END + CASE WHEN sb >= 0 THEN sb ELSE 0 END) / (abs(sa) + abs(sb)) AS share FROM fits WHERE used = 'ab')
 SELECT asset_id, issue AS sign_issue, {sr('share', 'share_before')} FROM direct JOIN loose USING (asset_id)""")
 def sign_issue_two_features(spark, sf):
     """Share of the contradicting features in the model, after the removal rounds and, from the free model, before them."""
-    columns = [H.TARGET, _X, _W]
+    columns = [H.TARGET, _V, _W]
     free = H.fit_models(H.sufficient_statistics(H.analysis_rows(D.readings(spark, sf)), columns), columns, direct=columns[1:], degradation=[], expected={})
     held = F.map_from_arrays("features", "standardized")
-    wrong = F.when(held[_X] < 0, -held[_X]).otherwise(0.0) + F.when(held[_W] >= 0, held[_W]).otherwise(0.0)
-    before = free.where("model = 'direct'").select("asset_id", (wrong / (F.abs(held[_X]) + F.abs(held[_W]))).alias("share"))
+    wrong = F.when(held[_V] >= 0, held[_V]).otherwise(0.0) + F.when(held[_W] >= 0, held[_W]).otherwise(0.0)
+    before = free.where("model = 'direct'").select("asset_id", (wrong / (F.abs(held[_V]) + F.abs(held[_W]))).alias("share"))
     found = _two_features(spark, sf).where("model = 'direct'").select("asset_id", "sign_issue")
     return found.join(before, "asset_id").select("asset_id", r("sign_issue"), r("share", 4, "share_before"))
 
