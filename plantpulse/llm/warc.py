@@ -76,13 +76,20 @@ def digest(value: Column) -> Column:
     return F.concat(F.lit("sha256:"), F.sha2(value.cast("binary"), 256))
 
 
-def plain_text(html: Column) -> Column:
-    """The text of html: no comments, scripts, styles or tags; block borders end lines; white space is collapsed, empty lines go."""
+def without_markup(html: Column) -> Column:
+    """html without comments, scripts, styles and tags; block borders end lines, white space is collapsed, references stay."""
     text = F.regexp_replace(html, _HIDDEN, "$2$4$5")
     text = F.regexp_replace(text, r"[ \t\r\n\f]+", " ")
     text = F.regexp_replace(text, _BORDER, "\n")
-    text = F.regexp_replace(text, r"<[^>]*>", "")
-    text = unescaped(text)
+    return F.regexp_replace(text, r"<[^>]*>", "")
+
+
+def plain_text(bare: Column) -> Column:
+    """The text of html ``without_markup``: references decoded, empty lines gone.
+
+    The decoding names its argument several times, so hand in a column of its own, which is computed once.
+    """
+    text = unescaped(bare)
     return F.trim(F.regexp_replace(F.regexp_replace(text, r" *\n[ \n]*", "\n"), r"^\n|\n$", ""))
 
 
@@ -102,11 +109,11 @@ def responses(pages: DataFrame, date: str = DATE, id_column: str = "page_id", ur
 
 def derivatives(found: DataFrame) -> DataFrame:
     """Two records for each response: metadata, then the conversion to plain text, both referring to it."""
-    source = found.filter("warc_type = 'response'")
+    source = found.filter("warc_type = 'response'").withColumn("bare", without_markup(F.col("payload")))
     links = F.map_from_arrays(
         F.array(*map(F.lit, ("WARC-Refers-To-Target-URI", "WARC-Refers-To-Date", "X-Source-Block-Digest", "X-Source-Payload-Digest"))),
         F.array("target_uri", "date", "block_digest", "payload_digest"))
-    text = plain_text(F.col("payload"))
+    text = plain_text(F.col("bare"))
     http_head = F.substring_index("block", CRLF + CRLF, 1)
     facts = F.concat(F.lit("source-headers: "), F.replace(http_head, F.lit(CRLF), F.lit("; ")), F.lit(CRLF + "source-bytes: "), F.octet_length("block").cast("string"),
                      F.lit(CRLF + "payload-bytes: "), F.octet_length("payload").cast("string"), F.lit(CRLF + "payload-digest: "), F.col("payload_digest"), F.lit(CRLF))
