@@ -32,8 +32,11 @@ MAX_BITS = 16
 #: blocks decoded at once
 DECODE_BLOCKS = 16
 
-_RAW = "part int, block int, first_id long, n_ids int, doc_ids array<long>, doc_at array<int>, first_doc long, continued boolean, open boolean, ids binary"
-_CODED = _RAW.replace("ids binary", "checkpoints array<int>, payload binary")
+_BLOCK = "part int, block int, first_id long, n_ids int, doc_ids array<long>, doc_at array<int>, first_doc long, continued boolean, open boolean"
+_RAW = f"{_BLOCK}, counts binary, ids binary"
+_CODED = f"{_BLOCK}, checkpoints array<int>, payload binary"
+#: the block number of the row that holds the counts of a task
+COUNTS_BLOCK = -1
 
 
 def code_lengths(counts: np.ndarray, max_bits: int = MAX_BITS) -> np.ndarray:
@@ -127,13 +130,21 @@ def _raw_blocks(docs: DataFrame, tokenizer_path: str, drops_white_space: bool, e
         coder, part = chunked_tokenizer(tokenizer_path, drops_white_space), TaskContext.get().partitionId()
         schema = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("first_id", pa.int64()), ("n_ids", pa.int32()),
                             ("doc_ids", pa.list_(pa.int64())), ("doc_at", pa.list_(pa.int32())), ("first_doc", pa.int64()),
-                            ("continued", pa.bool_()), ("open", pa.bool_()), ("ids", pa.binary())])
+                            ("continued", pa.bool_()), ("open", pa.bool_()), ("counts", pa.binary()), ("ids", pa.binary())])
         held, names, places, size, block, done, docs_before, continued = [], [], [], 0, 0, 0, 0, False
+        counts = np.zeros(0, dtype=np.int64)
 
-        def row(is_open: bool) -> pa.RecordBatch:
-            values = [part, block, done, size, names, places, docs_before, continued, is_open, np.concatenate(held).astype("<u4").tobytes()]
+        def as_row(values: list) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(values, schema)], schema=schema)
 
+        def row(is_open: bool) -> pa.RecordBatch:
+            nonlocal counts
+            ids = np.concatenate(held).astype("<u4")
+            found = np.bincount(ids, minlength=len(counts))
+            found[:len(counts)] += counts
+            counts = found
+            return as_row([part, block, done, size, names, places, docs_before, continued, is_open, None, ids.tobytes()])
+
         for batch in batches:
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
                 ids = np.append(coder.encode(text.as_py()), np.uint32(end_id))
@@ -153,6 +164,7 @@ def _raw_blocks(docs: DataFrame, tokenizer_path: str, drops_white_space: bool, e
         coder.forget()
         if size:
             yield row(False)
+        yield as_row([part, COUNTS_BLOCK, done, 0, [], [], docs_before, False, False, counts.astype("<i8").tobytes(), b""])
 
     return ordered.mapInArrow(run, _RAW)
 
@@ -168,16 +180,14 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int,
     raw = spark.read.schema(_RAW).parquet(raw_folder)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(0, dtype=np.int64)
         for batch in batches:
-            for ids in batch.column("ids"):
-                found = np.bincount(np.frombuffer(ids.as_buffer(), "<u4"), minlength=len(total))
-                found[:len(total)] += total
-                total = found
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(total[used], pa.int64())], ["id", "n"])
-
-    counted = raw.select("ids").mapInArrow(count, "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))
+            for packed in batch.column("counts"):
+                total = np.frombuffer(packed.as_buffer(), "<i8")
+                used = np.flatnonzero(total)
+                yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(total[used], pa.int64())], ["id", "n"])
+
+    # the counts of each tokenising task, one row a task
+    counted = raw.filter("counts IS NOT NULL").select("counts").mapInArrow(count, "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))
     found = {r["id"]: r["n"] for r in counted.collect()}  # one row per id of the vocabulary at most
     counts = np.zeros(max(found, default=0) + 1, dtype=np.int64)
     counts[list(found)] = list(found.values())
@@ -191,7 +201,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int,
                                                                   pa.array([p for _, p in coded], pa.binary())],
                                              batch.schema.names[:-1] + ["checkpoints", "payload"])
 
-    raw.mapInArrow(encode, _CODED).write.option("compression", "zstd").parquet(f"{folder}/blocks")
+    raw.filter(f"block > {COUNTS_BLOCK}").drop("counts").mapInArrow(encode, _CODED).write.option("compression", "zstd").parquet(f"{folder}/blocks")
     used = np.flatnonzero(lengths)
     codebook = spark.createDataFrame([(int(i), int(lengths[i])) for i in used], "id int, bits int")
     codebook.coalesce(1).write.parquet(f"{folder}/codebook")
