@@ -111,24 +111,35 @@ def _frequent(sample: list[tuple[np.ndarray, int]]) -> np.ndarray:
     for x, _ in sample:
         at = x >> np.uint32(BUCKET_BITS - 26)
         coarse[at] = np.minimum(coarse[at], LEAST_ROWS) + 1
-    likely = [x[coarse[x >> np.uint32(BUCKET_BITS - 26)] >= LEAST_ROWS] for x, _ in sample]
-    del coarse
-    buckets = np.concatenate(likely)
-    buckets.sort()
-    first = np.flatnonzero(np.diff(buckets, prepend=~buckets[:1]))
-    return buckets[first[np.diff(first, append=len(buckets)) >= LEAST_ROWS]]
+    found = []
+    for start in range(0, 1 << BUCKET_BITS, 1 << BUCKET_BITS - 4):  # the buckets of a row ascend, so a sixteenth of all is a slice of each row
+        edges = np.array([start, start + (1 << BUCKET_BITS - 4) - 1], dtype=np.uint32)
+        parts = []
+        for x, _ in sample:
+            part = x[np.searchsorted(x, edges[0]):np.searchsorted(x, edges[1], "right")]
+            parts.append(part[coarse[part >> np.uint32(BUCKET_BITS - 26)] >= LEAST_ROWS])
+        buckets = np.concatenate(parts)
+        del parts
+        buckets.sort()
+        first = np.flatnonzero(np.diff(buckets, prepend=~buckets[:1]))
+        found.append(buckets[first[np.diff(first, append=len(buckets)) >= LEAST_ROWS]])
+    return np.concatenate(found)
 
 
 def fit(sample: list[tuple[np.ndarray, int]], p: FtrlParameters = FtrlParameters()) -> ToxicityModel:
-    """Online FTRL-proximal over the sample; the intercept starts at the base rate and is not regularised."""
+    """Online FTRL-proximal over the sample, which is used up; the intercept starts at the base rate and is not regularised."""
     positive = sum(y for _, y in sample)
     rate = (positive + 0.5) / (len(sample) + 2.0)
     start = float(np.log(rate / (1 - rate)))
     if positive in (0, len(sample)):
         return ToxicityModel(start)
     buckets = _frequent(sample)
-    rows = [(np.flatnonzero(_member(buckets, x, at := np.searchsorted(buckets, x))), at, y) for x, y in sample]
-    rows = [(at[hit].astype(np.int32), y) for hit, at, y in rows]
+    rows = []
+    while sample:  # a row is given back as soon as its positions are known
+        x, y = sample.pop()
+        at = np.searchsorted(buckets, x)
+        rows.append((at[_member(buckets, x, at)].astype(np.int32), y))
+    rows.reverse()
     z, n = np.zeros(len(buckets)), np.zeros(len(buckets))
     bias, bias_n = start, 1.0
 

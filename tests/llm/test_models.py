@@ -120,12 +120,48 @@ def test_ftrl_learns_rare_words_and_stays_sparse():
         return " ".join(found + rng.sample(["vile", "nasty", "rotten", "foul"], 2) * bad)
 
     rows = [(toxicity.features(text(k % 8 == 0)), int(k % 8 == 0)) for k in range(1200)]
-    model = toxicity.fit(rows)
+    model = toxicity.fit(rows[:])
     scorer = toxicity.Scorer(model)
     assert len(model.weights) < 0.05 * len(np.unique(np.concatenate([x for x, _ in rows])))
     assert scorer(text(True).upper()) > 0.5 and scorer(text(False)) < 0.5 and scorer(None) == scorer("") < 0.5
 
 
+def test_ftrl_equals_a_plain_one():
+    """Number by number over dictionaries: the same buckets, weights and scores."""
+    rng = random.Random(2)
+    texts = [" ".join(rng.choices(["vile", "calm", "tree", "house", "foul", "river", "stone"], k=rng.randrange(3, 12))) for _ in range(150)]
+    rows = [(toxicity.features(t), int("vile" in t or "foul" in t.split()[:2])) for t in texts]
+    p = toxicity.FtrlParameters()
+    times = Counter(int(b) for x, _ in rows for b in x)
+    known = [([int(b) for b in x if times[int(b)] >= toxicity.LEAST_ROWS], y) for x, y in rows]
+    z, n = Counter(), Counter()
+    rate = (sum(y for _, y in rows) + 0.5) / (len(rows) + 2.0)
+    bias, bias_n = float(np.log(rate / (1 - rate))), 1.0
+
+    def weight(b):
+        return 0.0 if abs(z[b]) <= p.l1 else -(z[b] - np.sign(z[b]) * p.l1) / ((p.beta + n[b] ** 0.5) / p.alpha + p.l2)
+
+    order = np.random.default_rng(p.seed)
+    for _ in range(p.epochs):
+        for i in order.permutation(len(known)):
+            x, y = known[i]
+            held = {b: weight(b) for b in x}
+            g = 1 / (1 + np.exp(-(bias + sum(held.values())))) - y
+            for b in x:
+                z[b] += g - ((n[b] + g * g) ** 0.5 - n[b] ** 0.5) / p.alpha * held[b]
+                n[b] += g * g
+            bias_n += g * g
+            bias -= p.alpha * g / bias_n ** 0.5
+    expected = {b: weight(b) for b in sorted(times) if weight(b)}
+    model = toxicity.fit(rows[:])
+    assert model.buckets.tolist() == list(expected)
+    np.testing.assert_allclose(model.weights, list(expected.values()), rtol=1e-5)
+    assert model.bias == pytest.approx(bias)
+    for text in texts[:20]:
+        logit = bias + sum(expected.get(int(b), 0.0) for b in toxicity.features(text))
+        assert toxicity.Scorer(model)(text) == pytest.approx(1 / (1 + np.exp(-logit)), rel=1e-4)
+
+
 # -- HTML -------------------------------------------------------------------------------------------------------------
 
 def article_text(html):
@@ -305,7 +341,7 @@ def test_warc_text_decodes_all_references(spark):
     ("<title>the <script> tag</title><p>b", "the tag\nb"), ("<a title='<script>'>b</a>", "b"), ("<script-x>b</script-x>c", "bc"), ("<p>&mdash;&#8217;", "\u2014\u2019")])
 def test_warc_text_of_unclosed_markup(spark, page, text):
     frame = spark.createDataFrame([(page,)], "html string")
-    assert re.sub(" +", " ", frame.select(warc.plain_text(F.col("html")).alias("t")).first()["t"]) == text
+    assert re.sub(" +", " ", frame.select(warc.plain_text(warc.without_markup(F.col("html"))).alias("t")).first()["t"]) == text
 
 
 # -- pipeline ---------------------------------------------------------------------------------------------------------
