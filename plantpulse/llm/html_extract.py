@@ -79,6 +79,10 @@ class Dom(HTMLParser):
         self.feed(html)
         self.close()
 
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        """A marked section is a comment that ends with the next ``>``, as in HTML; the parser's own rule may raise."""
+        return self.parse_bogus_comment(i)
+
     def _open(self, tag: str, attributes: list[tuple[str, str | None]]) -> None:
         above = self.stack[-1]
         words = [w.lower() for name, value in attributes if value and name in ("class", "id", "role") for w in _LETTERS.findall(value)]

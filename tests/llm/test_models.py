@@ -185,6 +185,15 @@ def test_html_of_all_pages(spark):
         assert row.text == article_text(pages.html[i]) and row.n_chars == len(row.text) and row.url == pages.url[i]
 
 
+def test_any_markup_is_read():
+    rng = random.Random(7)
+    pieces = ["<", ">", "<!", "<![", "[", "]]>", "]", "<!--", "-->", "<p>", "</p", "<div ", "a=", '"', "'", "&", "&#x", ";", "<?", "?>", "</", "/>", "<![CDATA[", "<![if x]>", "<![endif]>", "foo", " ", "\n",
+              "<script>", "</script>", "<title>", "<!doctype", "<svg>", "x"]
+    for _ in range(20_000):
+        html_extract.Dom("".join(rng.choices(pieces, k=rng.randrange(14))))
+    assert "x" in "".join(text for _, text in filter(None, html_extract.Dom("<p><![foo[bar]]>x</p>").segments))
+
+
 def test_html_in_unseen_markup(spark, trees):
     texts = [article_text(r["html"]).split("\n") for r in spark.read.parquet(f"{DATA}/pages.parquet").orderBy("page_id").limit(60).collect()]
     rng, right = random.Random(77), 0
