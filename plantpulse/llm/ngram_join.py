@@ -4,12 +4,12 @@
    shingles, rarest bucket first, then by hash; any one order gives the same links.
 2. Of each document the prefix is taken: so many of its first shingles that two linked documents must share one of them. Documents with
    the same prefix and size make one group, and a group's members with the same set make one class.
-3. Groups that share a prefix shingle are paired and filtered by size and position; pairs that pass are expanded to their classes and
-   verified on the whole sets. To spare the pairs within large families, the groups of a list are first paired with one pivot each;
-   then, in lists that still hold several components, all pairs across components are verified. No link that could join two components
-   is left out, and none within one component is needed to know the components.
-4. Links are counted afterwards: a component's classes are compared with each other in pairs of blocks, on the whole sets. A pair of
-   blocks returns one row per class, the documents that its links lead to, never the pairs; each pair of classes meets once.
+3. Lists, the groups that share a prefix shingle, are gathered in bundles: a bundle is named by the smallest group of its lists, so that
+   the similar lists of one family fall together and each two groups that share a list share a bundle. Bundles are cut into cells by size
+   and hash; all work on a pair of cells is done in one task, where overlaps are products of sparse rows, and no pair is ever a row.
+4. First the groups of a pair of cells are filtered: by size, and by the shingles that both prefixes hold, beyond which only so many can
+   follow. Groups left with a partner are then expanded to their classes and verified on the whole sets. A pair of cells returns one row
+   per linked class: one link of its component, and the documents that its links lead to; each link is counted in one bundle.
 
 Shingles are 64-bit hashes of five words. Defined results: a null text or one without words has no shingles, and is a component of its
 own; a text of fewer words than a shingle has one shingle, all its words. Rows with a null id link to nothing and have a null component.
@@ -18,6 +18,7 @@ Repeated rows are members of one class. Other columns of the input are not read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,10 +33,12 @@ from .components import components
 WORDS = 5
 #: a link: 100 * intersection >= PERCENT * union
 PERCENT = 80
-#: most classes and about the most shingles of a block of a component's classes; columns of a product of two blocks
+#: about the most classes and shingles of a cell; columns of a product of two cells
 BLOCK = 512
 BLOCK_SHINGLES = 1 << 20
 _COLUMNS = 4096
+#: sizes of linked sets differ by a factor of at most 100 / PERCENT; a little more is safe against rounding
+BAND = 1.008 * 100 / PERCENT
 FREQUENCY_BUCKETS = 1 << 20
 _SLICES = 64
 _WEIGHTS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93], dtype=np.uint64)
@@ -112,51 +115,6 @@ def signatures(docs: DataFrame, frequencies: np.ndarray) -> DataFrame:
     return with_computed(docs, "n_shingles long, sig1 long, sig2 long, prefix_sig long, prefix array<long>", make, keep=["doc_id"])
 
 
-def _sizes_allow(a: str, b: str) -> Column:
-    n_a, n_b = F.col(f"{a}.n"), F.col(f"{b}.n")
-    return 100 * F.least(n_a, n_b) >= PERCENT * F.greatest(n_a, n_b)
-
-
-def _enough(shared: Column | int, rest_a: Column, rest_b: Column, n_a: Column, n_b: Column) -> Column:
-    """Whether ``shared`` shingles and what may follow them in both sets reach the intersection that a link needs."""
-    return (100 + PERCENT) * (shared + F.least(rest_a, rest_b)) >= PERCENT * (n_a + n_b)
-
-
-def _verified(texts: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Of pairs of classes those that are linked, by the whole sets.
-
-    A class is named by a document (a, b) and the hash of its set (sig_a, sig_b). Its set is read again from the text; which texts are
-    read is told by bits of fixed size, and what they let through in vain finds no partner in the joins.
-    """
-    pairs = stored(pairs)
-    ends = [pairs.select(F.col(c).alias("doc_id")) for c in ("a", "b")]
-    likely = with_membership(texts, F.col("doc_id"), member_bits(ends[0].unionByName(ends[1]), "doc_id"), "_likely").filter("_likely")
-
-    def make():
-        def compute(part):
-            sets = [shingle_set(t) for t in part.column("text").to_pylist()]
-            return {"sig1": [int(_mixed(x).sum(dtype=np.uint64).astype(np.int64)) for x in sets], "shingles": [x.tobytes() for x in sets]}
-
-        return compute
-
-    sets = stored(with_computed(likely.select("doc_id", "text"), "sig1 long, shingles binary", make, keep=["doc_id"]))
-
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            linked = []
-            for x, y in zip(batch.column("x"), batch.column("y")):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                shared = len(np.intersect1d(x, y, assume_unique=True))
-                linked.append(100 * shared >= PERCENT * (len(x) + len(y) - shared))
-            yield batch.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
-
-    both = pairs
-    for end, ids, name in (("a", ends[0], "x"), ("b", ends[1], "y")):
-        of_end = with_membership(sets, F.col("doc_id"), member_bits(ids, "doc_id"), "_likely").filter("_likely")
-        both = both.join(of_end.select(F.col("doc_id").alias(end), F.col("sig1").alias(f"sig_{end}"), F.col("shingles").alias(name)), [end, f"sig_{end}"])
-    return both.select("a", "b", "x", "y").mapInArrow(check, "a long, b long").distinct()
-
-
 def _shared_counts(sets: list[np.ndarray]) -> np.ndarray:
     """How many shingles each two of the sets share."""
     counts = np.zeros((len(sets), len(sets)), dtype=np.int64)
@@ -174,31 +132,107 @@ def _shared_counts(sets: list[np.ndarray]) -> np.ndarray:
     return counts
 
 
-def _counted(key: tuple, rows: pa.Table) -> pa.Table:
-    """One pair of blocks of a component: per class the number of documents that its links lead to."""
+def _possible(key: tuple, rows: pa.Table) -> pa.Table:
+    """One pair of cells of a bundle: the groups that have a partner by size and by the shared shingles of their prefixes.
+
+    What follows a prefix can add at most its own number of shingles to those that both prefixes hold.
+    """
+    n, units = rows.column("n").to_numpy(), rows.column("g").to_numpy()
+    rest = (PERCENT * n + 99) // 100 - 1
+    reach = _shared_counts(_arrays(rows.column("listed"))) + np.maximum(rest[:, None], rest[None, :])
+    possible = (100 + PERCENT) * reach >= PERCENT * (n[:, None] + n[None, :])
+    possible &= 100 * np.minimum(n[:, None], n[None, :]) >= PERCENT * np.maximum(n[:, None], n[None, :])
+    possible |= units[:, None] == units[None, :]
+    np.fill_diagonal(possible, rows.column("classes").to_numpy() > 1)
+    if key[1].as_py() != key[2].as_py():
+        cell = rows.column("cell").to_numpy()
+        possible &= cell[:, None] != cell[None, :]
+    return rows.filter(pa.array(possible.any(axis=1))).select(["bundle", "first", "second", "cell", "g", "part", "bundles"])
+
+
+def _smallest_reached(linked: np.ndarray) -> np.ndarray:
+    """Per row the smallest row that links lead to."""
+    label = np.arange(len(linked))
+    while True:
+        lower = np.minimum(label, np.where(linked, label[None, :], len(label)).min(axis=1))
+        lower = lower[lower]
+        if np.array_equal(lower, label):
+            return label
+        label = lower
+
+
+def _verified(key: tuple, rows: pa.Table) -> pa.Table:
+    """One pair of cells of a bundle, whole sets: per linked class the smallest document that its links lead to here, and the number of
+    documents that its links lead to. Two classes may meet in several bundles; their link is counted in the smallest of these."""
     names = np.stack([rows.column(c).to_numpy() for c in ("cid", "sig1", "sig2")], axis=1)
-    rows = rows.take(pa.array(np.unique(names, axis=0, return_index=True)[1]))  # a repeated row brings its set again
+    rows = rows.take(pa.array(np.unique(names, axis=0, return_index=True)[1]))  # by ascending cid; a repeated row brings its set again
     sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in rows.column("shingles")]
-    n, block = np.array([len(x) for x in sets]), rows.column("block").to_numpy()
+    n, bundle = np.array([len(x) for x in sets]), key[0].as_py()
     shared = _shared_counts(sets)
     linked = 100 * shared >= PERCENT * (n[:, None] + n[None, :] - shared)
     np.fill_diagonal(linked, False)
     if key[1].as_py() != key[2].as_py():
-        linked &= block[:, None] != block[None, :]
-    weight = linked @ rows.column("class_size").to_numpy()
-    return pa.table([rows.column("cid"), rows.column("sig1"), rows.column("sig2"), pa.array(weight, pa.int64())], ["cid", "sig1", "sig2", "weight"])
-
-
-def _link_weights(texts: DataFrame, named: DataFrame) -> DataFrame:
-    """Per class (cid, sig1, sig2) that shares its component with others: the number of documents of other classes that it is linked to."""
-    several = stored(named.groupBy("component_id").agg(F.count("*").alias("m"), F.sum("n_shingles").alias("all_shingles")).filter("m > 1"))
-    rows = join_groups(named.select("component_id", "cid", "sig1", "sig2", "class_size"), several, ["component_id"], "m")
-    blocks = F.ceil(F.greatest(F.col("m") / BLOCK, F.col("all_shingles") / BLOCK_SHINGLES)).cast("int")
-    placed = (rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("cid", "sig1"), F.col("blocks")).cast("int"))
-              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-              .select("component_id", "cid", "sig1", "sig2", "class_size", "block", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second")))
-    placed = stored(placed)
-    likely = with_membership(texts, F.col("doc_id"), member_bits(placed, "cid"), "_likely").filter("_likely")
+        cell = rows.column("cell").to_numpy()
+        linked &= cell[:, None] != cell[None, :]
+    counted = linked & (_shared_counts([x[x < bundle] for x in _arrays(rows.column("bundles"))]) == 0)
+    weight = counted @ rows.column("class_size").to_numpy()
+    to = rows.column("cid").to_numpy()[_smallest_reached(linked)]
+    found = pa.table([rows.column("cid"), rows.column("sig1"), rows.column("sig2"), pa.array(weight, pa.int64()), pa.array(to, pa.int64())],
+                     ["cid", "sig1", "sig2", "weight", "to"])
+    return found.filter(pa.array(linked.any(axis=1)))
+
+
+def _parts(classes: Column) -> Column:
+    return F.ceil(classes / BLOCK).cast("int")
+
+
+def _arrays(column: pa.ChunkedArray) -> list[np.ndarray]:
+    return [x.values.to_numpy() for x in column]
+
+
+def _placed(members: DataFrame) -> DataFrame:
+    """Members of bundles in all pairs of cells that they belong to: columns first, second and their own cell.
+
+    A band of sizes holds no two sizes that differ by more than a factor of ``BAND``, so that linked sets lie in one band or in adjacent
+    ones. A band of a bundle is cut into cells of about ``BLOCK`` classes and ``BLOCK_SHINGLES`` shingles.
+    """
+    members = stored(members.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / math.log(BAND)).cast("int")))
+    bands = members.groupBy("bundle", "band").agg(F.sum("classes").alias("m"), F.sum(F.col("classes") * F.col("n")).alias("shingles"))
+    cells = F.ceil(F.greatest(F.col("m") / BLOCK, F.col("shingles") / BLOCK_SHINGLES)).cast("int")
+    bundles = bands.groupBy("bundle").agg(F.map_from_entries(F.collect_list(F.struct("band", cells))).alias("cells"), F.sum("m").alias("m"))
+    rows = join_groups(members, stored(bundles.filter("m > 1")), ["bundle"], "m")
+
+    def cell(band: Column, number: Column) -> Column:
+        return band.cast("long") * F.lit(1 << 32) + number
+
+    def of_band(band: Column) -> Column:
+        held = F.element_at("cells", band)  # null where the bundle has no such band
+        return F.when(held.isNull(), F.array().cast("array<bigint>")).otherwise(
+            F.transform(F.sequence(F.lit(0), F.greatest(F.coalesce(held, F.lit(1)), F.lit(1)) - 1), lambda i: cell(band, i)))
+
+    near = F.concat(*(of_band(F.col("band") + step) for step in (-1, 0, 1)))
+    own = cell(F.col("band"), F.pmod(F.xxhash64("g", "part"), F.element_at("cells", F.col("band"))))
+    paired = rows.withColumn("cell", own).withColumn("other", F.explode(near))
+    return (paired.withColumns({"first": F.least("cell", "other"), "second": F.greatest("cell", "other")})
+            .drop("band", "cells", "m", "other"))
+
+
+def _links(texts: DataFrame, lists: DataFrame, groups: DataFrame, classes: DataFrame) -> DataFrame:
+    """Per class and pair of cells in which it is linked: cid, sig1, sig2, weight, to (see ``_verified``)."""
+    pivots = stored(lists.groupBy("shingle").agg(F.min("g").alias("bundle")))
+    mixed = groups.filter("classes > 1").select("g", F.lit(None).cast("long").alias("shingle"), F.col("g").alias("bundle"))
+    of_group = lists.join(pivots, "shingle").select("g", "shingle", "bundle").unionByName(mixed).groupBy("g").agg(
+        F.collect_set("shingle").alias("listed"), F.collect_set("bundle").alias("bundles"))
+    parts = _parts(F.col("classes"))
+    members = of_group.join(groups.select("g", "n", "classes"), "g").select(
+        "g", "n", F.ceil(F.col("classes") / parts).alias("classes"), "listed", "bundles", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    members = members.withColumn("bundle", F.explode("bundles"))
+    key = ["bundle", "first", "second"]
+    names = ", ".join(f"{c} long" for c in (*key, "cell", "g"))
+    possible = stored(_placed(members).groupBy(*key).applyInArrow(_possible, f"{names}, part int, bundles array<bigint>"))
+
+    expanded = stored(possible.join(classes.select("g", "part", "cid", "sig1", "sig2", "class_size"), ["g", "part"]).drop("g", "part"))
+    likely = with_membership(texts, F.col("doc_id"), member_bits(expanded, "cid"), "_likely").filter("_likely")
 
     def make():
         def compute(part):
@@ -210,79 +244,40 @@ def _link_weights(texts: DataFrame, named: DataFrame) -> DataFrame:
         return compute
 
     sets = stored(with_computed(likely.select(F.col("doc_id").alias("cid"), "text"), "sig1 long, sig2 long, shingles binary", make, keep=["cid"]))
-    full = placed.join(sets, ["cid", "sig1", "sig2"])
-    counted = full.groupBy("component_id", "first", "second").applyInArrow(_counted, "cid long, sig1 long, sig2 long, weight long")
-    return counted.groupBy("cid", "sig1", "sig2").agg(F.sum("weight").alias("weight"))
+    verified = expanded.join(sets, ["cid", "sig1", "sig2"]).groupBy(*key).applyInArrow(_verified, "cid long, sig1 long, sig2 long, weight long, to long")
+    return stored(verified)
 
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, class_id (smallest id with the same set), component_id (smallest id by links), n_links.
 
-    ``n_links`` is the number of other documents that the document is linked to, those of its class among them.
+    ``n_links`` is the number of other documents that the document is linked to, those of its class among them. Ids are whole numbers.
     """
     texts = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
     signed = stored(signatures(texts, frequency_table(texts)))
     full = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL")
 
-    groups = stored(full.groupBy("n_shingles", "prefix_sig").agg(F.min("doc_id").alias("gid")))
     key = ["n_shingles", "prefix_sig", "sig1", "sig2"]
     classes = stored(full.groupBy(*key).agg(F.min("doc_id").alias("cid"), F.count("*").alias("class_size"))
-                     .join(groups, ["n_shingles", "prefix_sig"]))
+                     .withColumn("g", F.xxhash64("n_shingles", "prefix_sig")))
+    groups = stored(classes.groupBy("g", F.col("n_shingles").alias("n"), "prefix_sig").agg(F.min("cid").alias("gid"), F.count("*").alias("classes")))
 
     # lists: the groups that share a prefix shingle. Bits of fixed size tell which documents stand for a group and which shingles are
     # shared; the joins behind them are exact
     standing = with_membership(full, F.col("doc_id"), member_bits(groups, "gid"), "_likely").filter("_likely")
-    posts = standing.select(F.posexplode("prefix").alias("at", "shingle"), F.col("doc_id").alias("gid"), F.col("n_shingles").alias("n"), "prefix_sig")
+    posts = standing.select(F.explode("prefix").alias("shingle"), F.col("doc_id").alias("gid"), F.col("n_shingles").alias("n"), "prefix_sig")
     shared = stored(posts.groupBy("shingle").agg(F.count("*").alias("groups")).filter("groups > 1"))
     likely = with_membership(posts, F.col("shingle"), member_bits(shared, "shingle"), "_likely").filter("_likely").drop("_likely")
-    lists = stored(likely.join(shared.select("shingle"), "shingle")
-                   .join(groups.select("gid", F.col("n_shingles").alias("n"), "prefix_sig"), ["gid", "n", "prefix_sig"])
-                   .select("shingle", "gid", "n", "at").distinct())
-    mixed = stored(classes.groupBy("gid").agg(F.count("*").alias("classes")).filter("classes > 1"))
-    listed = lists.select("gid").unionByName(mixed.select("gid")).distinct()
-    narrow = stored(classes.select("gid", "cid", "sig1", F.col("n_shingles").alias("n")).join(listed, "gid"))
-
-    # each group of a list with the list's pivot, each class of a group with the group's first
-    pivots = stored(lists.groupBy("shingle").agg(F.min_by(F.struct("gid", "n", "at"), F.xxhash64("gid")).alias("p")).select("shingle", "p.*"))
-    stars = (lists.alias("x").join(pivots.alias("y"), "shingle").filter(F.col("x.gid") != F.col("y.gid"))
-             .filter(_sizes_allow("x", "y") & _enough(0, F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at"), F.col("x.n"), F.col("y.n")))
-             .select(F.col("x.gid").alias("gid"), F.col("y.gid").alias("b")).distinct())
-    member = narrow.select("gid", F.col("cid").alias("a"), F.col("sig1").alias("sig_a"))
-    first = narrow.filter("cid = gid").select(F.col("cid").alias("b"), F.col("sig1").alias("sig_b"))
-    inner = member.join(mixed, "gid").filter("a <> gid").select("gid", F.col("gid").alias("b"), "a", "sig_a")
-    expanded = stars.join(member, "gid").unionByName(inner).join(first, "b").select("a", "sig_a", "b", "sig_b")
-    links = stored(_verified(texts, expanded))
-    found = components(links)
-
-    # lists that still hold several components: all pairs across components. A pair meets in each list it shares, so that up to its last
-    # shared prefix shingle the intersection is known; pairs that cannot reach a link behind it are dropped before verification
-    own = F.xxhash64(F.lit("group"), F.col("gid"))
-    entries = lists.join(narrow.select("gid", "cid", "sig1"), "gid").select("shingle", "gid", "cid", "sig1", "n", "at").unionByName(
-        narrow.join(mixed, "gid").select(own.alias("shingle"), "gid", "cid", "sig1", "n", F.lit(0).alias("at")))
-    labels = found.select(F.col("node").alias("cid"), "component")
-    labelled = stored(entries.join(labels, "cid", "left").withColumn("component", F.coalesce("component", "cid")))
-    sizes = labelled.groupBy("shingle", "component").agg(F.count("*").alias("m"))
-    open_lists = stored(sizes.groupBy("shingle").agg(F.count("*").alias("parts"), F.max_by("component", F.struct("m", "component")).alias("largest"))
-                        .filter("parts > 1").drop("parts"))
-    open_entries = stored(labelled.join(open_lists, "shingle"))
-    x, y = open_entries.filter("component <> largest").alias("x"), open_entries.alias("y")
-    across = (x.join(y, "shingle").filter(F.col("x.component") != F.col("y.component"))
-              .filter((F.col("y.component") == F.col("y.largest")) | (F.col("x.cid") < F.col("y.cid"))).filter(_sizes_allow("x", "y")))
-    ends = [end(*(F.struct(*(F.col(f"{side}.{c}") for c in ("cid", "sig1", "gid", "n", "at"))) for side in ("x", "y"))) for end in (F.least, F.greatest)]
-    met = across.select(*(e.alias(c) for c, e in zip("pq", ends)))
-    named_ends = [F.col(f"{e}.{c}").alias(f"{c}_{e}") for e in "pq" for c in ("cid", "sig1", "gid", "n")]
-    pairs = met.groupBy(*named_ends).agg(F.count("*").alias("shared"), F.max("p.at").alias("at_p"), F.max("q.at").alias("at_q"))
-    reach = _enough(F.col("shared"), F.col("n_p") - F.col("at_p") - 1, F.col("n_q") - F.col("at_q") - 1, F.col("n_p"), F.col("n_q"))
-    across = pairs.filter(reach | (F.col("gid_p") == F.col("gid_q"))).select(  # of one group not all shared shingles are listed
-        F.col("cid_p").alias("a"), F.col("sig1_p").alias("sig_a"), F.col("cid_q").alias("b"), F.col("sig1_q").alias("sig_b"))
-    more = stored(_verified(texts, across))
-    final = components(links.unionByName(more)) if not more.isEmpty() else found
-
-    named = classes.select(*key, "cid", "class_size").join(final.withColumnRenamed("node", "cid"), "cid", "left")
-    named = stored(named.withColumn("component_id", F.coalesce("component", "cid")).drop("component"))
+    lists = stored(likely.join(shared.select("shingle"), "shingle").join(groups, ["gid", "n", "prefix_sig"]).select("shingle", "g").distinct())
+
+    split = classes.join(groups.select("g", "classes"), "g").withColumn("part", F.pmod(F.xxhash64("sig1", "sig2"), _parts(F.col("classes"))).cast("int"))
+    links = _links(texts, lists, groups, split)
+    found = components(links.select(F.col("cid").alias("a"), F.col("to").alias("b")))
+    weights = links.groupBy("cid", "sig1", "sig2").agg(F.sum("weight").alias("weight"))
+
+    named = classes.join(found.withColumnRenamed("node", "cid"), "cid", "left").join(weights, ["cid", "sig1", "sig2"], "left")
     n_links = F.col("class_size") - 1 + F.coalesce("weight", F.lit(0))
-    named = named.join(_link_weights(texts, named), ["cid", "sig1", "sig2"], "left")
-    named = stored(named.select(*key, "class_size", F.col("cid").alias("class_id"), "component_id", n_links.alias("n_links")))
+    named = stored(named.select(*key, "class_size", F.col("cid").alias("class_id"), F.coalesce("component", "cid").alias("component_id"), n_links.alias("n_links")))
     out = ["doc_id", "n_shingles", "class_id", "component_id", "n_links"]
     members = join_groups(full.select("doc_id", *key), named, key, "class_size").select(*out)
     none = F.lit(0).cast("long").alias("n_links")

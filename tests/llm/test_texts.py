@@ -124,6 +124,29 @@ def test_near_duplicates_count_all_links(spark, monkeypatch, block):
     assert {r["doc_id"]: r["n_links"] for r in found.collect()} == expected and max(expected.values()) > 5
 
 
+@pytest.mark.parametrize("block", [512, 2])
+def test_near_duplicates_in_one_wide_family(spark, monkeypatch, block):
+    """A family in which many pairs fall short of a link, sizes that cross bands, and groups of several sets behind one prefix."""
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    rng = random.Random(11)
+    vocabulary = [f"w{k}" for k in range(3000)]
+    text = rng.choices(vocabulary, k=100)
+    rows = []
+    for i in range(120):
+        own = list(text[:rng.randrange(70, 101)])
+        for _ in range(rng.randrange(4)):
+            own[rng.randrange(len(own))] = rng.choice(vocabulary)
+        rows.append((i, " ".join(own)))
+    rare, common = [rng.choices(vocabulary, k=k) for k in (40, 8)]
+    for i in range(30):  # often repeated ends vary behind rare words that stay the same
+        rows += [(200 + i, " ".join(rare + common[i % 8:] + common[:i % 8]))] + [(300 + 10 * i + k, " ".join(common[i % 8:] + common[:i % 8] + rng.choices(vocabulary, k=40))) for k in range(8)]
+    known = [(i, set(ngram_join.shingle_set(t).tolist())) for i, t in rows]
+    expected = {i: sum(j != i and 100 * len(x & y) >= 80 * len(x | y) for j, y in known) for i, x in known}
+    found = ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in found} == brute_components(rows)
+    assert {r["doc_id"]: r["n_links"] for r in found} == expected and min(expected.values()) == 0
+
+
 # -- byte-level BPE ---------------------------------------------------------------------------------------------------
 
 @pytest.fixture(scope="module")
