@@ -53,19 +53,20 @@ def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     repeated = stored(found.filter("kept AND group_size > 1").groupBy("doc_id", "text_sha256").count().filter("count > 1")
                       .select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_hash")))
     digest = F.sha2(exact_dedup.normalised(F.col("text")).cast("binary"), 256)
-    rows = docs.withColumn("_digest", digest)
+    own = _unused(docs, "_digest")
+    rows = docs.withColumn(own, digest)
 
     def among(names: DataFrame):
-        return rows["doc_id"].eqNullSafe(names["_id"]) & (rows["_digest"] == names["_hash"])
+        return rows["doc_id"].eqNullSafe(names["_id"]) & (rows[own] == names["_hash"])
 
     staying = rows.join(dropped, among(dropped), "left_anti")
-    once = staying.join(repeated, staying["doc_id"].eqNullSafe(repeated["_id"]) & (staying["_digest"] == repeated["_hash"]), "left_anti")
+    once = staying.join(repeated, staying["doc_id"].eqNullSafe(repeated["_id"]) & (staying[own] == repeated["_hash"]), "left_anti")
     if repeated.isEmpty():
-        return once.drop("_digest")
+        return once.drop(own)
     longest = F.max_by(F.struct(*docs.columns), F.struct(F.length(F.coalesce("text", F.lit(""))), F.coalesce("text", F.lit(""))))
-    several = staying.join(repeated, staying["doc_id"].eqNullSafe(repeated["_id"]) & (staying["_digest"] == repeated["_hash"]), "left_semi")
-    first = several.groupBy("doc_id", "_digest").agg(longest.alias("_row")).select("_row.*")
-    return once.drop("_digest").unionByName(first)
+    several = staying.join(repeated, staying["doc_id"].eqNullSafe(repeated["_id"]) & (staying[own] == repeated["_hash"]), "left_semi")
+    first = several.groupBy("doc_id", own).agg(longest.alias("_row")).select("_row.*")
+    return once.drop(own).unionByName(first)
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
