@@ -395,3 +395,16 @@ def test_language_stage_keeps_texts_with_letters(spark, odd, odd_rows, none, lan
     assert kept.columns == docs.columns
     assert {r["_row"] for r in kept.collect()} == {r[-1] for r in odd_rows if any(map(str.isalpha, r[1] or ""))}
     assert corpus_pipeline.with_language(spark, none, SMALL).count() == 0
+
+
+def test_exact_copies_stage_keeps_columns_named_like_its_own(spark):
+    import corpus_pipeline
+
+    rows = [(1, "same text", "d1", 1), (1, "same text", "d1", 1), (2, "same  text", "d2", 2), (3, "other", None, 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _digest string, __digest long")
+    kept = corpus_pipeline.without_copies(spark, docs, SMALL)
+    assert kept.columns == docs.columns
+    assert sorted(map(tuple, kept.collect())) == [(2, "same  text", "d2", 2), (3, "other", None, 3)]
+    repeated = corpus_pipeline.without_copies(spark, docs.filter("doc_id <> 2"), SMALL)
+    assert repeated.columns == docs.columns
+    assert sorted(map(tuple, repeated.collect())) == [(1, "same text", "d1", 1), (3, "other", None, 3)]
