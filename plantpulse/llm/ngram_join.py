@@ -92,7 +92,7 @@ def frequency_table(docs: DataFrame) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, frequencies: np.ndarray) -> DataFrame:
-    """doc_id, n_shingles, two hashes of the whole set, the hash of the prefix, and the prefix in order."""
+    """doc_id, text_key, n_shingles, two hashes of the whole set, the hash of the prefix, and the prefix in order."""
     shared = docs.sparkSession.sparkContext.broadcast(frequencies)
 
     def make():
@@ -112,7 +112,7 @@ def signatures(docs: DataFrame, frequencies: np.ndarray) -> DataFrame:
 
         return compute
 
-    return with_computed(docs, "n_shingles long, sig1 long, sig2 long, prefix_sig long, prefix array<long>", make, keep=["doc_id"])
+    return with_computed(docs, "n_shingles long, sig1 long, sig2 long, prefix_sig long, prefix array<long>", make, keep=["doc_id", "text_key"])
 
 
 def _shared_counts(sets: list[np.ndarray]) -> np.ndarray:
@@ -231,20 +231,21 @@ def _links(texts: DataFrame, lists: DataFrame, groups: DataFrame, classes: DataF
     names = ", ".join(f"{c} long" for c in (*key, "cell", "g"))
     possible = stored(_placed(members).groupBy(*key).applyInArrow(_possible, f"{names}, part int, bundles array<bigint>"))
 
-    expanded = stored(possible.join(classes.select("g", "part", "cid", "sig1", "sig2", "class_size"), ["g", "part"]).drop("g", "part"))
+    expanded = stored(possible.join(classes.select("g", "part", "cid", "text_key", "sig1", "sig2", "class_size"), ["g", "part"]).drop("g", "part"))
     likely = with_membership(texts, F.col("doc_id"), member_bits(expanded, "cid"), "_likely").filter("_likely")
 
     def make():
-        def compute(part):
-            sets = [shingle_set(t) for t in part.column("text").to_pylist()]
-            return {"sig1": [int(_mixed(x).sum(dtype=np.uint64).astype(np.int64)) for x in sets],
-                    "sig2": [int(_mixed(x ^ _WEIGHTS[0]).sum(dtype=np.uint64).astype(np.int64)) for x in sets],
-                    "shingles": [x.tobytes() for x in sets]}
-
-        return compute
-
-    sets = stored(with_computed(likely.select(F.col("doc_id").alias("cid"), "text"), "sig1 long, sig2 long, shingles binary", make, keep=["cid"]))
-    verified = expanded.join(sets, ["cid", "sig1", "sig2"]).groupBy(*key).applyInArrow(_verified, "cid long, sig1 long, sig2 long, weight long, to long")
+        return lambda part: {"shingles": [shingle_set(t).tobytes() for t in part.column("text").to_pylist()]}
+
+    # the text of a class moves once, and its set is made where it meets the list of the cells that need it
+    own = ["cid", "text_key"]
+    once = likely.select(F.col("doc_id").alias("cid"), "text_key", "text").groupBy(*own).agg(F.first("text").alias("text"))
+    held = expanded.groupBy(*own).agg(*[F.first(c).alias(c) for c in ("sig1", "sig2", "class_size", "bundles")],
+                                      F.collect_list(F.struct(*key, "cell")).alias("places"))
+    of_class = ["cid", "sig1", "sig2", "class_size", "bundles"]
+    sets = with_computed(held.join(once, own), "shingles binary", make, keep=[*of_class, "places"])
+    verified = sets.select(*of_class, "shingles", F.inline("places")).groupBy(*key).applyInArrow(
+        _verified, "cid long, sig1 long, sig2 long, weight long, to long")
     return stored(verified)
 
 
@@ -254,11 +255,12 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     ``n_links`` is the number of other documents that the document is linked to, those of its class among them. Ids are whole numbers.
     """
     texts = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
+    texts = texts.withColumn("text_key", F.xxhash64("text"))
     signed = stored(signatures(texts, frequency_table(texts)))
     full = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL")
 
     key = ["n_shingles", "prefix_sig", "sig1", "sig2"]
-    classes = stored(full.groupBy(*key).agg(F.min("doc_id").alias("cid"), F.count("*").alias("class_size"))
+    classes = stored(full.groupBy(*key).agg(F.min("doc_id").alias("cid"), F.min_by("text_key", "doc_id").alias("text_key"), F.count("*").alias("class_size"))
                      .withColumn("g", F.xxhash64("n_shingles", "prefix_sig")))
     groups = stored(classes.groupBy("g", F.col("n_shingles").alias("n"), "prefix_sig").agg(F.min("cid").alias("gid"), F.count("*").alias("classes")))
 
@@ -268,7 +270,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     posts = standing.select(F.explode("prefix").alias("shingle"), F.col("doc_id").alias("gid"), F.col("n_shingles").alias("n"), "prefix_sig")
     shared = stored(posts.groupBy("shingle").agg(F.count("*").alias("groups")).filter("groups > 1"))
     likely = with_membership(posts, F.col("shingle"), member_bits(shared, "shingle"), "_likely").filter("_likely").drop("_likely")
-    lists = stored(likely.join(shared.select("shingle"), "shingle").join(groups, ["gid", "n", "prefix_sig"]).select("shingle", "g").distinct())
+    lists = stored(likely.join(shared.select("shingle"), "shingle").join(groups, ["gid", "n", "prefix_sig"]).select("shingle", "g"))
 
     split = classes.join(groups.select("g", "classes"), "g").withColumn("part", F.pmod(F.xxhash64("sig1", "sig2"), _parts(F.col("classes"))).cast("int"))
     links = _links(texts, lists, groups, split)
