@@ -19,6 +19,7 @@ from ..functions import regression as X
 from ..functions.columns import is_normal_operation, is_transition, long_rows
 from ..session import literal_table, small_side
 
+from .cleaning import time_issue_counts
 from .timeslice import KEYS, number_rows, slice_by_time
 
 # --- fixed values ---
@@ -43,6 +44,8 @@ MIN_MODEL_POINTS = 20
 LEAST_SHARE = 0.005
 FLAG_MESSAGES = {
     "empty_dataset": ("critical", "Nao ha dados disponiveis para a analise de Qn."),
+    "missing_timestamp": ("critical", "A coluna timestamp e obrigatoria para a analise temporal."),
+    "target_unavailable": ("critical", "A coluna qn_m3h nao esta disponivel. A analise de influencia da Qn nao pode ser ajustada."),
     "invalid_timestamp": ("warning", "Algumas linhas foram descartadas por timestamp invalido."),
     "duplicate_timestamp": ("info", "Timestamps duplicados foram consolidados para a analise."),
     "transition_rows_excluded": ("info", "Pontos em partida, parada ou desaceleracao foram excluidos do modelo principal."),
@@ -75,6 +78,18 @@ CLASS_TEXTS = {
     "weak": ("baixa_confianca", "Os modelos nao encontraram relacao estatistica forte o bastante para classificar a origem da perda.",
              "Acompanhar por uma janela maior e confirmar se a Qn varia de forma coerente com processo e controle."),
 }
+#: a pair stands for the label of the model's first variable, or for the word beside it where there is none
+SUMMARY_PARTS = {
+    "dominancia_processo_rede": ["A vazao Qn esta sendo principalmente limitada por ", ("direct", "processo/rede"),
+                                 ". As variaveis internas aparecem como efeito secundario nesta janela."],
+    "dominancia_controle": ["A Qn esta mais sensivel ao controle, especialmente ", ("direct", "atuadores"),
+                            ". Verifique admissao, bypass, alivio e a logica de carga."],
+    "dominancia_degradacao_interna": ["A perda de Qn nao e explicada apenas pelo processo; ", ("loss", "variaveis internas"),
+                                      " tem influencia relevante no desvio de performance."],
+    "dominancia_mista": ["A perda de Qn tem origem mista: ", ("direct", "processo/controle"), " explica parte do comportamento e ",
+                         ("loss", "condicao interna"), " explica parte da perda residual."],
+}
+SUMMARY_OTHERWISE = "A analise ainda nao tem confianca suficiente; valide qualidade dos dados e amplie a janela operacional."
 WEAK_DIRECT = "as variaveis de processo/controle explicaram pouco a qn nesta janela"
 WEAK_LOSS = "o desvio de performance ainda nao teve relacao forte com variaveis internas"
 CURRENT_NOTE = "pv_corr_motor_a nao foi usada como explicativa direta da Qn porque a Qn e derivada da corrente."
@@ -110,8 +125,37 @@ def target_summary(rows: DataFrame, target: str = TARGET) -> DataFrame:
                         F.round(change / F.nullif(F.col("start"), F.lit(0.0)) * 100.0, 3).alias("variation_pct"))
 
 
-def quality_flags(readings: DataFrame, columns: Sequence[str] = (TARGET, *DIRECT, *DEGRADATION)) -> DataFrame:
-    """Warnings about the analysis data, one aggregate pass over the analysis rows and one over the window."""
+def _flag(code: str, when: Column, signal: str | None = None, detail: Column | None = None) -> Column:
+    severity, message = FLAG_MESSAGES[code]
+    return F.when(F.coalesce(when, F.lit(False)), F.struct(
+        F.lit(code).alias("code"), F.lit(severity).alias("severity"), F.lit(message).alias("message"),
+        F.lit(signal).cast("string").alias("signal"), (F.lit(None) if detail is None else detail).cast("double").alias("detail")))
+
+
+def _listed(rows: DataFrame, flags: list[Column]) -> DataFrame:
+    """One row per flag that is set, numbered in their order."""
+    return rows.select("asset_id", F.posexplode(F.array_compact(F.array(*flags))).alias("ordinal", "_f")).select("asset_id", "ordinal", "_f.*")
+
+
+def quality_flags(readings: DataFrame, columns: Sequence[str] = (TARGET, *DIRECT, *DEGRADATION), raw_times: DataFrame | None = None,
+                  assets: DataFrame | None = None) -> DataFrame:
+    """Warnings about the analysis data, one aggregate pass over the analysis rows and one over the window.
+
+    ``raw_times`` is (asset_id, us) before rows were dropped, ``us`` NULL where unreadable; ``assets`` names the assets that should have
+    data, those without a row are reported as empty. Readings without a time column, or without the target, are reported as such.
+    """
+    always = F.lit(True)
+    if assets is not None:
+        known = readings.select("asset_id").distinct()
+        known = known if raw_times is None else known.unionByName(raw_times.select("asset_id").distinct())
+        silent = assets.select("asset_id").distinct().join(known, "asset_id", "left_anti")
+        return quality_flags(readings, columns, raw_times).unionByName(_listed(silent, [_flag("empty_dataset", always)]))
+    if "us" not in readings.columns:
+        return _listed(readings.select("asset_id").distinct(), [_flag("missing_timestamp", always)])
+    has_target = TARGET in readings.columns
+    if not has_target:
+        columns = [c for c in columns if c != TARGET]
+        readings = readings.withColumn(TARGET, F.lit(None).cast("double"))
     rows = analysis_rows(readings)
     present = [c for c in columns if c in readings.columns]
     measured = [c for c in present if c != TARGET]
@@ -130,31 +174,29 @@ def quality_flags(readings: DataFrame, columns: Sequence[str] = (TARGET, *DIRECT
     stats = rows.groupBy("asset_id").agg(*[c.alias(n) for n, c in aggregates.items()])
     joined = counts.join(stats, "asset_id", "left")
 
-    def flag(code: str, when: Column, signal: str | None = None, detail: Column | None = None) -> Column:
-        severity, message = FLAG_MESSAGES[code]
-        return F.when(F.coalesce(when, F.lit(False)), F.struct(
-            F.lit(code).alias("code"), F.lit(severity).alias("severity"), F.lit(message).alias("message"),
-            F.lit(signal).cast("string").alias("signal"), (F.lit(None) if detail is None else detail).cast("double").alias("detail")))
-
+    time_flags = []
+    if raw_times is not None:
+        joined = joined.join(time_issue_counts(raw_times), "asset_id", "full").fillna(0, ["normal_rows", "valid_rows", "transition_rows"])
+        time_flags = [_flag(c, F.col(c) > 0, None, F.col(c)) for c in ("invalid_timestamp", "duplicate_timestamp")]
     missing = F.col("normal_rows") - F.col("valid_rows")
     flags = [
-        flag("transition_rows_excluded", F.col("transition_rows") > 0, None, F.col("transition_rows")),
-        flag("no_normal_operation_rows", F.col("normal_rows") == 0),
-        flag("target_nulls", missing > 0, TARGET, missing),
-        flag("low_valid_points", F.col("valid_rows") < MIN_ANALYSIS_POINTS, None, F.col("valid_rows")),
-        *[flag("missing_analysis_signal", F.col("_n") > 0, c) for c in columns if c not in readings.columns],
-        *[flag("high_null_ratio", F.col(f"_null_{c}") >= 0.2, c, F.round(f"_null_{c}", 3)) for c in present],
+        *time_flags,
+        _flag("transition_rows_excluded", F.col("transition_rows") > 0, None, F.col("transition_rows")),
+        _flag("no_normal_operation_rows", F.col("normal_rows") == 0),
+        _flag("target_nulls", missing > 0, TARGET, missing) if has_target else _flag("target_unavailable", always, TARGET),
+        _flag("low_valid_points", F.col("valid_rows") < MIN_ANALYSIS_POINTS, None, F.col("valid_rows")),
+        *[_flag("missing_analysis_signal", F.col("_n") > 0, c) for c in columns if c not in readings.columns],
+        *[_flag("high_null_ratio", F.col(f"_null_{c}") >= 0.2, c, F.round(f"_null_{c}", 3)) for c in present],
     ]
     if air in readings.columns:
-        flags.append(flag("persistent_zero_critical_signal", (F.col("_air_n") >= 10) & (F.col("_air_zero") >= 0.75), air, F.round("_air_zero", 3)))
+        flags.append(_flag("persistent_zero_critical_signal", (F.col("_air_n") >= 10) & (F.col("_air_zero") >= 0.75), air, F.round("_air_zero", 3)))
     if vacuum in readings.columns:
-        flags.append(flag("engineering_inconsistent_signal", (F.col("_vac_n") >= 5) & (F.col("_vac_out") >= 0.5), vacuum, F.round("_vac_out", 3)))
+        flags.append(_flag("engineering_inconsistent_signal", (F.col("_vac_n") >= 5) & (F.col("_vac_out") >= 0.5), vacuum, F.round("_vac_out", 3)))
     for c in measured:
         limit = F.greatest(F.abs(f"_last_{c}") * 0.001, F.lit(0.01))
         still = (F.col(f"_cnt_{c}") >= 45) & (F.col(f"_range_{c}") <= limit) & (F.col(f"_std_{c}") <= limit / 2.0)
-        flags.append(flag("possible_stuck_signal", still, c, F.round(f"_range_{c}", 6)))
-    return joined.select("asset_id", F.posexplode(F.array_compact(F.array(*flags))).alias("ordinal", "_f")).select(
-        "asset_id", "ordinal", "_f.*")
+        flags.append(_flag("possible_stuck_signal", still, c, F.round(f"_range_{c}", 6)))
+    return _listed(joined, flags)
 
 
 def sufficient_statistics(rows: DataFrame, columns: Sequence[str], keys: Sequence[str] = KEYS) -> DataFrame:
@@ -495,26 +537,15 @@ def low_confidence_reasons(models: DataFrame, flags: DataFrame) -> DataFrame:
 
 
 def summary_sentence(classified: DataFrame, items: DataFrame) -> DataFrame:
+    """One sentence per asset: its class, and the first variables of the models that matter for it."""
     top = items.where(F.col("place") == 1).groupBy("asset_id").agg(
         F.max(F.when(F.col("model") == "direct", F.col("label"))).alias("_d"),
         F.max(F.when(F.col("model") == "loss", F.col("label"))).alias("_i"))
-    named = lambda column, other: F.coalesce(F.col(column), F.lit(other))
-    kind = F.col("classification")
-    sentence = (
-        F.when(kind == "dominancia_processo_rede", F.concat(
-            F.lit("A vazao Qn esta sendo principalmente limitada por "), named("_d", "processo/rede"),
-            F.lit(". As variaveis internas aparecem como efeito secundario nesta janela.")))
-        .when(kind == "dominancia_controle", F.concat(
-            F.lit("A Qn esta mais sensivel ao controle, especialmente "), named("_d", "atuadores"),
-            F.lit(". Verifique admissao, bypass, alivio e a logica de carga.")))
-        .when(kind == "dominancia_degradacao_interna", F.concat(
-            F.lit("A perda de Qn nao e explicada apenas pelo processo; "), named("_i", "variaveis internas"),
-            F.lit(" tem influencia relevante no desvio de performance.")))
-        .when(kind == "dominancia_mista", F.concat(
-            F.lit("A perda de Qn tem origem mista: "), named("_d", "processo/controle"),
-            F.lit(" explica parte do comportamento e "), named("_i", "condicao interna"), F.lit(" explica parte da perda residual.")))
-        .otherwise("A analise ainda nao tem confianca suficiente; valide qualidade dos dados e amplie a janela operacional.")
-    )
+    def told(part: str | tuple[str, str]) -> Column:
+        return F.lit(part) if isinstance(part, str) else F.coalesce(F.col("_d" if part[0] == "direct" else "_i"), F.lit(part[1]))
+
+    cases = [F.when(F.col("classification") == kind, F.concat(*map(told, parts))) for kind, parts in SUMMARY_PARTS.items()]
+    sentence = F.coalesce(*cases, F.lit(SUMMARY_OTHERWISE))
     return classified.join(top, "asset_id", "left").select("asset_id", sentence.alias("summary"))
 
 
@@ -528,8 +559,11 @@ def operational_context(rows: DataFrame) -> DataFrame:
         *[F.round(f"_l.{c}", 3).alias(c) for c in present], F.lit(CURRENT_NOTE).alias("observacao_corrente"))).alias("context"))
 
 
-def analyse(readings: DataFrame, store=None) -> dict[str, DataFrame]:
+def analyse(readings: DataFrame, store=None, raw_times: DataFrame | None = None) -> dict[str, DataFrame]:
     """The whole analysis per asset. ``store`` may materialise the model table, which several results read."""
+    flags = quality_flags(readings, raw_times=raw_times)
+    if TARGET not in readings.columns:
+        readings = readings.withColumn(TARGET, F.lit(None).cast("double"))
     rows = analysis_rows(readings)
     columns = [c for c in (TARGET, *DIRECT, *DEGRADATION) if c in readings.columns]
     models = fit_models(sufficient_statistics(rows, columns), columns)
@@ -538,7 +572,7 @@ def analyse(readings: DataFrame, store=None) -> dict[str, DataFrame]:
     loss = [c for c in DEGRADATION if c in columns]
     latest = score_rows(rows.groupBy("asset_id").agg(F.max_by(F.struct("us", TARGET, *direct), "us").alias("_l")).select("asset_id", "_l.*"),
                         models, direct)
-    items, flags, counts = influence_items(models), quality_flags(readings), window_counts(readings)
+    items, counts = influence_items(models), window_counts(readings)
     strength = degradation_strength(degradation_context(rows, loss))
     evidence = classification_evidence(counts, models, items, flags, strength, latest)
     origin = classify_origin(evidence)

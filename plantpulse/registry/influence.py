@@ -9,7 +9,8 @@ from ..functions.columns import epoch_micros
 from ..operators import influence as H
 from ..operators.serving import thinned
 from . import dataset as D
-from .common import query, r, sr
+from .common import ORACLES, query, r, sr
+from .ingest import _TIME_SQL, text_times_us
 from .tables import _stage
 
 _COLUMNS = [H.TARGET, *H.DIRECT, *H.DEGRADATION]
@@ -62,6 +63,27 @@ def quality_flags(spark, sf):
     return H.quality_flags(_with_faults(spark, sf)).select("asset_id", "code", F.coalesce("signal", F.lit("")).alias("signal"), "severity", r("detail", 6))
 
 
+@query("h2_flags_of_times_and_target", f"""
+WITH {D.READINGS_SQL}, times AS (SELECT asset_id, {_TIME_SQL} AS us FROM raw),
+c AS (SELECT asset_id, count(*) FILTER (WHERE us IS NULL) AS bad, count(us) - count(DISTINCT us) AS dup FROM times GROUP BY 1)
+SELECT 'all' AS given, asset_id, 'invalid_timestamp' AS code, 'warning' AS severity, '' AS signal, bad + 0e0 AS detail FROM c WHERE bad > 0
+UNION ALL SELECT 'all', asset_id, 'duplicate_timestamp', 'info', '', dup + 0e0 FROM c WHERE dup > 0
+UNION ALL SELECT DISTINCT 'all', asset_id + 4, 'empty_dataset', 'critical', '', -1e0 FROM raw
+UNION ALL SELECT DISTINCT 'no target', asset_id, 'target_unavailable', 'critical', 'qn_m3h', -1e0 FROM raw
+UNION ALL SELECT DISTINCT 'no times', asset_id, 'missing_timestamp', 'critical', '', -1e0 FROM raw""")
+def flags_of_times_and_target(spark, sf):
+    """Unreadable and repeated times, assets without a row, tables without the target or without times."""
+    rows = D.readings(spark, sf)
+    expected = rows.select(F.explode(F.array(F.col("asset_id"), F.col("asset_id") + 4)).alias("asset_id"))
+    found = {"all": H.quality_flags(rows, raw_times=text_times_us(spark, sf), assets=expected), "no target": H.quality_flags(rows.drop(H.TARGET)),
+             "no times": H.quality_flags(rows.drop("us"))}
+    codes = ["invalid_timestamp", "duplicate_timestamp", "empty_dataset", "target_unavailable", "missing_timestamp"]
+    parts = [flags.where(F.col("code").isin(codes)).select(
+        F.lit(given).alias("given"), "asset_id", "code", "severity", F.coalesce("signal", F.lit("")).alias("signal"), F.coalesce("detail", F.lit(-1.0)).alias("detail"))
+        for given, flags in found.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 # --- three-feature model on lineitem, with gaps in one feature ---
 _LI = ["l_extendedprice", "l_quantity", "l_discount", "l_tax"]
 
@@ -295,6 +317,26 @@ def decision_list(spark, sf):
     return H.classify_origin(_evidence(spark, sf)).select("asset_id", "case", "classification", r("confidence", 3), F.array_join("variables", "|").alias("variables"))
 
 
+def _sentence_sql(parts: list) -> str:
+    return " || ".join(f"'{p}'" if isinstance(p, str) else f"coalesce({'d' if p[0] == 'direct' else 'i'}, '{p[1]}')" for p in parts)
+
+
+@query("h20_summary_sentence", f"""
+WITH classified AS ({ORACLES["h13_h14_decision_list"]}),
+top AS (SELECT *, CASE WHEN asset_id % 4 > 0 THEN 'direta ' || (asset_id % 5) END AS d, CASE WHEN asset_id % 3 > 0 THEN 'interna ' || (asset_id % 7) END AS i FROM classified)
+SELECT asset_id, CASE classification {' '.join(f"WHEN '{kind}' THEN {_sentence_sql(parts)}" for kind, parts in H.SUMMARY_PARTS.items())}
+  ELSE '{H.SUMMARY_OTHERWISE}' END AS summary FROM top""")
+def summary_sentence(spark, sf):
+    """Sentences over the evidence of every event, with a first variable in either model, in one of them or in none."""
+    classified = H.classify_origin(_evidence(spark, sf))
+
+    def first(model: str, every: int, word: str, kinds: int):
+        label = F.concat(F.lit(word), F.pmod("asset_id", F.lit(kinds)).cast("string"))
+        return classified.where(F.pmod("asset_id", F.lit(every)) > 0).select("asset_id", F.lit(model).alias("model"), F.lit(1).alias("place"), label.alias("label"))
+
+    return H.summary_sentence(classified, first("direct", 4, "direta ", 5).unionByName(first("loss", 3, "interna ", 7)))
+
+
 @query("h16_target_summary", f"""
 WITH {_ROWS_SQL}, s AS (SELECT asset_id, avg(qn_m3h) AS m, min(qn_m3h) AS lo, max(qn_m3h) AS hi, arg_min(qn_m3h, us) AS f, arg_max(qn_m3h, us) AS l FROM arows GROUP BY 1)
 SELECT asset_id, {sr('m', 'mean', 3)}, {sr('lo', 'minimum', 3)}, {sr('hi', 'maximum', 3)}, {sr('f', 'start', 3)}, {sr('l', '"end"', 3)}, {sr('l - f', 'variation', 3)},

@@ -334,9 +334,13 @@ issues AS (
   UNION ALL SELECT asset_id, 'plausibility', signal, us, '' FROM outside)"""
 
 
+def text_times_us(spark, sf):
+    """(asset_id, us) of every raw row, ``us`` NULL where the text is no time."""
+    return _text_times(spark, sf).select("asset_id", epoch_micros(cleaning.parse_timestamp(F.col("timestamp"))).alias("us"))
+
+
 def batch_issues(spark, sf):
-    times = _text_times(spark, sf).withColumn("us", epoch_micros(cleaning.parse_timestamp(F.col("timestamp"))))
-    return quality.collect_issues(times.select("asset_id", "us"), D.readings(spark, sf), _ISSUE_COLUMNS)
+    return quality.collect_issues(text_times_us(spark, sf), D.readings(spark, sf), _ISSUE_COLUMNS)
 
 
 def _issue_rows(issues):
