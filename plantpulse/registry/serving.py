@@ -8,6 +8,7 @@ from ..catalog import signals as S
 from ..config import DAY_US, HOUR_US
 from ..operators import asof, serving
 from ..operators.features import rolling_features
+from ..session import small_side
 from ..sources.rules import builtin_rules
 from . import dataset as D
 from .alerts import EPISODES, FIXED_SQL
@@ -234,7 +235,7 @@ SELECT p.asset_id, p.us, (SELECT count(*) FROM marks m WHERE m.asset_id = p.asse
 def within_tolerance(spark, sf):
     marks, points = _marks_and_points(spark, sf)
     spans = points.groupBy("asset_id").agg(F.greatest(F.expr("(max(us) - min(us)) div 80"), F.lit(60_000_000)).alias("tol"))
-    probe = points.join(F.broadcast(spans), "asset_id")
+    probe = points.join(small_side(spans), "asset_id")
     return asof.count_within(probe, marks, F.col("tol")).select("asset_id", "us", "nearby")
 
 
