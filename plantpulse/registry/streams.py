@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..catalog import signals as S
 from ..config import DAY_US, HOUR_US
 from ..operators.alerts import fixed_rule_hits, trend_feature_plan
-from ..session import shared_folder
+from ..session import shared_folder, stored
 from ..sources.alert_table import AlertTable
 from ..sources.rules import builtin_rules
 from ..streaming import carried, flows
@@ -83,8 +83,18 @@ FROM new LEFT JOIN old USING (batch)""")
 def late_row_counts(spark, sf):
     """The counts of each micro-batch, and the times of the rows that the side table keeps."""
     history, _ = _history_with_late_rows(spark, sf)
-    kept = history.late_rows().groupBy("batch").agg(F.sum("us").alias("late_times"))
-    return history.counts().join(kept, "batch", "left").withColumn("late_times", F.coalesce("late_times", F.lit(0).cast("bigint")))
+    kept = _summed_times(history.late_rows())
+    return history.counts().join(kept, "batch", "left").withColumn("late_times", F.coalesce("late_times", F.lit(0).cast(kept.schema["late_times"].dataType)))
+
+
+def _summed_times(late):
+    """Sum of the event times per micro-batch, exact at any number of rows.
+
+    Some thousands of times in microseconds pass 64 bits, so the sum is a decimal; the column is a bigint where every sum fits one.
+    """
+    kept = stored(late.groupBy("batch").agg(F.sum(F.col("us").cast("decimal(38,0)")).alias("late_times")))
+    widest = kept.agg(F.max(F.abs("late_times"))).first()[0]
+    return kept if widest is not None and widest >= 1 << 63 else kept.withColumn("late_times", F.col("late_times").cast("bigint"))
 
 
 @query("k3_duplicates_within_watermark", f"WITH {D.READINGS_SQL} SELECT asset_id, us, eid FROM readings")
