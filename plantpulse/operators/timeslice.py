@@ -12,6 +12,7 @@ blocks of equal row count need no such care (``with_row_halo``).
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -27,6 +28,8 @@ SLICE = "slice_us"
 MAX_SLICE_ROWS = 2_000_000
 #: hot cells that are handed on as a constant; a longer list becomes a table
 LISTED_ROWS = 10_000
+#: rows a task should sort at most where cells or blocks are small enough; wide rows ask for fewer
+TASK_ROWS = 50_000
 
 
 def cell_start(us: Column, width: Column | int) -> Column:
@@ -75,6 +78,34 @@ def slice_by_time(
         )
 
 
+def tasks_for(df: DataFrame, rows: int, task_rows: int = TASK_ROWS) -> int | None:
+    """Tasks that keep to ``task_rows``; None where the session's own parallelism gives enough of them."""
+    tasks = math.ceil(rows / task_rows)
+    return tasks if tasks > df.sparkSession.sparkContext.defaultParallelism else None
+
+
+def dealt(df: DataFrame, rows: int, *by: str) -> DataFrame:
+    """Rows in as many tasks as ``rows`` of them need: adaptive execution alone would merge them into a task per core."""
+    tasks = tasks_for(df, rows)
+    return df.repartition(tasks, *by) if tasks else df
+
+
+def cell_width(df: DataFrame, halo_us: int, width_us: int, task_rows: int, keys: Sequence[str] = KEYS) -> tuple[int, int, int]:
+    """The width of uniform cells, at most rows of one of them with its halo, and rows of all of them with their halos.
+
+    Cells are halved while the fullest one may exceed ``task_rows``, down to the width of the halo.
+    """
+    counted = df.groupBy(*keys, cell_start(F.col("us"), halo_us).alias(SLICE)).count()
+    fullest, total = counted.agg(F.coalesce(F.max("count"), F.lit(0)), F.coalesce(F.sum("count"), F.lit(0))).first()
+
+    def most(width: int) -> int:
+        return fullest * (math.ceil(width / halo_us) + 2)
+
+    while most(width_us) > task_rows and width_us // 2 >= halo_us:
+        width_us //= 2
+    return width_us, most(width_us), math.ceil(total * (1 + halo_us / width_us))
+
+
 def crowded_cells(df: DataFrame, halo_us: int, width_us: int, max_rows: int, keys: Sequence[str] = KEYS) -> DataFrame | None:
     """keys and ``slice_us`` of the uniform cells that hold more than ``max_rows`` rows with their halo; None if there are none."""
     haloed = with_time_halo(df.select(*keys, "us"), halo_us, width_us)
