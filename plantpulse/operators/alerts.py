@@ -17,7 +17,7 @@ from ..config import StuckParameters, ZeroParameters
 from ..functions.columns import alert_identity, long_rows, mode_allowed, noise_floor, threshold_text, violates
 from ..session import broadcast_if_small, literal_table
 from .quality import stuck_threshold
-from .timeslice import KEYS, with_row_halo
+from .timeslice import KEYS, dealt, with_row_halo
 
 PLACE = ["asset_id", "us", "row_idx", "mode_key"]
 HIT = [*PLACE, "alert_id", "rule_id", "layer", "subsystem", "signal", "severity", "title", "message", "current_value",
@@ -155,6 +155,12 @@ def _subsystem_lookup(df: DataFrame) -> DataFrame:
 infer_subsystem = _subsystem_lookup
 
 
+def _blocks(numbered: DataFrame, signals: Sequence[str], reach: int) -> DataFrame:
+    """Blocks of readings with the history before them, in as many tasks as their rows need."""
+    haloed = with_row_halo(numbered.select(*PLACE, *signals), reach, HISTORY_BLOCK).repartition(*KEYS, "block")
+    return dealt(haloed, numbered.count(), *KEYS, "block")
+
+
 def rolling_stuck(numbered: DataFrame, signals: Sequence[str] = S.STUCK_CANDIDATES,
                   p: StuckParameters = StuckParameters()) -> DataFrame:
     """Stuck-sensor evidence at every reading, over the last ``p.points`` values among the last ``p.history_rows`` readings.
@@ -165,8 +171,7 @@ def rolling_stuck(numbered: DataFrame, signals: Sequence[str] = S.STUCK_CANDIDAT
     A reading without a value repeats the verdict of the last value, as long as its points are still in reach.
     """
     reach = p.history_rows - 1
-    haloed = with_row_halo(numbered.select(*PLACE, *signals), reach, HISTORY_BLOCK).repartition(*KEYS, "block")
-    long = haloed.select(*PLACE, "block", "home", long_rows(list(signals)))
+    long = _blocks(numbered, signals, reach).select(*PLACE, "block", "home", long_rows(list(signals)))
     long = long.withColumn("_has", F.when(F.col("value").isNotNull(), 1).otherwise(0))
     values = Window.partitionBy(*KEYS, "block", "signal", "_has").orderBy("row_idx")
     last_points = values.rowsBetween(-(p.points - 1), 0)
@@ -213,8 +218,7 @@ def stuck_hits(numbered: DataFrame, signals: Sequence[str] = S.STUCK_CANDIDATES,
 def rolling_zeros(numbered: DataFrame, signals: Sequence[str] = S.ZERO_ABNORMAL, p: ZeroParameters = ZeroParameters()) -> DataFrame:
     """Readings whose last values, among the last ``p.history_rows`` readings, are all zero."""
     reach = p.history_rows - 1
-    haloed = with_row_halo(numbered.select(*PLACE, *signals), reach, HISTORY_BLOCK).repartition(*KEYS, "block")
-    long = haloed.select(*PLACE, "block", "home", long_rows(list(signals)))
+    long = _blocks(numbered, signals, reach).select(*PLACE, "block", "home", long_rows(list(signals)))
     long = long.withColumn("_has", F.when(F.col("value").isNotNull(), 1).otherwise(0))
     values = Window.partitionBy(*KEYS, "block", "signal", "_has").orderBy("row_idx").rowsBetween(-(p.points - 1), 0)
     recent = F.when(F.col("_has") == 1, F.collect_list(F.struct("row_idx", "value")).over(values))
