@@ -66,18 +66,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def raw_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Measured signals and states, before derivation."""
-    events = table(spark, sf_dir, "events").withColumn("asset_id", F.pmod("user_id", F.lit(4)).cast("bigint"))
+def raw_readings(spark: SparkSession, sf_dir: str, files: int | None = None) -> DataFrame:
+    """Measured signals and states, before derivation; with ``files``, events are dealt to that many tasks while they are narrow."""
+    events = table(spark, sf_dir, "events")
+    events = events.repartition(files) if files else events
+    events = events.withColumn("asset_id", F.pmod("user_id", F.lit(4)).cast("bigint"))
     base = events.withColumn("us", epoch_micros("ts")).withColumns({k: F.expr(v) for k, v in _BASE_SPARK.items() if k != "eid"})
     base = base.withColumn("eid", F.col("event_id"))
     columns = {k: F.expr(v) for k, v in (STATES | MEASURED).items()}
     return base.select("asset_id", "eid", "ts", "us", "day", *[c.alias(k) for k, c in columns.items()])
 
 
-def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+def readings(spark: SparkSession, sf_dir: str, files: int | None = None) -> DataFrame:
     """Readings with derived quantities and operating mode."""
-    return add_mode(add_derived(raw_readings(spark, sf_dir)))
+    return add_mode(add_derived(raw_readings(spark, sf_dir, files)))
 
 
 def numbered(spark: SparkSession, sf_dir: str) -> DataFrame:

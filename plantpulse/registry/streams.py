@@ -26,9 +26,12 @@ def _landed(spark, sf, columns, extra=None):
     rows = D.readings(spark, sf).select(*columns)
     first, last = rows.agg(F.min("day"), F.max("day")).first()
     for start in range(first, last + 1, _SPLIT):
-        part = rows.where(F.col("day").between(start, start + _SPLIT - 1))
-        part = part if extra is None else extra(part, start)
-        part.repartition(_FILES).write.mode("append").parquet(folder)
+        landing = F.col("day").between(start, start + _SPLIT - 1)
+        if extra is None:
+            part = D.readings(spark, sf, files=_FILES).where(landing).select(*columns)
+        else:
+            part = extra(rows.where(landing), start).repartition(_FILES)
+        part.write.mode("append").parquet(folder)
     return folder, rows.schema
 
 

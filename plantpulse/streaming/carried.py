@@ -40,8 +40,8 @@ class NumberedStream:
         start = first.join(carry, "asset_id", "left").select(
             "asset_id", F.coalesce("_rows", F.lit(0).cast("bigint")).alias("rows_before"),
             (F.coalesce("_segment", F.lit(0).cast("bigint")) - F.when(F.col("_first") == F.col("_mode"), 1).otherwise(0)).alias("_segments"))
-        numbered = stored(local.join(small_side(start), "asset_id")
-                          .withColumns({"row_idx": F.col("row_idx") + F.col("rows_before"), "segment_id": F.col("segment_id") + F.col("_segments")}).drop("_segments"))
+        numbered = local.join(small_side(start), "asset_id").withColumns(
+            {"row_idx": F.col("row_idx") + F.col("rows_before"), "segment_id": F.col("segment_id") + F.col("_segments")}).drop("_segments")
         if batch not in self.series.versions():
             ends = numbered.groupBy("asset_id").agg(F.max("us").alias("us"), F.max("row_idx").alias("rows"), F.max_by("mode_key", "us").alias("mode_key"),
                                                     F.max("segment_id").alias("segment_id"))
@@ -72,15 +72,15 @@ class SmoothedStream:
         self.averages = BucketTable(spark, f"{self.path}/averages", f"asset_id bigint, segment_id bigint, rows bigint, last struct<{entry}>")
 
     def work(self, batch: DataFrame, number: int) -> None:
-        """For ``foreachBatch``: writes asset_id, us, segment_id and the averages of the micro-batch."""
+        """For ``foreachBatch``: writes the averages of the micro-batch, and of each signal whether the row has a value."""
         if number in self.averages.versions():
             return
         rows = self.numbers.add(batch.select("asset_id", "us", "mode_key", *[F.col(s).cast("double").alias(s) for s in self.signals]), number)
         readings = rows.select("asset_id", "row_idx", "segment_id", "us", *self.signals)
         carried = self._as_rows(self.averages.read(self.averages.newest(number)).join(small_side(rows.select("asset_id").distinct()), "asset_id", "left_semi"))
-        smooth = stored(smoothed_values(readings.unionByName(carried), self.signals, self.span, gap=False))
-        found = smooth.where("us IS NOT NULL").select("asset_id", "us", "segment_id", *[f"{s}__ewma" for s in self.signals])
-        found.write.mode("overwrite").parquet(f"{self.path}/out/batch={number}")
+        smooth = smoothed_values(readings.unionByName(carried), self.signals, self.span, gap=False)
+        smooth = smooth.withColumns({s: F.col(s).isNotNull() for s in self.signals})
+        smooth = stored(smooth, f"{self.path}/out/batch={number}")
         _replace(self.averages, self._ends(smooth), ["asset_id"], number, self.parts)
 
     def _as_rows(self, known: DataFrame) -> DataFrame:
@@ -94,7 +94,7 @@ class SmoothedStream:
 
     def _ends(self, smooth: DataFrame) -> DataFrame:
         """Of each asset the last segment, and in it the last value of each signal."""
-        seen = {s: F.when(F.col(s).isNotNull(), F.col("row_idx")) for s in self.signals}
+        seen = {s: F.when(F.col(s), F.col("row_idx")) for s in self.signals}
         per_segment = smooth.groupBy("asset_id", "segment_id").agg(
             F.max("row_idx").alias("rows"),
             F.struct(*[F.struct(F.max(at).alias("row"), F.max_by(f"{s}__ewma", at).alias("value")).alias(s) for s, at in seen.items()]).alias("last"))
@@ -102,7 +102,8 @@ class SmoothedStream:
         return newest.select("asset_id", "segment_id", "_end.rows", "_end.last")
 
     def results(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/out/batch=*")
+        found = self.spark.read.parquet(f"{self.path}/out/batch=*").where("us IS NOT NULL")
+        return found.select("asset_id", "us", "segment_id", *[f"{s}__ewma" for s in self.signals])
 
 
 class EpisodeStream:
