@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .timeslice import KEYS, SLICE, number_rows, slice_by_time
+from .timeslice import KEYS, SLICE, dealt, number_rows, slice_by_time
 
 
 def asof_join(
@@ -23,7 +23,7 @@ def asof_join(
     """Attach to each left row the latest right row at or before it (``backward``) or the first at or after (``forward``).
 
     Both sides are merged in time order inside time cells. A left row with no right row before it in its own cell
-    takes the carry: the last right row of the nearest earlier cell that has one.
+    takes the carry: the last right row of the nearest earlier cell that has one. Cells are dealt to as many tasks as their rows need.
     """
     forward = direction == "forward"
     kept = [c for c in left.columns if c not in (SLICE,)]
@@ -35,7 +35,8 @@ def asof_join(
     marks = right.select(*keys, F.col(us).alias("_us"), F.lit(0).alias("_side"),
                          *[F.col(c).alias(f"_tie_{i}") for i, c in enumerate(tie)],
                          found.alias("_found"), F.lit(None).cast(rows.schema["_left"].dataType).alias("_left"))
-    merged = slice_by_time(rows.unionByName(marks), keys, us="_us")
+    both = rows.unionByName(marks)
+    merged = dealt(slice_by_time(both, keys, us="_us"), both.count(), *keys, SLICE)
     time_order = F.col("_us").desc() if forward else F.col("_us").asc()
     ties = [F.col(f"_tie_{i}").desc() if forward else F.col(f"_tie_{i}").asc() for i in range(len(tie))]
     local = (

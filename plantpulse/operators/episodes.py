@@ -9,10 +9,10 @@ from ..catalog import rules as R
 from ..catalog.signals import SUBSYSTEMS
 from ..session import small_side, stored
 from .alerts import severity_weight
-from .timeslice import KEYS, MAX_SLICE_ROWS, SLICE, slice_by_time
+from .timeslice import KEYS, MAX_SLICE_ROWS, SLICE, dealt, slice_by_time
 
-#: readings per block while islands are found
-EPISODE_BLOCK = 1 << 20
+#: readings per block while islands are found; an alert that never stops has as many wide rows in a block, which one task sorts
+EPISODE_BLOCK = 1 << 16
 
 FROM_FIRST = ["rule_id", "layer", "subsystem", "signal", "severity", "title", "message"]
 FROM_LAST = ["current_value", "threshold", "mode_key", "metadata"]
@@ -24,12 +24,13 @@ def build_episodes(hits: DataFrame, block_rows: int = EPISODE_BLOCK) -> DataFram
 
     Islands are found per block of readings. Only islands that touch a block border can continue elsewhere: at most
     two per block and alert, and just those are stitched per (asset, alert). An alert that never stops and an alert
-    that flickers at every reading both stay spread over blocks. Repeated hits of one reading count once.
+    that flickers at every reading both stay spread over blocks, and blocks are dealt to as many tasks as their hits need, which
+    are counted first. Repeated hits of one reading count once.
     """
     block = F.floor((F.col("row_idx") - 1) / block_rows).cast("bigint")
     in_block = Window.partitionBy("asset_id", "alert_id", "_block").orderBy("row_idx")
     pieces = (
-        hits.withColumn("_block", block)
+        dealt(hits.withColumn("_block", block), hits.count(), "asset_id", "alert_id", "_block")
         .withColumn("_island", F.col("row_idx") - F.dense_rank().over(in_block))
         .groupBy("asset_id", "alert_id", "_block", "_island")
         .agg(

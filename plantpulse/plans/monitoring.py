@@ -48,7 +48,7 @@ def run_cycle(
     outlook = forecast_rules(spark)
     watched = forecast.rule_signals(outlook, readings) if forecasting else []
     featured = store(features.rolling_features(readings, feature_plan(watched), widths, whole_rows=True))
-    hits = alerts.all_hits(featured, rules, issues)
+    hits = store(alerts.all_hits(featured, rules, issues))
     history = store(episodes.mark_active(episodes.build_episodes(hits), featured))
     if forecasting:
         decided = forecast.forecast_decision(
