@@ -8,7 +8,8 @@ equal ids by text). The codebook is made of the counts of all ids.
 Decoding looks codes up in a table of all bit patterns of the longest code, from all checkpoints of several blocks at once.
 
 Defined results: a null text counts as empty; an empty text still has the end id. Repeated rows are written as often as they occur. An
-empty table gives an empty folder that reads back as no rows. Texts of any length are split over blocks.
+empty table gives an empty folder that reads back as no rows. A block ends with a document; only texts longer than a block are split over
+several.
 """
 
 from __future__ import annotations
@@ -145,9 +146,21 @@ def _raw_blocks(docs: DataFrame, tokenizer_path: str, drops_white_space: bool, e
             counts = found
             return as_row([part, block, done, size, names, places, docs_before, continued, is_open, None, ids.tobytes()])
 
+        def documents(batch: pa.RecordBatch) -> Iterator[tuple[int | None, np.ndarray]]:
+            doc_ids = iter(batch.column("doc_id").to_pylist())
+            for ids, sizes in coder.encode_column(batch.column("text")):
+                ends = np.cumsum(sizes)
+                ids = np.insert(ids, ends, np.uint32(end_id))
+                ends += np.arange(1, len(ends) + 1)
+                for start, end in zip([0, *ends[:-1].tolist()], ends.tolist()):
+                    yield next(doc_ids), ids[start:end]
+
         for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
-                ids = np.append(coder.encode(text.as_py()), np.uint32(end_id))
+            for doc_id, ids in documents(batch):
+                if size and size + len(ids) > block_ids:  # only a document longer than a block is split
+                    yield row(False)
+                    block, done, docs_before = block + 1, done + size, docs_before + len(names)
+                    held, names, places, size, continued = [], [], [], 0, False
                 start = 0
                 while start < len(ids):
                     piece = ids[start:start + block_ids - size]
@@ -241,9 +254,10 @@ def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
     before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     bases = F.broadcast(sizes.select("part", before.alias("base")))
 
-    pieces = blocks.mapInArrow(decode, "part int, block int, doc long, doc_id long, at long, n_tokens long, partial boolean, ids binary")
-    whole = pieces.filter("not partial").select("part", "doc_id", "at", "n_tokens", "ids")
-    split = pieces.filter("partial").groupBy("part", "doc").agg(
+    kind = "part int, block int, doc long, doc_id long, at long, n_tokens long, partial boolean, ids binary"
+    whole = blocks.mapInArrow(decode, kind).filter("not partial").select("part", "doc_id", "at", "n_tokens", "ids")
+    # blocks end with a document: only those of longer documents are decoded for the documents that have to be put together
+    split = blocks.filter("continued or open").mapInArrow(decode, kind).filter("partial").groupBy("part", "doc").agg(
         F.first("doc_id").alias("doc_id"), F.min("at").alias("at"), F.sum("n_tokens").alias("n_tokens"),
         F.array_sort(F.collect_list(F.struct("block", "ids"))).alias("found"))
     joined = F.unhex(F.array_join(F.transform("found", lambda piece: F.hex(piece["ids"])), ""))

@@ -5,15 +5,21 @@ at a single space or line feed between two characters that are not white space (
 that drops white space, at every space and line feed. A chunk of letters with punctuation behind it is looked up in two parts. New words of
 Latin-1 letters, which no normaliser or pre-tokenizer takes apart, go straight to the library's BPE model, many in one call; the model's
 own marks (word end, or the mapped leading space) tell their ids apart. Everything else, of any length, takes the library's whole way.
+
+Where white space is dropped, all chunks are of one kind, and many texts are cut at once as an Arrow column: a chunk is looked at once per
+slice of texts, however often it stands there, and the ids are put in place by arrays.
 """
 
 from __future__ import annotations
 
 import os
 import re
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from .bpe import byte_characters
 
@@ -21,6 +27,8 @@ from .bpe import byte_characters
 CACHE_ENTRIES = 600_000
 #: characters of a text that are cut into chunks at a time
 SLICE_CHARS = 1 << 20
+#: bytes of texts that are cut into columns of chunks at a time
+COLUMN_BYTES = 1 << 22
 #: chunks that the library encodes in one call
 CALL_CHUNKS = 4096
 
@@ -29,6 +37,8 @@ _OTHER_WHITE = re.compile(r"[^\S \n]")
 #: Latin-1 letters, which stay letters in any normaliser, and ASCII punctuation without the apostrophe of contractions
 _WORD = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
 _WORD_AND_TAIL = re.compile(rf"({_WORD.pattern})([!-&(-/:-@\[-^_`{{-~]+)")
+_LETTERS = "".join(c for c in map(chr, range(0x41, 0x100)) if _WORD.fullmatch(c))
+_TAIL = "".join(c for c in map(chr, range(0x21, 0x7F)) if _WORD_AND_TAIL.fullmatch(f"a{c}"))
 
 
 class WordModel:
@@ -51,18 +61,21 @@ class WordModel:
         self.border[[i for t, i in vocabulary.items() if marked(t)]] = True
         self.is_marked = bool(self.border.any())
 
-    def packed(self, words: list[str]) -> list[bytes]:
+    def encoded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words in a row, and where each word begins, with the end of the last."""
         text = "\n".join(words)
         mapped = (text.lower() if self.lower else text).encode().decode("latin-1").translate(self.characters | {10: f"\n{self.lead}"})
         encode = self.model.encode_batch_fast if self.is_marked else self.model.encode_batch
         found = encode([self.lead + mapped], add_special_tokens=False)[0]
         ids = np.array(found.ids, dtype="<u4")
         if not self.is_marked:
-            edges = (4 * np.searchsorted(np.array(found.word_ids), np.arange(len(words) + 1))).tolist()
-        else:
-            at = np.flatnonzero(self.border[ids])
-            edges = [*(4 * at).tolist(), 4 * len(ids)] if self.lead else [0, *(4 * at + 4).tolist()]
-        data = ids.tobytes()
+            return ids, np.searchsorted(np.array(found.word_ids), np.arange(len(words) + 1))
+        at = np.flatnonzero(self.border[ids])
+        return ids, np.append(at, len(ids)) if self.lead else np.append(0, at + 1)
+
+    def packed(self, words: list[str]) -> list[bytes]:
+        ids, edges = self.encoded(words)
+        data, edges = ids.tobytes(), (4 * edges).tolist()
         return [data[a:b] for a, b in zip(edges, edges[1:])]
 
 
@@ -101,6 +114,73 @@ class Chunks:
             known[c] = known[head] + (self.tails.known.get(tail) or self.tails.packed([tail]))
 
 
+def _gathered(ids: np.ndarray, start: np.ndarray, size: np.ndarray, picked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ranges of ``ids`` that are picked by their numbers, in a row, and their sizes."""
+    sizes = size[picked]
+    at = np.repeat(start[picked] - np.cumsum(sizes) + sizes, sizes)
+    at += np.arange(len(at))
+    return ids[at], sizes
+
+
+class ChunkColumns:
+    """The ids of columns of chunks of one kind. Words are known without their punctuation and in the case of the vocabulary."""
+
+    def __init__(self, tokenizer, words: WordModel):
+        self.tokenizer, self.words = tokenizer, words
+        self.forget()
+
+    def forget(self) -> None:
+        self.slots = {"": 0}  # the number of a known chunk; its ids are ids[start:start + size]
+        self.ids, self.start, self.size = np.zeros(0, dtype="<u4"), np.zeros(1, dtype=np.int64), np.zeros(1, dtype=np.int64)
+
+    def encoded(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all chunks in a row, and the number of ids of each."""
+        met = chunks.dictionary_encode()
+        heads = pc.ascii_rtrim(met.dictionary, characters=_TAIL)
+        plain = pc.match_substring_regex(heads, rf"\A{_WORD.pattern}\z")
+        is_plain = plain.to_numpy(zero_copy_only=False)
+        words = heads.filter(plain)
+        words = (pc.utf8_lower(words) if self.words.lower else words).dictionary_encode()
+        tails = pc.utf8_ltrim(met.dictionary.filter(plain), characters=_LETTERS).dictionary_encode()
+        # words hold no line feed: one long string is taken apart faster than a column
+        joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words.dictionary)], pa.int32()), words.dictionary), "\n")[0].as_py()
+        slots = self._slots(joined.split("\n") if joined else [], tails.dictionary.to_pylist(), met.dictionary.filter(pc.invert(plain)).to_pylist())
+        parts = np.zeros((len(is_plain), 2), dtype=np.int64)  # a chunk is a word and its tail, or a whole and nothing
+        parts[is_plain, 0] = slots[0][words.indices.to_numpy()]
+        parts[is_plain, 1] = slots[1][tails.indices.to_numpy()]
+        parts[~is_plain, 0] = slots[2]
+        ids, sizes = _gathered(self.ids, self.start, self.size, parts.reshape(-1))
+        sizes = sizes.reshape(-1, 2).sum(axis=1)
+        return _gathered(ids, np.cumsum(sizes) - sizes, sizes, met.indices.to_numpy())
+
+    def _slots(self, words: list[str], *others: list[str]) -> list[np.ndarray]:
+        """The numbers of all given chunks; ``words`` are plain ones and come once."""
+        new = [w for w in words if w not in self.slots]
+        rest = list(dict.fromkeys(c for part in others for c in part if c not in self.slots))
+        if new or rest:
+            if len(self.slots) + len(new) + len(rest) > CACHE_ENTRIES:
+                self.forget()
+                new, rest = words, list(dict.fromkeys(c for part in others for c in part if c))
+            self._learn(new, rest)
+        return [np.fromiter(map(self.slots.__getitem__, part), dtype=np.int64, count=len(part)) for part in (words, *others)]
+
+    def _learn(self, new: list[str], rest: list[str]) -> None:
+        found = [], []
+        for start in range(0, len(new), CALL_CHUNKS):
+            ids, edges = self.words.encoded(new[start:start + CALL_CHUNKS])
+            found[0].append(ids)
+            found[1].append(np.diff(edges))
+        for start in range(0, len(rest), CALL_CHUNKS):
+            for e in self.tokenizer.encode_batch_fast(rest[start:start + CALL_CHUNKS], add_special_tokens=False):
+                found[0].append(np.array(e.ids, dtype="<u4"))
+                found[1].append([len(e.ids)])
+        sizes = np.concatenate(found[1]).astype(np.int64)
+        self.slots.update(zip(new + rest, range(len(self.slots), len(self.slots) + len(sizes)), strict=True))
+        self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(sizes) - sizes])
+        self.size = np.concatenate([self.size, sizes])
+        self.ids = np.concatenate([self.ids, *found[0]])
+
+
 class ChunkedTokenizer:
     """``drops_white_space``: the vocabulary keeps no white space, so every space and line feed is a place to cut."""
 
@@ -110,13 +190,17 @@ class ChunkedTokenizer:
 
         tokenizer = Tokenizer.from_file(path)
         tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.drops_white_space = drops_white_space
-        self.bare = Chunks(tokenizer, "", WordModel(tokenizer, "", drops_white_space), None)
-        self.led = self.bare if drops_white_space else Chunks(tokenizer, " ", WordModel(tokenizer, " ", False), self.bare)
-        self.line_feed = self.bare.packed(["\n"])
+        self.columns = ChunkColumns(tokenizer, WordModel(tokenizer, "", True)) if drops_white_space else None
+        if not drops_white_space:
+            self.bare = Chunks(tokenizer, "", WordModel(tokenizer, "", False), None)
+            self.led = Chunks(tokenizer, " ", WordModel(tokenizer, " ", False), self.bare)
+            self.line_feed = self.bare.packed(["\n"])
 
     def forget(self) -> None:
         """Give the memory of known chunks back, at the end of a task: the worker may go on with something else."""
+        if self.columns:
+            self.columns.forget()
+            return
         for chunks in (self.bare, self.led):
             chunks.known = {"": b""}
 
@@ -126,12 +210,35 @@ class ChunkedTokenizer:
             out.append(self._slice(text[start:cut.start()], start > 0))
             start = cut.end()
         out.append(self._slice(text[start:], start > 0))
-        return np.frombuffer(b"".join(out), dtype="<u4")
+        return np.concatenate(out)
+
+    def encode_column(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For one slice of the texts (strings without nulls) after the other: the ids of its texts in a row, and the number of ids of each."""
+        start = size = 0
+        for i, n in enumerate(pc.binary_length(texts).to_pylist()):
+            if size and size + n > COLUMN_BYTES:
+                yield self._encoded(texts.slice(start, i - start), size)
+                start, size = i, 0
+            size += n
+        if start < len(texts):
+            yield self._encoded(texts.slice(start), size)
 
-    def _slice(self, text: str, led: bool) -> bytes:
+    def _encoded(self, texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
+        if not self.columns or size > COLUMN_BYTES:
+            found = [self.encode(text.as_py()) for text in texts]
+            return np.concatenate(found), np.array([*map(len, found)])
+        chunks = pc.split_pattern(pc.replace_substring(texts.cast(pa.string()), "\n", " "), " ")
+        ids, sizes = self.columns.encoded(chunks.flatten())
+        ends = np.append(0, np.cumsum(sizes))[np.append(0, np.cumsum(pc.list_value_length(chunks).to_numpy()))]
+        return ids, np.diff(ends)
+
+    def _slice(self, text: str, led: bool) -> np.ndarray:
         """``led``: a space stood before the slice."""
-        if self.drops_white_space:
-            return self.bare.packed(text.replace("\n", " ").split(" "))
+        if self.columns:
+            return self.columns.encoded(pa.array(text.replace("\n", " ").split(" "), pa.string()))[0]
+        return np.frombuffer(self._packed_slice(text, led), dtype="<u4")
+
+    def _packed_slice(self, text: str, led: bool) -> bytes:
         lines = [line.split(" ") for line in text.split("\n")]
         if any("" in line for line in lines) or _OTHER_WHITE.search(text):
             parts = _CUT.split(text)

@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -214,6 +215,31 @@ def test_chunks_have_the_ids_of_whole_texts(both_tokenizers, pieces, size):
         tokens.SLICE_CHARS = before
 
 
+@settings(max_examples=200, deadline=None)
+@given(texts=st.lists(st.lists(_PIECES | st.text(max_size=4), max_size=20), max_size=8), size=st.sampled_from([1, 30, 1 << 22]), entries=st.sampled_from([3, 600_000]),
+       kind=st.sampled_from([pa.string(), pa.large_string()]))
+def test_columns_have_the_ids_of_whole_texts(both_tokenizers, texts, size, entries, kind):
+    whole, chunked = both_tokenizers
+    texts = ["".join(pieces).encode("utf-8", "ignore").decode() for pieces in texts]
+    before = tokens.COLUMN_BYTES, tokens.CACHE_ENTRIES
+    tokens.COLUMN_BYTES, tokens.CACHE_ENTRIES = size, entries
+    try:
+        found = [list(part) for ids, sizes in chunked.encode_column(pa.array(["x", *texts], kind).slice(1)) for part in np.split(ids, np.cumsum(sizes))[:-1]]
+    finally:
+        tokens.COLUMN_BYTES, tokens.CACHE_ENTRIES = before
+    assert found == [whole.encode(text, add_special_tokens=False).ids for text in texts]
+
+
+def test_a_word_is_encoded_once_in_any_case_and_with_any_punctuation(monkeypatch):
+    chunked, seen = tokens.ChunkedTokenizer(P.path("word_bpe_49k.json"), True), []
+    for name in ("encoded", "packed"):
+        if (plain := getattr(tokens.WordModel, name, None)):
+            monkeypatch.setattr(tokens.WordModel, name, lambda self, words, plain=plain: (seen.extend(words), plain(self, words))[1])
+    for text in ("Straße straße STRAßE, (straße) straße!!", "straße. Straße"):
+        chunked.encode(text)
+    assert seen == ["straße"]
+
+
 # -- token files ------------------------------------------------------------------------------------------------------
 
 @settings(max_examples=60, deadline=None)
@@ -266,6 +292,16 @@ def test_token_files_round_trip(spark, odd, odd_rows, block_ids):
     assert sorted(found, key=lambda x: x[1]) == expected
 
 
+def test_only_documents_longer_than_a_block_are_split(spark):
+    folder = shared_folder(spark)
+    docs = spark.createDataFrame([(i, " ".join(["word"] * (150 if i == 7 else 10 + i))) for i in range(30)], "doc_id long, text string")
+    huffman.write_tokens(docs, folder, P.path("word_bpe_49k.json"), end_id=2, drops_white_space=True, block_ids=64)
+    blocks = spark.read.parquet(f"{folder}/blocks").filter("continued or open").orderBy("part", "block").collect()
+    assert [(r["doc_ids"], r["n_ids"] <= 64) for r in blocks[:2]] == [([7], True)] * 2
+    assert len(blocks) == 3 and blocks[2]["doc_ids"][0] == 7 and not blocks[2]["open"]
+    assert sorted((r["doc_id"], r["n_tokens"]) for r in huffman.read_tokens(spark, folder).collect()) == [(i, 151 if i == 7 else 11 + i) for i in range(30)]
+
+
 # -- packing ----------------------------------------------------------------------------------------------------------
 
 def fewest(sizes, capacity):
