@@ -146,17 +146,8 @@ def _raw_blocks(docs: DataFrame, tokenizer_path: str, drops_white_space: bool, e
             counts = found
             return as_row([part, block, done, size, names, places, docs_before, continued, is_open, None, ids.tobytes()])
 
-        def documents(batch: pa.RecordBatch) -> Iterator[tuple[int | None, np.ndarray]]:
-            doc_ids = iter(batch.column("doc_id").to_pylist())
-            for ids, sizes in coder.encode_column(batch.column("text")):
-                ends = np.cumsum(sizes)
-                ids = np.insert(ids, ends, np.uint32(end_id))
-                ends += np.arange(1, len(ends) + 1)
-                for start, end in zip([0, *ends[:-1].tolist()], ends.tolist()):
-                    yield next(doc_ids), ids[start:end]
-
         for batch in batches:
-            for doc_id, ids in documents(batch):
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), coder.documents(batch.column("text"), end_id)):
                 if size and size + len(ids) > block_ids:  # only a document longer than a block is split
                     yield row(False)
                     block, done, docs_before = block + 1, done + size, docs_before + len(names)

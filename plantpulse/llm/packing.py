@@ -50,8 +50,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, drops_white_
             for start in range(0, whole.num_rows, 256):
                 batch = whole.slice(start, 256)
                 out, owner = {name: [] for name in kinds}, []
-                for i, text in enumerate(batch.column("text")):
-                    ids = np.append(coder.encode(text.as_py()), np.uint32(end_id)).astype("<u4")
+                for i, ids in enumerate(coder.documents(batch.column("text"), end_id)):
                     edges = [0, *range(len(ids) % capacity or capacity, len(ids) + 1, capacity)]
                     for k, (a, b) in enumerate(zip(edges, edges[1:])):
                         data = ids[a:b].tobytes()

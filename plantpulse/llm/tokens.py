@@ -6,8 +6,8 @@ that drops white space, at every space and line feed. A chunk of letters with pu
 Latin-1 letters, which no normaliser or pre-tokenizer takes apart, go straight to the library's BPE model, many in one call; the model's
 own marks (word end, or the mapped leading space) tell their ids apart. Everything else, of any length, takes the library's whole way.
 
-Where white space is dropped, all chunks are of one kind, and many texts are cut at once as an Arrow column: a chunk is looked at once per
-slice of texts, however often it stands there, and the ids are put in place by arrays.
+Many texts are cut at once as an Arrow column: a chunk is looked at once per slice of texts, however often it stands there, and the ids are
+put in place by arrays. Where white space is kept, texts with white space other than single spaces and line feeds are cut one by one.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +38,8 @@ _OTHER_WHITE = re.compile(r"[^\S \n]")
 #: Latin-1 letters, which stay letters in any normaliser, and ASCII punctuation without the apostrophe of contractions
 _WORD = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
 _WORD_AND_TAIL = re.compile(rf"({_WORD.pattern})([!-&(-/:-@\[-^_`{{-~]+)")
+#: texts of a vocabulary that keeps white space which are not cut as a column, for Arrow's expressions
+_ODD = r"\A[ \n]|[ \n][ \n]|[ \n]\z|[\x00" + "".join(f"\\x{{{i:x}}}" for i in range(0x3001) if _OTHER_WHITE.match(chr(i))) + "]"
 _LETTERS = "".join(c for c in map(chr, range(0x41, 0x100)) if _WORD.fullmatch(c))
 _TAIL = "".join(c for c in map(chr, range(0x21, 0x7F)) if _WORD_AND_TAIL.fullmatch(f"a{c}"))
 
@@ -123,10 +126,14 @@ def _gathered(ids: np.ndarray, start: np.ndarray, size: np.ndarray, picked: np.n
 
 
 class ChunkColumns:
-    """The ids of columns of chunks of one kind. Words are known without their punctuation and in the case of the vocabulary."""
+    """The ids of columns of chunks. Words are known without their punctuation and in the case of the vocabulary.
 
-    def __init__(self, tokenizer, words: WordModel):
-        self.tokenizer, self.words = tokenizer, words
+    Where the vocabulary keeps white space, a chunk holds the space that leads it.
+    """
+
+    def __init__(self, tokenizer, drops_white_space: bool):
+        self.tokenizer, self.lower = tokenizer, drops_white_space
+        self.words = {lead: WordModel(tokenizer, lead, self.lower) for lead in ([""] if drops_white_space else ["", " "])}
         self.forget()
 
     def forget(self) -> None:
@@ -137,11 +144,11 @@ class ChunkColumns:
         """The ids of all chunks in a row, and the number of ids of each."""
         met = chunks.dictionary_encode()
         heads = pc.ascii_rtrim(met.dictionary, characters=_TAIL)
-        plain = pc.match_substring_regex(heads, rf"\A{_WORD.pattern}\z")
+        plain = pc.match_substring_regex(heads, rf"\A ?{_WORD.pattern}\z")
         is_plain = plain.to_numpy(zero_copy_only=False)
         words = heads.filter(plain)
-        words = (pc.utf8_lower(words) if self.words.lower else words).dictionary_encode()
-        tails = pc.utf8_ltrim(met.dictionary.filter(plain), characters=_LETTERS).dictionary_encode()
+        words = (pc.utf8_lower(words) if self.lower else words).dictionary_encode()
+        tails = pc.utf8_ltrim(met.dictionary.filter(plain), characters=f" {_LETTERS}").dictionary_encode()
         # words hold no line feed: one long string is taken apart faster than a column
         joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words.dictionary)], pa.int32()), words.dictionary), "\n")[0].as_py()
         slots = self._slots(joined.split("\n") if joined else [], tails.dictionary.to_pylist(), met.dictionary.filter(pc.invert(plain)).to_pylist())
@@ -165,17 +172,18 @@ class ChunkColumns:
         return [np.fromiter(map(self.slots.__getitem__, part), dtype=np.int64, count=len(part)) for part in (words, *others)]
 
     def _learn(self, new: list[str], rest: list[str]) -> None:
-        found = [], []
-        for start in range(0, len(new), CALL_CHUNKS):
-            ids, edges = self.words.encoded(new[start:start + CALL_CHUNKS])
-            found[0].append(ids)
-            found[1].append(np.diff(edges))
+        found, kinds = ([], []), {lead: [w for w in new if w.startswith(" ") == bool(lead)] for lead in self.words}
+        for lead, words in kinds.items():
+            for start in range(0, len(words), CALL_CHUNKS):
+                ids, edges = self.words[lead].encoded([w[len(lead):] for w in words[start:start + CALL_CHUNKS]])
+                found[0].append(ids)
+                found[1].append(np.diff(edges))
         for start in range(0, len(rest), CALL_CHUNKS):
             for e in self.tokenizer.encode_batch_fast(rest[start:start + CALL_CHUNKS], add_special_tokens=False):
                 found[0].append(np.array(e.ids, dtype="<u4"))
                 found[1].append([len(e.ids)])
         sizes = np.concatenate(found[1]).astype(np.int64)
-        self.slots.update(zip(new + rest, range(len(self.slots), len(self.slots) + len(sizes)), strict=True))
+        self.slots.update(zip([*chain(*kinds.values(), rest)], range(len(self.slots), len(self.slots) + len(sizes)), strict=True))
         self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(sizes) - sizes])
         self.size = np.concatenate([self.size, sizes])
         self.ids = np.concatenate([self.ids, *found[0]])
@@ -190,18 +198,17 @@ class ChunkedTokenizer:
 
         tokenizer = Tokenizer.from_file(path)
         tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.columns = ChunkColumns(tokenizer, WordModel(tokenizer, "", True)) if drops_white_space else None
+        self.drops_white_space = drops_white_space
+        self.columns = ChunkColumns(tokenizer, drops_white_space)
         if not drops_white_space:
-            self.bare = Chunks(tokenizer, "", WordModel(tokenizer, "", False), None)
-            self.led = Chunks(tokenizer, " ", WordModel(tokenizer, " ", False), self.bare)
+            self.bare = Chunks(tokenizer, "", self.columns.words[""], None)
+            self.led = Chunks(tokenizer, " ", self.columns.words[" "], self.bare)
             self.line_feed = self.bare.packed(["\n"])
 
     def forget(self) -> None:
         """Give the memory of known chunks back, at the end of a task: the worker may go on with something else."""
-        if self.columns:
-            self.columns.forget()
-            return
-        for chunks in (self.bare, self.led):
+        self.columns.forget()
+        for chunks in () if self.drops_white_space else (self.bare, self.led):
             chunks.known = {"": b""}
 
     def encode(self, text: str | None) -> np.ndarray:
@@ -223,18 +230,38 @@ class ChunkedTokenizer:
         if start < len(texts):
             yield self._encoded(texts.slice(start), size)
 
+    def documents(self, texts: pa.Array, end_id: int) -> Iterator[np.ndarray]:
+        """The ids of each text, followed by ``end_id``."""
+        for ids, sizes in self.encode_column(texts):
+            ends = np.cumsum(sizes)
+            ids = np.insert(ids, ends, np.uint32(end_id))
+            ends = (ends + np.arange(1, len(ends) + 1)).tolist()
+            for start, end in zip([0, *ends], ends):
+                yield ids[start:end]
+
     def _encoded(self, texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
-        if not self.columns or size > COLUMN_BYTES:
-            found = [self.encode(text.as_py()) for text in texts]
-            return np.concatenate(found), np.array([*map(len, found)])
-        chunks = pc.split_pattern(pc.replace_substring(texts.cast(pa.string()), "\n", " "), " ")
+        odd = np.full(len(texts), size > COLUMN_BYTES)
+        if not self.drops_white_space and size <= COLUMN_BYTES:
+            odd = pc.match_substring_regex(texts, _ODD).to_numpy(zero_copy_only=False)
+        if not odd.any():
+            return self._column(texts.cast(pa.string()))
+        ids, sizes = self._column(texts.filter(pa.array(~odd)).cast(pa.string()))
+        cut = iter(np.split(ids, np.cumsum(sizes)))
+        found = [self.encode(text.as_py()) if is_odd else next(cut) for text, is_odd in zip(texts, odd)]
+        return np.concatenate(found), np.array([*map(len, found)])
+
+    def _column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        if self.drops_white_space:
+            chunks = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        else:
+            chunks = pc.split_pattern(pc.replace_substring(pc.replace_substring(texts, "\n", "\0\n\0"), " ", "\0 "), "\0")
         ids, sizes = self.columns.encoded(chunks.flatten())
         ends = np.append(0, np.cumsum(sizes))[np.append(0, np.cumsum(pc.list_value_length(chunks).to_numpy()))]
         return ids, np.diff(ends)
 
     def _slice(self, text: str, led: bool) -> np.ndarray:
         """``led``: a space stood before the slice."""
-        if self.columns:
+        if self.drops_white_space:
             return self.columns.encoded(pa.array(text.replace("\n", " ").split(" "), pa.string()))[0]
         return np.frombuffer(self._packed_slice(text, led), dtype="<u4")
 
