@@ -276,11 +276,15 @@ def unique_hits(hits: DataFrame, order: Sequence[str] = ("rule_id",)) -> DataFra
     return hits.withColumn("_rank", F.row_number().over(last)).where(F.col("_rank") == 1).drop("_rank")
 
 
-def all_hits(features: DataFrame, rules: DataFrame, issues: DataFrame | None = None) -> DataFrame:
-    """Every layer over numbered readings with trend features; user rules may share an identity; episodes count a reading once."""
+def all_hits(features: DataFrame, rules: DataFrame, issues: DataFrame | None = None, trends: DataFrame | None = None) -> DataFrame:
+    """Every layer over numbered readings with trend features; user rules may share an identity; episodes count a reading once.
+
+    ``trends`` may hold the trend features of the same readings. They are read once, the readings by every layer, so features that
+    are given apart need not be stored with the readings.
+    """
     hits = (
         fixed_rule_hits(features, rules)
-        .unionByName(trend_rule_hits(features, rules))
+        .unionByName(trend_rule_hits(features if trends is None else trends, rules))
         .unionByName(stuck_hits(features))
         .unionByName(anomaly_hits(features, rules))
     )

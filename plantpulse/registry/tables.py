@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import alerts, episodes
 from ..operators.features import rolling_features
+from ..operators.timeslice import SLICE
 from ..plans.monitoring import feature_plan
 from ..session import stored
 from ..sources.rules import builtin_rules, forecast_rules
@@ -22,12 +23,16 @@ _STAGES: dict[tuple[str, str, str], DataFrame] = {}
 
 
 def _stage(name: str, spark: SparkSession, sf: str, build: Callable[[], DataFrame]) -> DataFrame:
-    key = (spark.sparkContext.applicationId, sf, name)
+    key = _key(name, spark, sf)
     if key not in _STAGES:
         _STAGES[key] = stored(build())
     return _STAGES[key]
 
 
+def _key(name: str, spark: SparkSession, sf: str) -> tuple[str, str, str]:
+    return spark.sparkContext.applicationId, sf, name
+
+
 def numbered(spark: SparkSession, sf: str) -> DataFrame:
     return _stage("numbered", spark, sf, lambda: D.numbered(spark, sf))
 
@@ -41,8 +46,17 @@ def features(spark: SparkSession, sf: str) -> DataFrame:
     return _stage("features", spark, sf, build)
 
 
+def _trend_features(spark: SparkSession, sf: str) -> DataFrame:
+    """The features that trend rules read. Hits read them once, so they are stored only where all features are staged already."""
+    if _key("features", spark, sf) in _STAGES:
+        return features(spark, sf)
+    plan = alerts.trend_feature_plan()
+    rows = numbered(spark, sf).select(*alerts.PLACE, SLICE, "segment_id", *plan)
+    return rolling_features(rows, plan, D.WIDTHS, numbered=True)
+
+
 def hits(spark: SparkSession, sf: str) -> DataFrame:
-    return _stage("hits", spark, sf, lambda: alerts.all_hits(features(spark, sf), builtin_rules(spark)))
+    return _stage("hits", spark, sf, lambda: alerts.all_hits(numbered(spark, sf), builtin_rules(spark), trends=_trend_features(spark, sf)))
 
 
 def all_episodes(spark: SparkSession, sf: str) -> DataFrame:

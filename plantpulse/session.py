@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: a side is only hinted for broadcast when the optimizer's size estimate stays below this
 BROADCAST_LIMIT_BYTES = 64 * 1024 * 1024
+#: Spark's own setting that removes the shuffle files of an execution when it ends
+_RELEASE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def build_session(cores: int | str = "*", app: str = "plantpulse", partitions: int = 8) -> SparkSession:
@@ -65,9 +69,24 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+@contextmanager
+def _shuffles_released(spark: SparkSession) -> Iterator[None]:
+    """Executions in this block remove their shuffle files as they end, not whenever the driver's garbage is next collected."""
+    before = spark.conf.get(_RELEASE, None)
+    spark.conf.set(_RELEASE, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(_RELEASE) if before is None else spark.conf.set(_RELEASE, before)
+
+
 def stored(df: DataFrame, folder: str | None = None) -> DataFrame:
-    """Cut the lineage by writing ``df`` to the shared folder and reading it back; survives lost executors."""
+    """Cut the lineage by writing ``df`` to the shared folder and reading it back; survives lost executors.
+
+    What was shuffled for it is not read again and leaves the disk with the write.
+    """
     spark = df.sparkSession
     path = folder or shared_folder(spark)
-    df.write.mode("overwrite").parquet(path)
+    with _shuffles_released(spark):
+        df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
