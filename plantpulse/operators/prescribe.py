@@ -248,7 +248,11 @@ def diagnose(flagged: DataFrame, keys: tuple[str, ...] = ("asset_id", "alert_id"
 
 def diagnose_alerts(alerts: DataFrame, features: DataFrame, **options) -> DataFrame:
     """Diagnose each alert on its own last reading. Alerts on signals outside the matrix get none."""
-    flags = flag_table(features, **options)
+    return diagnose_flagged(alerts, flag_table(features, **options))
+
+
+def diagnose_flagged(alerts: DataFrame, flags: DataFrame) -> DataFrame:
+    """``diagnose_alerts`` with the flags of the readings (``flag_table``)."""
     supported = literal_table(alerts.sparkSession, M.PROFILE_SCHEMA, M.profile_documents()).select("signal")
     at = alerts.select("asset_id", "alert_id", "signal", F.col("last_seen_us").alias("us")).join(F.broadcast(supported), "signal", "left_semi")
     return diagnose(at.join(flags, ["asset_id", "us"]))

@@ -10,7 +10,7 @@ from ..operators import prescribe
 from . import dataset as D
 from .alerts import EPISODES, TREND_WANTED, text
 from .common import query
-from .tables import all_episodes, features
+from .tables import all_episodes, features, flags
 
 _PLAN = prescribe.flag_feature_plan()
 _V = prescribe.VIBRATION
@@ -115,7 +115,7 @@ reduced AS (SELECT *, CASE WHEN list_contains(flags, 'modo_transicao') THEN grea
 
 
 def diagnosed(spark, sf):
-    return prescribe.diagnose_alerts(all_episodes(spark, sf), features(spark, sf))
+    return prescribe.diagnose_flagged(all_episodes(spark, sf), flags(spark, sf))
 
 
 @query("g1_context_flags", f"""

@@ -1,4 +1,4 @@
-"""Staged tables the alert, forecast and serving queries share: numbered readings, features, hits, episodes.
+"""Staged tables the alert, forecast and serving queries share: numbered readings, features, flags, hits, episodes.
 
 They are written once per session and data folder, as a deployment would keep them, and read back. The stages are
 ordinary DataFrames; queries about a stage itself compute it directly.
@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators import alerts, episodes
+from ..operators import alerts, episodes, prescribe
 from ..operators.features import rolling_features
 from ..operators.timeslice import SLICE
 from ..plans.monitoring import feature_plan
@@ -59,6 +59,12 @@ def hits(spark: SparkSession, sf: str) -> DataFrame:
     return _stage("hits", spark, sf, lambda: alerts.all_hits(numbered(spark, sf), builtin_rules(spark), trends=_trend_features(spark, sf)))
 
 
+def flags(spark: SparkSession, sf: str) -> DataFrame:
+    """The active flags of each reading; the features behind them are read once and not stored."""
+    return _stage("flags", spark, sf, lambda: prescribe.flag_table(
+        rolling_features(numbered(spark, sf), prescribe.flag_feature_plan(), D.WIDTHS, numbered=True)))
+
+
 def all_episodes(spark: SparkSession, sf: str) -> DataFrame:
     return _stage("episodes", spark, sf, lambda: episodes.mark_active(
         episodes.build_episodes(hits(spark, sf)), numbered(spark, sf)))
