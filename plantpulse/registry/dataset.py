@@ -15,6 +15,7 @@ from ..config import DAY_US, HOUR_US, WindowWidths
 from ..functions.columns import epoch_micros
 from ..operators.cleaning import add_derived, add_mode
 from ..operators.features import numbered_readings
+from ..operators.timeslice import SLICE
 
 #: event cadence per asset is minutes to a quarter of an hour, so frames are wider than for minute data
 WIDTHS = WindowWidths(short=HOUR_US // 2, medium=2 * HOUR_US, long=6 * HOUR_US)
@@ -66,15 +67,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def raw_readings(spark: SparkSession, sf_dir: str, files: int | None = None) -> DataFrame:
-    """Measured signals and states, before derivation; with ``files``, events are dealt to that many tasks while they are narrow."""
+def _timed_events(spark: SparkSession, sf_dir: str, files: int | None = None) -> DataFrame:
+    """Asset, id and time of each event and the columns that signals are derived from."""
     events = table(spark, sf_dir, "events")
     events = events.repartition(files) if files else events
-    events = events.withColumn("asset_id", F.pmod("user_id", F.lit(4)).cast("bigint"))
-    base = events.withColumn("us", epoch_micros("ts")).withColumns({k: F.expr(v) for k, v in _BASE_SPARK.items() if k != "eid"})
-    base = base.withColumn("eid", F.col("event_id"))
+    return events.select(F.pmod("user_id", F.lit(4)).cast("bigint").alias("asset_id"), F.col("event_id").alias("eid"), "ts",
+                         epoch_micros("ts").alias("us"), "value", "props")
+
+
+def _measured(events: DataFrame, *kept: str) -> DataFrame:
+    base = events.withColumns({k: F.expr(v) for k, v in _BASE_SPARK.items() if k != "eid"})
     columns = {k: F.expr(v) for k, v in (STATES | MEASURED).items()}
-    return base.select("asset_id", "eid", "ts", "us", "day", *[c.alias(k) for k, c in columns.items()])
+    return base.select("asset_id", "eid", "ts", "us", "day", *kept, *[c.alias(k) for k, c in columns.items()])
+
+
+def raw_readings(spark: SparkSession, sf_dir: str, files: int | None = None) -> DataFrame:
+    """Measured signals and states, before derivation; with ``files``, events are dealt to that many tasks while they are narrow."""
+    return _measured(_timed_events(spark, sf_dir, files))
 
 
 def readings(spark: SparkSession, sf_dir: str, files: int | None = None) -> DataFrame:
@@ -83,7 +92,13 @@ def readings(spark: SparkSession, sf_dir: str, files: int | None = None) -> Data
 
 
 def numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return numbered_readings(readings(spark, sf_dir))
+    """Numbered readings. Events are shuffled and numbered with their mode while they are narrow, their signals are derived behind that."""
+    events = _timed_events(spark, sf_dir)
+    placed = numbered_readings(add_mode(_measured(events, "value", "props")).select(*events.columns, "mode_key"))
+    places = [c for c in placed.columns if c not in (*events.columns, "mode_key")]
+    wide = add_mode(add_derived(_measured(placed, *places)))
+    signals = [c for c in wide.columns if c not in ("asset_id", *places)]
+    return wide.select("asset_id", SLICE, *signals, *[c for c in places if c != SLICE])
 
 
 def _select(columns: dict[str, str]) -> str:
