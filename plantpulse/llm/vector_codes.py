@@ -103,6 +103,7 @@ class EqualAverageSearch:
         index = np.full(len(x), len(self.sums), np.int64)
         best: np.ndarray | None = None
         best, index = self._better(x, low, high, best, index)
+        best = best.astype(sums.dtype, copy=False)  # distances may fit 64 bits where their multiples do not
         below = above = np.arange(len(x))
         while True:
             if low > 0:

@@ -214,6 +214,12 @@ def test_equal_average_search_is_a_full_search(seed, scale):
     assert [(int(d), int(e)) for d, e in zip(best, index)] == full
 
 
+@pytest.mark.parametrize("seed", [4072, 4114, 4291])
+def test_search_goes_on_where_only_the_distance_fits_64_bits(seed):
+    """A best distance times the number of components passed 64 bits, so the search ended before the nearest entry."""
+    test_equal_average_search_is_a_full_search.hypothesis.inner_test(seed, 1 << 29)
+
+
 def test_equal_average_search_skips_entries(monkeypatch):
     rng = np.random.default_rng(1)
     entries = np.repeat(rng.integers(-2000, 2000, (256, 1)), 8, axis=1) + rng.integers(-3, 4, (256, 8))
